@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 END_ID = 2
 #: Words that a task remembers the ids of.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
 _PUNCTUATION = ".,;:!?"
 
 
@@ -42,16 +43,19 @@ class Limits:
 class WordTokenizer:
     """Ids of whole texts by a `tokenizers` vocabulary that never joins across spaces, with a cache of words.
 
-    Letters-only words (with at most one closing mark) are encoded many at a time, one pre-token each; the
-    ids are cut after each word-end token. If the cuts don't match the words, and for all other words, each word is
-    encoded by itself."""
+    Words of letters only (with at most one closing mark) are one pre-token each: they are lower-cased, encoded many at a time with the
+    vocabulary's own model, and the ids are cut after each word-end token. If the cuts don't match the words, and for
+    all other words, each word goes through the whole tokenizer by itself."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.model.encode_special_tokens = self.plain.encode_special_tokens = True
+        # Lower-case composed letters need no normalisation, and no splitting but at spaces.
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -62,32 +66,40 @@ class WordTokenizer:
     def _bytes(ids: Iterable[int]) -> bytes:
         return np.asarray(ids, "<u4").tobytes()
 
+    @staticmethod
+    def _composed(word: str) -> bool:
+        """Whether lower-casing gives letters that need no normalisation, whatever stands next to them."""
+        return "\u03a3" not in word and is_normalized("NFC", word) and (low := word.lower()).isalpha() and is_normalized("NFC", low)
+
     def _learn(self, words: Iterable[str]) -> None:
+        known, simple, other = self.known, [], []
         plain: dict[str, None] = {}
-        marked, other = [], []
         for w in words:
-            if w.isalpha():
+            if w.islower() and w.isascii() and w.isalpha():
                 plain[w] = None
-            elif w[-1] in _PUNCTUATION and w[:-1].isalpha():
-                marked.append(w)
-                if w[:-1] not in self.known:
-                    plain[w[:-1]] = None
+                continue
+            core, mark = (w, "") if w[-1] not in self.marks else (w[:-1], w[-1])
+            if core.isalpha() and (core.isascii() or self._composed(core)):
+                core = core.lower()
+                if core not in known:
+                    plain[core] = None
+                simple.append((w, core, mark))
             else:
                 other.append(w)
         if plain:
-            ids = np.asarray(self.model.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
+            ids = np.asarray(self.plain.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(plain):
                 data, at = ids.tobytes(), 0
                 for w, to in zip(plain, (cuts * 4).tolist()):
-                    self.known[w] = data[at:to]
+                    known[w] = data[at:to]
                     at = to
             else:
-                other.extend(plain)
+                other += plain
         for w, x in zip(other, self.model.encode_batch_fast(other, add_special_tokens=False) if other else ()):
-            self.known[w] = self._bytes(x.ids)
-        for w in marked:
-            self.known[w] = self.known[w[:-1]] + self.marks[w[-1]]
+            known[w] = self._bytes(x.ids)
+        for w, core, mark in simple:
+            known[w] = known[core] + self.marks[mark] if mark else known[core]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -96,7 +108,7 @@ class WordTokenizer:
             if len(self.known) > CACHED_WORDS:
                 self.known = {"": b""}
             split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at : at + 64]]
-            missing = dict.fromkeys(w for words in split for w in words if w not in self.known)
+            missing = set().union(*split).difference(self.known)
             if missing:
                 self._learn(missing)
             get = self.known.__getitem__
