@@ -134,10 +134,14 @@ def count_bigrams(docs: DataFrame, units) -> DataFrame:
             turned = (keys & 0xFFFFFFFF) << 32 | keys >> 32
             order = np.argsort(turned, kind="stable")
             sides = ((keys, counts), (turned[order], counts[order]))
-            at = [(k >> 32) % shards for k, _ in sides]
+            cut = []
+            for k, c in sides:
+                shard = (k >> 32) % shards
+                order = np.argsort(shard, kind="stable")
+                cut.append((k[order], c[order], np.searchsorted(shard[order], np.arange(shards + 1))))
             rows = []
             for s in range(shards):
-                (k0, c0), (k1, c1) = ((k[a == s], c[a == s]) for (k, c), a in zip(sides, at))
+                (k0, c0), (k1, c1) = ((k[at[s] : at[s + 1]], c[at[s] : at[s + 1]]) for k, c, at in cut)
                 if len(k0) or len(k1):
                     rows.append((s, _pack(np.diff(k0, prepend=0)), _pack(c0.astype(np.int32)), _pack(np.diff(k1, prepend=0)), _pack(c1.astype(np.int32))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 4])], names=names)
