@@ -27,7 +27,7 @@ SPACE = r"[\s\x{00a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x
 OCR_EXTENSIONS = ("pdf", "png", "jpg", "jpeg", "tif", "tiff", "bmp", "gif", "webp", "heic")
 # Signs of mass mail, and titles that say nothing.
 BULK_SENDER = r"(?i)(no-?reply|newsletter|notifications?|marketing|mailer|do-?not-?reply)@"
-PROMO_SUBJECT = r"(?i)(?<!\w)(unsubscribe|% off|sale ends|limited time offer|free shipping|flash sale|exclusive deal)(?!\w)"
+PROMO_SUBJECT = r"(?i)\b(unsubscribe|% off|sale ends|limited time offer|free shipping|flash sale|exclusive deal)\b"
 JUNK_TITLE = r"(?i)^(untitled|document\d*|new microsoft word document|presentation\d*|book\d*|slide\d*|model|normal|template|copy of .*)$"
 BOILERPLATE_TITLE_FILES = 5
 

@@ -192,3 +192,28 @@ def rrf_fusion(spark, d):
            SELECT doc_id, array_to_string(list_concat(w[greatest(pos - 8, 1):pos - 1], ['<mark>' || w[pos] || '</mark>'], w[pos + 1:pos + 13]), ' ') AS snippet FROM p WHERE pos > 0""")
 def snippets(spark, d):
     return t(spark, d, "documents").select("doc_id", S.snippet(F.col("text"), "the").alias("snippet")).where("snippet is not null")
+
+
+@query()
+def near_duplicate_components(spark, d):
+    """Near-duplicates by five-word shingles at a similarity of 0.8: a row for each document."""
+    from lumenfold.operators.similarity import near_duplicates
+
+    return near_duplicates(t(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+_SHINGLES = "w AS (SELECT doc_id, sha256(text) AS h, " + _TOKENS + """ AS w FROM documents),
+    s AS (SELECT doc_id, h, len(w) >= 40 AS enough, list_distinct(CASE WHEN len(w) > 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w)"""
+
+
+@query(f"""WITH {_SHINGLES}, p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.h = b.h AS eq, a.enough AND b.enough AS enough, len(list_intersect(a.s, b.s)) AS i, len(a.s) AS na, len(b.s) AS nb FROM s a JOIN s b ON b.doc_id = a.doc_id + 1),
+           j AS (SELECT *, CASE WHEN na > 0 AND nb > 0 THEN round(i / (na + nb - i), 6) ELSE 0 END AS similarity FROM p),
+           v AS (SELECT *, CASE WHEN eq THEN 'exact' WHEN NOT enough THEN 'not_comparable' WHEN similarity >= 0.65 THEN 'probable' ELSE 'distinct' END AS verdict FROM j)
+           SELECT doc_a, doc_b, verdict, similarity, CASE WHEN verdict = 'probable' THEN CASE WHEN similarity >= 0.85 THEN 'medium' ELSE 'low' END END AS confidence FROM v""")
+def file_compare(spark, d):
+    """Each document against the one with the next id."""
+    from lumenfold.operators.similarity import compared
+
+    docs = t(spark, d, "documents")
+    pairs = docs.select(F.col("doc_id").alias("doc_a"), (F.col("doc_id") + 1).alias("doc_b"))
+    return compared(pairs, docs, "doc_a", "doc_b")

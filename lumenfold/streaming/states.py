@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 MAX_RETRIES = 3
 # States, and where each may go.
@@ -74,7 +74,7 @@ class StateMachine(StatefulProcessor):
     """The same moves on a stream: state is kept by key and expires after a day without events."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("state", StructType().add("state", "string").add("failures", "int"), ttlDurationMs=86_400_000)
+        self._state = handle.getValueState("state", StructType().add("state", StringType()).add("failures", IntegerType()), ttlDurationMs=86_400_000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state, failures = self._state.get() if self._state.exists() else (None, 0)
