@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import LOWER_ALNUM, map_batches, text_bytes
@@ -182,11 +182,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window
     return map_batches(docs.select(*keep, text_bytes(text_col).alias("_text_bytes")), make, f"{columns}, {RESULT}")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    names = docs.columns
-    return contamination(docs, benchmark, [*names]).where(~F.col("contaminated")).select(*names)
-
-
-def hits(spans: Column) -> Column:
-    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that are not contaminated, with all their columns, whatever those are called."""
+    held = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
+    judged = contamination(held, benchmark, held.columns, text_col=f"_{docs.columns.index(text_col)}")
+    return judged.where(~F.col("contaminated")).select(*(F.col(f"_{i}").alias(n) for i, n in enumerate(docs.columns)))
