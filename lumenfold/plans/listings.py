@@ -149,3 +149,19 @@ def expired(spark, d):
     """The oldest row that is past its time, by key."""
     old = R.earliest_wins(t(spark, d, "orders").where("o_orderdate < timestamp_ntz '1995-01-01'"), ["o_custkey"], ["o_orderkey"], ["o_orderkey"])
     return t(spark, d, "customer").join(old, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.col("o_orderkey").alias("stale"))
+
+
+@query("""WITH f AS (SELECT doc_id AS file_id, source AS owner, sha256(text) AS k, CASE WHEN n_chars > 0 THEN left(text, 12) END AS stem, lang AS loc FROM documents),
+          p AS (SELECT a.file_id, b.file_id AS other_id, CASE WHEN a.k = b.k THEN 'exact' ELSE 'version' END AS kind, b.loc AS loc, a.loc AS dest FROM f a JOIN f b ON a.owner = b.owner AND a.file_id <> b.file_id AND (a.k = b.k OR a.stem = b.stem)),
+          r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY kind, other_id) AS place FROM p)
+          SELECT file_id, other_id, kind, kind = 'exact' OR loc IS NOT DISTINCT FROM dest AS blocking, place FROM r WHERE place <= 10
+            AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = least(file_id, other_id) AND greatest(file_id, other_id) = l.doc_id + 1 AND l.toxic = 1)""")
+def move_guard(spark, d):
+    """Every document moved to its own language's folder; pairs of a toxic document and the next one are cleared."""
+    from lumenfold.operators.guard import move_findings
+
+    docs = t(spark, d, "documents")
+    own = docs.select(F.col("doc_id").alias("file_id"), F.col("source").alias("owner"), F.sha2("text", 256).alias("content_key"), F.when(F.col("n_chars") > 0, F.substring("text", 1, 12)).alias("stem"), F.col("lang").alias("location"))
+    moves = docs.select(F.col("doc_id").alias("file_id"), F.col("lang").alias("destination"))
+    cleared = t(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
+    return move_findings(moves, own, cleared)
