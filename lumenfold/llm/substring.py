@@ -31,6 +31,8 @@ RUN = 64
 PACK_WORDS = 3_000_000
 #: Different runs of an anchor beyond which its windows are dealt out one by one.
 HOT = 4096
+#: Hot anchors up to which they are broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_ANCHORS = 200_000
 #: A null id comes after all others.
 NO_ID = (1 << 63) - 1
 _CACHED = 400_000
@@ -154,10 +156,12 @@ def shared_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             # An anchor that is met several times here, or whose run may repeat itself.
             several = np.repeat((size > 1) | np.logical_or.reduceat(own[order], first), size) if len(a) else new
             shard = (a % np.uint64(shards)).astype(np.int64)
-            for k in range(shards):
-                one, many = (shard == k) & ~several, (shard == k) & several & new
-                if one.any() or many.any():
-                    out.append((k, _pack(a[one], doc[one], s[one], n[one]), _pack(a[many]), None))
+            by = np.argsort(shard, kind="stable")
+            ends = np.flatnonzero(np.append(shard[by][1:] != shard[by][:-1], True)) + 1 if len(by) else []
+            for low, high in zip([0, *ends[:-1]], ends):
+                part = by[low:high]
+                one, many = part[~several[part]], part[several[part] & new[part]]
+                out.append((int(shard[part[0]]), _pack(a[one], doc[one], s[one], n[one]), _pack(a[many]), None))
             if several.any():
                 out.append((int(a[0] % np.uint64(shards)), None, None, _pack(a[several], doc[several], s[several], n[several])))
 
@@ -280,6 +284,25 @@ def repeated(rows: list[tuple[int, int, bytes]], length: int = LENGTH) -> list[l
     return out
 
 
+def shard_spans(rows: list[list], length: int) -> list[tuple[int, int, int, int]]:
+    """(document, key, begin, end) to be removed, of a reference shard's rows (document, begin, key, words) in order of place.
+
+    A run that is equal to an earlier one goes as a whole; different ones are streamed through the automaton."""
+    first: dict[bytes, tuple[int, int]] = {}
+    for doc, begin, _, text in rows:
+        first.setdefault(text, (doc, begin))
+    found: dict[bytes, list[tuple[int, int]]] = {}
+    if len(first) > 1 or rows and len(set(w := rows[0][3].split(b" "))) <= len(w) - length:
+        found = dict(zip(first, repeated([(d, b, t) for t, (d, b) in first.items()], length)))
+    out = []
+    for doc, begin, key, text in rows:
+        if first[text] != (doc, begin):
+            out.append((doc, key, begin, begin + text.count(b" ") + 1))
+        elif found:
+            out += [(doc, key, a, b) for a, b in found[text]]
+    return out
+
+
 class _Firsts:
     """Of equal runs, the first place; the others are spans to be removed. Bounded by what one batch holds."""
 
@@ -325,8 +348,8 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
 
     runs = written(map_batches(docs.join(candidates, "doc_id").select("doc_id", "key", "text", "runs"), give, _RUNS), "runs")
     texts = runs.where("anchor is not null")
-    hot = texts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"))
-    marked = texts.join(hot, "anchor", "left")
+    hot = written(texts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot")), "hot")
+    marked = texts.join(F.broadcast(hot) if hot.count() <= BROADCAST_ANCHORS else hot, "anchor", "left")
 
     def deal():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -343,15 +366,26 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
     dealt = written(map_batches(marked.where("hot").select(*texts.columns), deal, _RUNS), "hot-runs")
     shards = marked.where("hot is null").select(*texts.columns).unionByName(dealt.where("anchor is not null")).select("anchor", "doc_id", "begin", "key", "words")
 
-    def match(group: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-        if len(group["anchor"]) == 1 and len(w := group["words"][0].split(b" ")) - length < len(set(w)):
-            return None
-        order = np.lexsort((group["key"], group["begin"], group["doc_id"]))
-        rows = [(int(group["doc_id"][i]), int(group["begin"][i]), group["words"][i]) for i in order]
-        out = [(d, int(group["key"][i]), a, b) for i, (d, _, _), spans in zip(order, rows, repeated(rows, length)) for a, b in spans]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "key", "begin", "end"]) if out else None
-
-    found = map_groups(shards, ["anchor"], match, "doc_id long, key long, begin int, end int")
+    def match(batches):
+        rows, anchor = [], None
+
+        def spans(batch: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*batch), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "key", "begin", "end"])
+
+        for batch in batches:
+            out = []
+            for a, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if a != anchor:
+                    out += shard_spans(rows, length)
+                    rows, anchor = [], a
+                rows.append(row)
+            if out:
+                yield spans(out)
+        if out := shard_spans(rows, length):
+            yield spans(out)
+
+    dealt_out = shards.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "begin", "key")
+    found = dealt_out.mapInArrow(match, "doc_id long, key long, begin int, end int")
     decided = [r.where("anchor is null").select("doc_id", "key", "begin", "end") for r in (runs, dealt)]
     return found.unionByName(decided[0]).unionByName(decided[1])
 
