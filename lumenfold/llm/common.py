@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.operators.groups import shared_dir, written
+
+__all__ = ["LOWER", "LOWER_ALNUM", "held_out", "map_batches", "shared_dir", "table", "text_bytes", "written"]
+
 #: bytes.translate table that lower-cases A-Z and leaves every other byte alone.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: As LOWER, and every ASCII byte that is neither a digit nor a letter becomes a space.
@@ -20,28 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where that setting is absent and the master is local is a temporary folder used."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cuts lineage: ``df`` as a Parquet table in the shared folder, read again.
-
-    A lost executor costs nothing then, and an expensive frame that is used twice is made once."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(column: str = "text") -> Column:
     """The text's UTF-8 bytes; Arrow then hands them to Python without decoding."""
     return F.col(column).cast("binary")

@@ -1,97 +1,5 @@
-"""Connected components of an edge table, and block pairs of groups of any size."""
+"""Components, block pairs and groups, as the operators of this subpackage use them."""
 
-from __future__ import annotations
+from lumenfold.operators.groups import block_pairs, connected_components, forest, map_groups
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from lumenfold.llm.common import written
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id that each end of an edge of (a, b) reaches.
-
-    Alternates large-star and small-star rounds; each is a map-side combined minimum and an equi-join, and writes its edges to
-    the shared folder. Nothing is collected but a count and a checksum of the edges. Self-loops and repeated edges are fine."""
-    a, b = F.col("a"), F.col("b")
-    now = written(edges.where(a != b).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-
-    def sign(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    seen = sign(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select(b.alias("a"), F.col("m").alias("b")).where(a != b).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        now = written(small, "edges")
-        if (sign_now := sign(now)) == seen:
-            break
-        seen = sign_now
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(a.alias("id"), b.alias("component")).unionByName(now.select(b.alias("id"), b.alias("component")).distinct())
-
-
-def block_pairs(rows: DataFrame, group: list[str], size: int, order: Column, blocks: DataFrame | None = None) -> DataFrame:
-    """Gives each row to the pairs of blocks of its group that it takes part in: columns block_a <= block_b, in_a, in_b.
-
-    A group of n rows is cut into ceil(n / size) blocks by a hash of ``order``; a pair of blocks is one small task's work,
-    so that a group of any size is spread over many tasks. A row goes to as many pairs as its group has blocks."""
-    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / size).cast("int").alias("_blocks"))
-    cut = rows.join(sizes, group).withColumn("_own", F.pmod(F.xxhash64(order), F.col("_blocks")).cast("int"))
-    spread = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return spread.select(*rows.columns, F.least("_own", "_other").alias("block_a"), F.greatest("_own", "_other").alias("block_b"), F.col("_own").alias("block"))
-
-
-def forest(n: int, adjacent: np.ndarray) -> np.ndarray:
-    """Smallest reachable index of each of n nodes of a symmetric boolean matrix with a true diagonal."""
-    label = np.arange(n)
-    while True:
-        new = np.where(adjacent, label[None, :], n).min(1)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def map_groups(df: DataFrame, keys: list[str], one: Callable[[dict[str, np.ndarray]], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Calls ``one`` with the columns of each group of ``keys`` in turn, as NumPy arrays (objects for strings and bytes).
-
-    Rows are dealt by the keys and sorted; a task holds one group and one batch at a time, so groups must be small by construction."""
-    names = df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[dict[str, np.ndarray]] = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if kept and (out := one({n: np.concatenate([k[n] for k in kept]) for n in names})) is not None:
-                yield out
-            kept.clear()
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
-            change = np.zeros(batch.num_rows, bool)
-            for k in keys:
-                change[1:] |= columns[k][1:] != columns[k][:-1]
-            if kept and any(kept[-1][k][-1] != columns[k][0] for k in keys):
-                yield from done()
-            bounds = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                if i:
-                    yield from done()
-                kept.append({n: v[a:b] for n, v in columns.items()})
-        yield from done()
-
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+__all__ = ["block_pairs", "connected_components", "forest", "map_groups"]
