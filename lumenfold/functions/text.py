@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,33 +43,46 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda x: x != "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def count_of(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+    """How many characters of a class a text has: the length of what is left of it without the others."""
+    others = f"[^{pattern[1:]}+" if pattern.startswith("[") else f"[^{pattern}]+"
+    return F.length(F.regexp_replace(text, others, ""))
 
 
 def dominant_script(text: Column) -> Column:
     """The script with the most characters, the first listed on ties; null without any."""
-    counts = {name: count_of(text, pattern) for name, pattern in SCRIPTS.items()}
-    top = F.greatest(*counts.values())
-    out = F.lit(None).cast("string")
-    for name in reversed(counts):
-        out = F.when(counts[name] == top, name).otherwise(out)
-    return F.when(top > 0, out)
-
-
-def quality_stats(text: Column) -> dict[str, Column]:
-    """Counts that the verdict needs; materialise them before they are used more than once."""
-    trimmed = trim_all(F.coalesce(text, F.lit("")))
-    words = F.filter(F.split(trimmed, r"[^\p{L}\p{N}'’-]+"), lambda x: x != "")
-    return {
-        "chars": F.length(trimmed),
-        "letters": count_of(trimmed, r"\p{L}"),
-        "replacements": count_of(trimmed, "�"),
-        "vowels": count_of(trimmed, VOWELS),
-        "n_tokens": F.size(words),
-        "single_char_tokens": F.size(F.filter(words, lambda x: F.length(x) == 1)),
-        "script": dominant_script(trimmed),
-    }
+
+    def most(c: Column) -> Column:
+        top = F.greatest(*(c[name] for name in SCRIPTS))
+        out = F.lit(None).cast("string")
+        for name in reversed(SCRIPTS):
+            out = F.when(c[name] == top, name).otherwise(out)
+        return F.when(top > 0, out)
+
+    return let(F.struct(*(count_of(text, pattern).alias(name) for name, pattern in SCRIPTS.items())), most)
+
+
+def quality_stats(text: Column) -> Column:
+    """A struct of the counts that the verdict needs."""
+
+    def stats(trimmed: Column) -> Column:
+        words = F.filter(F.split(trimmed, r"[^\p{L}\p{N}'’-]+"), lambda x: x != "")
+        return F.struct(
+            F.length(trimmed).alias("chars"),
+            count_of(trimmed, r"\p{L}").alias("letters"),
+            count_of(trimmed, "[�]").alias("replacements"),
+            count_of(trimmed, VOWELS).alias("vowels"),
+            F.size(words).alias("n_tokens"),
+            F.size(F.filter(words, lambda x: F.length(x) == 1)).alias("single_char_tokens"),
+            dominant_script(trimmed).alias("script"),
+        )
+
+    return let(trim_all(F.coalesce(text, F.lit(""))), stats)
 
 
 def quality_verdict(size_bytes: Column) -> Column:

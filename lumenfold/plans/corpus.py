@@ -49,7 +49,7 @@ _STATS = f"""s AS (SELECT doc_id, source, lang, n_chars, length(x) AS chars, {_c
 
 
 def _quality(spark, d):
-    stats = t(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", F.struct(*(c.alias(n) for n, c in X.quality_stats(F.col("text")).items())).alias("s"))
+    stats = t(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", X.quality_stats(F.col("text")).alias("s"))
     flat = stats.select("doc_id", "source", "lang", "n_chars", "s.*")
     return flat.withColumn("verdict", X.quality_verdict(F.col("n_chars") * 10))
 
