@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lumenfold.llm import decontaminate, langid, packing, simhash, substring
 from lumenfold.llm.common import held_out, table, written
 from lumenfold.llm.queries import TOKENIZER
+from lumenfold.operators import similarity
+from lumenfold.operators.groups import connected_components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,10 +26,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays; rows with a null id stay."""
-    groups = simhash.near_duplicates(docs)
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """Of each group of linked documents the one with the smallest id stays; rows with a null id stay.
+
+    Linked are fingerprints within op10's distance, and all texts whose five-word shingles have a similarity of 0.8 (exact, of any length)."""
+    marked = simhash.near_duplicates(docs).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    alike = similarity.near_duplicates(docs, min_tokens=1).select(F.col("id").alias("a"), F.col("group_id").alias("b"))
+    gone = connected_components(marked.unionByName(alike)).where("id > component").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(written(gone, "gone"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from lumenfold.functions.text import tokens
 from lumenfold.operators.groups import block_pairs, connected_components, forest, map_groups, written
 
 SHINGLE, THRESHOLD, MIN_TOKENS = 5, 0.8, 40
+#: Eighths of the hash space in which sets without a partner are told before any set is kept. Any value gives the same links.
+PART = 3
 
 
 def shingles(words: Column, k: int = SHINGLE) -> Column:
@@ -34,14 +36,31 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(0.0)
 
 
+def _alone(texts: DataFrame, threshold: float, size: int, min_tokens: int) -> DataFrame:
+    """Hashes k of texts that can only be similar to exact copies of themselves.
+
+    A set with a partner has at most (1 - threshold) of its shingles for itself, so no more than that in a part of the hash space either."""
+    words = texts.select("k", tokens(F.col("text")).alias("w"))
+    sets = words.where(F.size("w") >= min_tokens).select("k", shingles(F.col("w"), size).alias("set"))
+    part = sets.select("k", F.size("set").alias("n"), F.explode(F.filter("set", lambda x: x.bitwiseAND(F.lit(7)) < PART)).alias("s"))
+    once = part.groupBy("s").agg(F.min("k").alias("k"), F.max("k").alias("other"), F.max("n").alias("n")).where("k = other")
+    return once.groupBy("k").agg(F.count("*").alias("own"), F.max("n").alias("n")).where(F.col("own") > F.col("n") - F.ceil(F.col("n") * threshold - 1e-9)).select("k")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, min_tokens: int = MIN_TOKENS, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_links, group_id): documents linked directly, and the smallest id that links reach, itself included.
 
-    Texts of fewer than ``min_tokens`` words, null ones among them, link with nothing. Repeated rows are documents of their own."""
-    words = written(docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")), "words")
-    sets = written(words.where(F.size("w") >= min_tokens).select("id", F.sort_array(shingles(F.col("w"), k)).alias("set")), "sets")
-    keyed = sets.withColumn("key", F.sha2(F.array_join(F.col("set").cast("array<string>"), ","), 256))
-    classes = written(keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.any_value("set").alias("set")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    Texts of fewer than ``min_tokens`` words, and those without any word, link with nothing. Repeated rows are documents of their own."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("k"))
+    alone = written(_alone(texts, threshold, k, min_tokens), "alone")
+    known = texts.join(alone.withColumn("alone", F.lit(True)), "k", "left").select("id", F.when(F.col("alone"), F.sha2("text", 256)).alias("copy"), F.when(F.col("alone").isNull(), F.col("text")).alias("text"))
+    words = known.select("id", "copy", tokens(F.col("text")).alias("w"))
+    sets = written(words.select("id", "copy", F.size("w").alias("n_words"), F.sort_array(shingles(F.col("w"), k)).alias("set")), "sets")
+    comparable = F.col("copy").isNotNull() | (F.col("n_words") >= min_tokens) & (F.size("set") > 0)
+    key = F.coalesce(F.concat(F.lit("copy "), "copy"), F.sha2(F.array_join(F.col("set").cast("array<string>"), ","), 256))
+    keyed = sets.where(comparable).withColumn("key", key)
+    ids = written(keyed.select("id", "key"), "ids")
+    classes = written(keyed.where("copy is null").groupBy("key").agg(F.any_value("set").alias("set"), F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     spread = classes.select("cls", F.size("set").alias("size"), F.explode("set").alias("s"))
     shared = spread.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
@@ -96,11 +115,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     found = written(map_groups(tiles, ["cluster", "block_a", "block_b"], one, "a long, b long, links long"), "links")
     links = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     reached = connected_components(found.select("a", "b")).withColumnRenamed("id", "cls")
-    known = classes.select("cls", "key", "first", "n").join(links, "cls", "left").join(reached, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    smallest = known.groupBy("component").agg(F.min("first").alias("group_id"))
-    answers = known.join(smallest, "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "group_id")
-    done = keyed.select("id", "key").join(answers, "key").select("id", "n_links", "group_id")
-    short = words.where(F.size("w") < min_tokens).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("group_id"))
+    linked = classes.select("cls", "key").join(links, "cls").join(reached, "cls").select("key", "links", "component")
+    known = ids.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).join(linked, "key", "left")
+    smallest = known.where("component is not null").groupBy("component").agg(F.min("first").alias("smallest"))
+    answers = known.join(smallest, "component", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("smallest")).alias("group_id"))
+    done = ids.join(answers, "key").select("id", "n_links", "group_id")
+    short = sets.where(~comparable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("group_id"))
     return done.unionByName(short)
 
 

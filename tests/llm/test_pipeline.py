@@ -1,3 +1,6 @@
+import random
+import re
+
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm.helpers import documents, frame
@@ -36,3 +39,25 @@ def test_stages_do_what_their_operators_say(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and "ids" in out.columns
+
+
+def test_near_copies_beyond_the_fingerprints_distance_go(spark):
+    """Copies with a few words changed: five-word similarity of 0.8, fingerprints further apart than op10's 3 bits."""
+    rng = random.Random(5)
+    texts = []
+    for n in (60, 150, 400, 1000):
+        for _ in range(6):
+            base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            copy = list(base)
+            for at in rng.sample(range(n), max(1, n // 60)):
+                copy[at] = f"x{rng.randrange(5000)}"
+            texts += [" ".join(base), " ".join(copy)]
+    texts += ["short one here", "Short one, here", "another short one"]
+    shingled = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (re.findall(r"\w+", t.lower()) for t in texts)]
+    near = lambda i, j: len(shingled[i] & shingled[j]) >= 0.8 * len(shingled[i] | shingled[j])
+    want = {i for i in range(len(texts)) if not any(near(i, j) for j in range(i))}
+    far = [i for i in range(len(texts)) if i not in want and bin(brute_fp(texts[i]) ^ brute_fp(texts[i - 1])).count("1") > 3]
+    assert len(far) > 5
+    docs = frame(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(None, texts[0], "en", "s", 1)], extra=False)
+    got = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert None in got and {d for d in got if d is not None} == want
