@@ -196,10 +196,12 @@ def snippets(spark, d):
 
 @query()
 def near_duplicate_components(spark, d):
-    """Near-duplicates by five-word shingles at a similarity of 0.8: a row for each document."""
+    """Near-duplicates by five-word shingles at a similarity of 0.8: a row for each document, short ones too; comparable tells those of 40 words."""
     from lumenfold.operators.similarity import near_duplicates
 
-    return near_duplicates(t(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+    docs = t(spark, d, "documents")
+    found = near_duplicates(docs, min_tokens=1).withColumnRenamed("id", "doc_id")
+    return found.join(tokenize_stats(spark, d).groupBy("doc_id").agg(F.max("comparable").alias("comparable")), "doc_id", "left")
 
 
 _SHINGLES = "w AS (SELECT doc_id, sha256(text) AS h, " + _TOKENS + """ AS w FROM documents),

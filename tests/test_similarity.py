@@ -60,3 +60,12 @@ def test_jaccard_of_empty_sets(spark):
     r = spark.range(1).select(similarity.jaccard(similarity.shingles(F.array().cast("array<string>")), similarity.shingles(F.array(F.lit("a")))).alias("j")).first()
     assert r["j"] == 0
     assert similarity.threshold_prefix(100) == 21
+
+
+def test_short_copies_are_linked_by_the_query(spark, tmp_path):
+    from lumenfold.plans.registry import QUERIES
+
+    texts = ["one two three four five six", "One two, three four five six", "hi", "Hi!", "", None, "..."]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["near_duplicate_components"](spark, str(tmp_path)).select("doc_id", "n_links", "group_id", "comparable").collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 0, False), (1, 1, 0, False), (2, 1, 2, False), (3, 1, 2, False), (4, 0, 4, False), (5, 0, 5, False), (6, 0, 6, False)]
