@@ -59,6 +59,22 @@ def write_warc(pages: DataFrame, path: str, at_least: int = 0, id_col: str = "pa
     joined.select(record.alias("value")).write.option("lineSep", crlf + crlf).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def unzipped(content: bytes) -> bytes:
+    """Plain bytes of a file: all members of a gzip file, one after the other; other files as they are.
+
+    Zero padding after a member ends the file; a member that is cut short or followed by anything else is an error."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    parts = []
+    while content:
+        member = zlib.decompressobj(31)
+        parts.append(member.decompress(content))
+        if not member.eof:
+            raise zlib.error("incomplete gzip member")
+        content = member.unused_data if member.unused_data.strip(b"\0") else b""
+    return b"".join(parts)
+
+
 def _field(header: bytes, name: bytes) -> bytes | None:
     m = re.search(rb"\r\n" + name + rb": ([^\r]*)", header)
     return m and m[1]
@@ -119,8 +135,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for i in range(batch.num_rows):
                 content = batch.column(1)[i].as_py()
-                data = zlib.decompress(content, 31) if content[:2] == b"\x1f\x8b" else content
-                rows += [(batch.column(0)[i].as_py(), *c) for c in candidates(data)]
+                rows += [(batch.column(0)[i].as_py(), *c) for c in candidates(unzipped(content))]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names) if rows else None
 
         return one

@@ -50,3 +50,11 @@ def test_pointer_jumping():
     offset = np.array([0, 10, 15, 20, 30, 45])
     assert warc.reachable(offset, np.array([10, 20, 30, 30, 99, 60])).tolist() == [True, True, False, True, True, False]
     assert warc.reachable(np.array([3]), np.array([9])).tolist() == [False]
+
+
+def test_one_gzip_member_a_record(spark, tmp_path):
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:%d>\r\nContent-Length: 7\r\n\r\n\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.warc.gz").write_bytes(b"".join(gzip.compress(record % i) for i in range(3)) + b"\0" * 8)
+    got = warc.read_warc(spark, f"{tmp_path}/m").select("page_id", "payload_bytes").collect()
+    assert sorted(map(tuple, got)) == [(0, 3), (1, 3), (2, 3)]
