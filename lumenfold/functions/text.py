@@ -25,6 +25,8 @@ SCRIPTS = {
 VOWELS = "[aeiouyàâäéèêëïîôöùûüœæAEIOUYÀÂÄÉÈÊËÏÎÔÖÙÛÜŒÆ]"
 # What counts as white space when a text is trimmed.
 SPACE = r"[\s\x{00a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters as a string.
+SPACES = " \t\n\x0b\f\r\u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # Extensions of files that may hold pictures of text.
 OCR_EXTENSIONS = ("pdf", "png", "jpg", "jpeg", "tif", "tiff", "bmp", "gif", "webp", "heic")
 # Signs of mass mail, and titles that say nothing.
@@ -35,7 +37,7 @@ BOILERPLATE_TITLE_FILES = 5
 
 
 def trim_all(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def tokens(text: Column) -> Column:
@@ -54,8 +56,8 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, others, ""))
 
 
-def dominant_script(text: Column) -> Column:
-    """The script with the most characters, the first listed on ties; null without any."""
+def dominant_script(text: Column, latin: Column | None = None) -> Column:
+    """The script with the most characters, the first listed on ties; null without any. latin: Latin characters besides those in ``text``."""
 
     def most(c: Column) -> Column:
         top = F.greatest(*(c[name] for name in SCRIPTS))
@@ -64,22 +66,32 @@ def dominant_script(text: Column) -> Column:
             out = F.when(c[name] == top, name).otherwise(out)
         return F.when(top > 0, out)
 
-    return let(F.struct(*(count_of(text, pattern).alias(name) for name, pattern in SCRIPTS.items())), most)
+    counts = {name: count_of(text, pattern) for name, pattern in SCRIPTS.items()}
+    if latin is not None:
+        counts["latin"] = counts["latin"] + latin
+    return let(F.struct(*(c.alias(name) for name, c in counts.items())), most)
 
 
 def quality_stats(text: Column) -> Column:
-    """A struct of the counts that the verdict needs."""
+    """A struct of the counts that the verdict needs.
+
+    ASCII letters are counted in one pass, all other classes in what is left of the text without ASCII."""
 
     def stats(trimmed: Column) -> Column:
-        words = F.filter(F.split(trimmed, r"[^\p{L}\p{N}'’-]+"), lambda x: x != "")
+        parts = F.struct(F.regexp_replace(trimmed, "[^A-Za-z]+", "").alias("ascii"), F.regexp_replace(trimmed, r"[\x00-\x7f]+", "").alias("rest"))
+        return let(parts, lambda p: counted(trimmed, p["ascii"], p["rest"]))
+
+    def counted(trimmed: Column, ascii_letters: Column, rest: Column) -> Column:
+        words = F.array_remove(F.split(trimmed, r"[^\p{L}\p{N}'’-]+"), "")
+        plain = F.length(ascii_letters)
         return F.struct(
             F.length(trimmed).alias("chars"),
-            count_of(trimmed, r"\p{L}").alias("letters"),
-            count_of(trimmed, "[�]").alias("replacements"),
-            count_of(trimmed, VOWELS).alias("vowels"),
+            (plain + count_of(rest, r"\p{L}")).alias("letters"),
+            count_of(rest, "[�]").alias("replacements"),
+            (plain - F.length(F.translate(ascii_letters, "aeiouyAEIOUY", "")) + count_of(rest, VOWELS)).alias("vowels"),
             F.size(words).alias("n_tokens"),
             F.size(F.filter(words, lambda x: F.length(x) == 1)).alias("single_char_tokens"),
-            dominant_script(trimmed).alias("script"),
+            dominant_script(rest, plain).alias("script"),
         )
 
     return let(trim_all(F.coalesce(text, F.lit(""))), stats)
@@ -90,7 +102,7 @@ def quality_verdict(size_bytes: Column) -> Column:
     chars, letters = F.col("chars"), F.col("letters")
     return (
         F.when(chars == 0, "empty")
-        .when(size_bytes > chars * NO_TEXT_LAYER_BYTES_PER_CHAR, "no_text_layer")
+        .when(size_bytes > chars.cast("long") * NO_TEXT_LAYER_BYTES_PER_CHAR, "no_text_layer")
         .when(F.col("replacements") / chars > MAX_REPLACEMENT_RATIO, "gibberish")
         .when(letters / chars < MIN_LETTER_RATIO, "gibberish")
         .when(F.col("n_tokens") < MIN_TOKENS, "too_short")

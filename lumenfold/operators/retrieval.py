@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import tokens
+from lumenfold.functions.text import let, tokens
 
 #: Fixed value: the constant of reciprocal-rank fusion.
 RRF_K = 60
@@ -98,11 +98,29 @@ def ranked(df: DataFrame, order: Sequence[Column], most: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def snippet(text: Column, term: str, before: int = 8, after: int = 13) -> Column:
-    """The words around a term's first occurrence, with the term marked; null without one."""
-    words = F.split(F.regexp_replace(F.trim(text), r"\s+", " "), " ")
-    at = F.array_position(F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]+", "")), term)
-    first = F.greatest(at - before, F.lit(1)).cast("int")
-    part = F.slice(words, first, (at + after - first + 1).cast("int"))
-    marked = F.transform(part, lambda w, i: F.when(i == (at - first), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
-    return F.when(at > 0, F.array_join(marked, " "))
+def snippet(text: Column, terms: Sequence[str], before: int = 8, after: int = 13) -> Column:
+    """At most two fragments joined by " … ", with every search word in them marked; null without one.
+
+    The first fragment lies around the first search word, the second around the first one behind that fragment. The text is
+    normalised and split as a whole, once; search words are found by array positions, without a step for each word."""
+    found = r"[^\p{L}\p{N} ]+"
+    spaced = lambda c: F.regexp_replace(F.trim(c), r"\s+", " ")
+
+    def place(bare: Column) -> Column:
+        """The first search word's place, from 1; null without one."""
+        return F.array_min(F.array(*(F.nullif(F.array_position(bare, x), F.lit(0)) for x in terms))).cast("int")
+
+    def around(w: Column, at: Column, least: Column) -> Column:
+        first = F.greatest(at - before, least)
+        marked = F.zip_with(F.slice(w["words"], first, at + after - first + 1), F.slice(w["bare"], first, at + after - first + 1), lambda x, b: F.when(b.isin(*terms), F.concat(F.lit("<mark>"), x, F.lit("</mark>"))).otherwise(x))
+        return F.array_join(marked, " ")
+
+    def both(w: Column) -> Column:
+        def from_first(at: Column) -> Column:
+            end = at + after  # words before the second fragment
+            second = F.when(F.size(w["bare"]) > end, place(F.slice(w["bare"], end + 1, F.size(w["bare"]))) + end)
+            return F.when(at.isNotNull(), let(second, lambda z: F.concat_ws(" … ", around(w, at, F.lit(1)), F.when(z.isNotNull(), around(w, z, end + 1)))))
+
+        return let(place(w["bare"]), from_first)
+
+    return let(spaced(text), lambda x: let(F.struct(F.split(x, " ").alias("words"), F.split(F.regexp_replace(F.lower(x), found, ""), " ").alias("bare")), both))

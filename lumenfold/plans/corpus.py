@@ -70,16 +70,16 @@ _RULES = """k(subject, ord, word) AS (VALUES ('Finance', 0, 'the'), ('Finance',
 SUBJECTS = {"Finance": ("the", "and"), "Academic": ("le", "que"), "Legal": ("der", "und"), "Personal": ("el", "los")}
 
 
-@query(f"""WITH {_RULES}, m AS (SELECT doc_id, subject, ord, sum(CASE WHEN contains(lower(source), word) THEN 3 ELSE 0 END + CASE WHEN contains(lower(left(text, 20000)), word) THEN 1 ELSE 0 END)::BIGINT AS score,
+@query(f"""WITH {_RULES}, m AS (SELECT doc_id, subject, ord, sum(CASE WHEN contains(lower(source), word) THEN 3 ELSE 0 END + CASE WHEN contains(lower(coalesce(text, '')), word) THEN 1 ELSE 0 END)::BIGINT AS score,
              bool_or(contains(lower(source), word)) AS in_name FROM documents, k GROUP BY ALL),
            b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS r FROM m)
            SELECT doc_id, CASE WHEN score > 0 THEN subject END AS subject, score, CASE WHEN score = 0 THEN 'low' WHEN in_name AND score >= 4 THEN 'high' WHEN in_name OR score >= 2 THEN 'medium' ELSE 'low' END AS confidence, least(0.99, score / 10) AS confidence_score
            FROM b WHERE r = 1""")
 def rule_classify(spark, d):
-    """Keyword classification: name hits count 3, body hits (first 20,000 characters, as the rule says) 1; the first subject wins ties.
+    """Keyword classification: name hits count 3, body hits (anywhere in the text) 1; the first subject wins ties.
 
     The taxonomy is a handful of subjects, so it is part of the expression: no join, one pass."""
-    docs = t(spark, d, "documents").select("doc_id", F.lower("source").alias("name"), F.lower(F.substring("text", 1, 20000)).alias("body"))
+    docs = t(spark, d, "documents").select("doc_id", F.lower("source").alias("name"), F.lower(F.coalesce("text", F.lit(""))).alias("body"))
     hits = []
     for i, (subject, words) in enumerate(SUBJECTS.items()):
         score = sum((F.when(F.contains("name", F.lit(w)), 3).otherwise(0) + F.when(F.contains("body", F.lit(w)), 1).otherwise(0) for w in words), F.lit(0))
@@ -188,10 +188,14 @@ def rrf_fusion(spark, d):
 
 
 @query(r"""WITH w AS (SELECT doc_id, string_split(regexp_replace(trim(text), '\s+', ' ', 'g'), ' ') AS w FROM documents),
-           p AS (SELECT doc_id, w, list_position(list_transform(w, lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]+', '', 'g')), 'the') AS pos FROM w)
-           SELECT doc_id, array_to_string(list_concat(w[greatest(pos - 8, 1):pos - 1], ['<mark>' || w[pos] || '</mark>'], w[pos + 1:pos + 13]), ' ') AS snippet FROM p WHERE pos > 0""")
+           b AS (SELECT doc_id, w, list_transform(w, lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]+', '', 'g')) AS bare FROM w),
+           m AS (SELECT doc_id, list_transform(list_zip(w, bare), lambda x: CASE WHEN x[2] IN ('the', 'que', 'der') THEN '<mark>' || x[1] || '</mark>' ELSE x[1] END) AS w, list_filter(range(1, len(w) + 1), lambda i: bare[i] IN ('the', 'que', 'der')) AS h FROM b),
+           p AS (SELECT doc_id, w, h[1] AS a, list_filter(h, lambda i: i >= h[1] + 14)[1] AS z FROM m WHERE len(h) > 0)
+           SELECT doc_id, array_to_string(w[greatest(a - 8, 1):a + 13], ' ') || CASE WHEN z IS NULL THEN '' ELSE ' … ' || array_to_string(w[greatest(z - 8, a + 14):z + 13], ' ') END AS snippet FROM p""")
 def snippets(spark, d):
-    return t(spark, d, "documents").select("doc_id", S.snippet(F.col("text"), "the").alias("snippet")).where("snippet is not null")
+    """Documents without a search word are left out; as an explosion of nothing, so that no filter makes the fragments a second time."""
+    found = F.array_compact(F.array(S.snippet(F.col("text"), _TERMS)))
+    return t(spark, d, "documents").select("doc_id", F.explode(found).alias("snippet"))
 
 
 @query()

@@ -234,3 +234,26 @@ def test_csv(spark, tmp_path):
     sinks.write_csv(df.coalesce(1), f"{tmp_path}/c")
     text = next((tmp_path / "c").glob("*.csv")).read_text()
     assert text.splitlines()[1] == '"1","say ""hi""","[""a""]"'
+
+
+def test_very_long_texts(spark):
+    """Counts of a text of 200,000 characters, and a size that no int holds."""
+    df = spark.createDataFrame([("ab cd, é " * 25_000, 1 << 40), ("word " * 40_000, 10)], "text string, bytes long")
+    flat = df.select(X.quality_stats(F.col("text")).alias("s"), "bytes").select("s.*", "bytes").withColumn("verdict", X.quality_verdict(F.col("bytes")))
+    a, b = sorted(flat.collect(), key=lambda r: -r["bytes"])
+    assert (a["chars"], a["letters"], a["vowels"], a["n_tokens"], a["single_char_tokens"], a["verdict"]) == (224_999, 125_000, 50_000, 75_000, 25_000, "no_text_layer")
+    assert (b["chars"], b["letters"], b["n_tokens"], b["script"], b["verdict"]) == (199_999, 160_000, 40_000, "latin", "ok")
+
+
+def test_snippets(spark):
+    from lumenfold.operators.retrieval import snippet
+
+    words = [f"w{i}" for i in range(60)]
+    one, two = list(words), list(words)
+    one[20] = "Cat,"
+    two[0], two[3], two[50] = "cat", "DOG", "(cat)"
+    df = spark.createDataFrame([(1, " ".join(one)), (2, "  ".join(two)), (3, "concatenate"), (4, None), (5, "")], "id int, text string")
+    got = {r["id"]: r["s"] for r in df.select("id", snippet(F.col("text"), ["cat", "dog"]).alias("s")).collect()}
+    assert got[1] == " ".join([*words[12:20], "<mark>Cat,</mark>", *words[21:34]])
+    assert got[2] == " ".join(["<mark>cat</mark>", "w1", "w2", "<mark>DOG</mark>", *words[4:14], "…", *words[42:50], "<mark>(cat)</mark>", *words[51:]])
+    assert got[3] is None and got[4] is None and got[5] is None
