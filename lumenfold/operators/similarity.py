@@ -8,7 +8,9 @@ the shingles its rows share, and returns link counts and a spanning forest.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +19,14 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.text import tokens
 from lumenfold.operators.groups import block_pairs, connected_components, forest, map_groups, written
+from lumenfold.operators.words import WordHashes, sequence_hashes
 
 SHINGLE, THRESHOLD, MIN_TOKENS = 5, 0.8, 40
 #: Eighths of the hash space in which sets without a partner are told before any set is kept. Any value gives the same links.
 PART = 3
+#: Texts and sets that a task remembers having given.
+SEEN = 1_000_000
+_WORD = re.compile(r"[^\W_]+")
 
 
 def shingles(words: Column, k: int = SHINGLE) -> Column:
@@ -36,31 +42,78 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(0.0)
 
 
+def shingle_set(text: str | None, size: int, hashes: WordHashes) -> tuple[int, np.ndarray]:
+    """Number of words (lower-cased runs of letters and digits), and the sorted distinct hashes of ``size`` consecutive ones.
+
+    Fewer words are one shingle, none an empty set."""
+    words = _WORD.findall((text or "").lower())
+    if not words:
+        return 0, np.zeros(0, np.int64)
+    grams = sequence_hashes(hashes(words), min(size, len(words)))
+    return len(words), np.unique(grams + np.uint64(max(0, size - len(words)))).view(np.int64)
+
+
 def _alone(texts: DataFrame, threshold: float, size: int, min_tokens: int) -> DataFrame:
     """Hashes k of texts that can only be similar to exact copies of themselves.
 
     A set with a partner has at most (1 - threshold) of its shingles for itself, so no more than that in a part of the hash space either."""
-    words = texts.select("k", tokens(F.col("text")).alias("w"))
-    sets = words.where(F.size("w") >= min_tokens).select("k", shingles(F.col("w"), size).alias("set"))
-    part = sets.select("k", F.size("set").alias("n"), F.explode(F.filter("set", lambda x: x.bitwiseAND(F.lit(7)) < PART)).alias("s"))
+
+    def run(batches):
+        hashes, seen = WordHashes(), set()
+        for batch in batches:
+            if len(seen) > SEEN:
+                seen.clear()
+            for low in range(0, batch.num_rows, 256):  # what is emitted at a time stays small
+                keys, sizes, own = [], [], []
+                for k, text in zip(batch.column(0).slice(low, 256).to_pylist(), batch.column(1).slice(low, 256).to_pylist()):
+                    if k in seen:
+                        continue
+                    seen.add(k)
+                    n_words, grams = shingle_set(text, size, hashes)
+                    if n_words >= min_tokens:
+                        own.append(grams[grams & 7 < PART])
+                        keys.append(np.full(len(own[-1]), k))
+                        sizes.append(np.full(len(own[-1]), len(grams), np.int32))
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, sizes, own)], names=["k", "n", "s"])
+
+    part = texts.select("k", "text").mapInArrow(run, "k long, n int, s long")
     once = part.groupBy("s").agg(F.min("k").alias("k"), F.max("k").alias("other"), F.max("n").alias("n")).where("k = other")
     return once.groupBy("k").agg(F.count("*").alias("own"), F.max("n").alias("n")).where(F.col("own") > F.col("n") - F.ceil(F.col("n") * threshold - 1e-9)).select("k")
 
 
+def _keyed_sets(texts: DataFrame, size: int, id_type: str) -> DataFrame:
+    """(id, n_words, key, set) of columns id, text: equal sets have equal keys, and a task gives each set once (null again)."""
+
+    def run(batches):
+        hashes, seen = WordHashes(), set()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(low, 256), []
+                if len(seen) > SEEN:
+                    seen.clear()
+                for text in part.column(1).to_pylist():
+                    n_words, grams = shingle_set(text, size, hashes)
+                    key = hashlib.sha256(grams.tobytes()).hexdigest()
+                    rows.append((n_words, key, None if key in seen else grams))
+                    seen.add(key)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.list_(pa.int64()))))], names=["id", "n_words", "key", "set"])
+
+    return texts.select("id", "text").mapInArrow(run, f"id {id_type}, n_words int, key string, set array<long>")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, min_tokens: int = MIN_TOKENS, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_links, group_id): documents linked directly, and the smallest id that links reach, itself included.
 
     Texts of fewer than ``min_tokens`` words, and those without any word, link with nothing. Repeated rows are documents of their own."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("k"))
-    alone = written(_alone(texts, threshold, k, min_tokens), "alone")
-    known = texts.join(alone.withColumn("alone", F.lit(True)), "k", "left").select("id", F.when(F.col("alone"), F.sha2("text", 256)).alias("copy"), F.when(F.col("alone").isNull(), F.col("text")).alias("text"))
-    words = known.select("id", "copy", tokens(F.col("text")).alias("w"))
-    sets = written(words.select("id", "copy", F.size("w").alias("n_words"), F.sort_array(shingles(F.col("w"), k)).alias("set")), "sets")
-    comparable = F.col("copy").isNotNull() | (F.col("n_words") >= min_tokens) & (F.size("set") > 0)
-    key = F.coalesce(F.concat(F.lit("copy "), "copy"), F.sha2(F.array_join(F.col("set").cast("array<string>"), ","), 256))
-    keyed = sets.where(comparable).withColumn("key", key)
-    ids = written(keyed.select("id", "key"), "ids")
-    classes = written(keyed.where("copy is null").groupBy("key").agg(F.any_value("set").alias("set"), F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    # Most texts are alone: the others are the smaller list, and only they are read again.
+    rest = written(texts.select("k").distinct().join(written(_alone(texts, threshold, k, min_tokens), "alone"), "k", "left_anti"), "rest")
+    copies = texts.select("id", "k", F.concat(F.lit("copy "), F.sha2("text", 256)).alias("key")).join(rest, "k", "left_anti").select("id", "key")
+    sets = written(_keyed_sets(texts.join(rest, "k", "left_semi"), k, docs.schema[id_col].dataType.simpleString()), "sets")
+    comparable = (F.col("n_words") >= min_tokens) & (F.col("n_words") > 0)
+    ids = written(sets.where(comparable).select("id", "key").unionByName(copies), "ids")
+    classes = written(sets.where(comparable).groupBy("key").agg(F.any_value("set", True).alias("set"), F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     spread = classes.select("cls", F.size("set").alias("size"), F.explode("set").alias("s"))
     shared = spread.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
