@@ -39,7 +39,7 @@ def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the unsigned fingerprint's bits in a signed long. Null and blank texts have 0."""
+    """(doc_id, fp): fp is the unsigned fingerprint's bits in a signed long. Null and blank texts have 0. Ids of any type."""
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return one
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col)), make, "doc_id long, fp long")
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col)), make, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 def _segment(i: int):

@@ -10,6 +10,8 @@ from pyspark.ml.feature import HashingTF, NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path), fixed values.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -36,22 +38,26 @@ def featurizer(n: int = 3, features: int = FEATURES) -> Pipeline:
 
 
 def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, max_labelled: int = 3000, url_col: str = "url") -> DataFrame:
-    """Adds host, path, rule, verdict and p_block to ``pages`` (columns of those names are replaced).
+    """Adds host, path, rule, verdict and p_block to ``pages``. Columns of those names are replaced; all others stay, whatever they are called.
 
     labelled: a small URL table (url, block 0/1); without it, the at most ``max_labelled`` pages with the smallest
     hash among those that a rule judges are the labelled table. Whatever it is, no more than ``max_labelled`` rows train. If they
     hold one class only, that is the verdict without a rule, and ``allow`` if there are none."""
-    host, path = host_and_path(url_col)
-    with_url = pages.withColumns({"host": host, "path": path})
+    added = ["host", "path", "rule", "verdict", "p_block"]
+    own = [(f"_{i}", name) for i, name in enumerate(pages.columns) if name not in added]
+    # The input's columns go by their places inside, so that no name of theirs can meet one of the model's.
+    held = pages.toDF(*(f"_{i}" for i in range(len(pages.columns))))
+    host, path = host_and_path(f"_{pages.columns.index(url_col)}")
     rule, verdict = longest_rule(rules)
-    judged = with_url.withColumns({"rule": rule, "_says": verdict})
+    judged = held.select(*(i for i, _ in own), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "says": verdict})
     chars = F.split(F.concat(F.lit("^"), "host", F.lit(" "), "path", F.lit("$")), "")
     if labelled is None:
-        table = judged.where("rule is not null").select("host", "path", (F.col("_says") == "block").cast("double").alias("label"))
+        table = judged.where("rule is not null").select("host", "path", (F.col("says") == "block").cast("double").alias("label"))
     else:
         h, p = host_and_path("url")
         table = labelled.select(h.alias("host"), p.alias("path"), F.col("block").cast("double").alias("label"))
-    table = table.orderBy(F.xxhash64("host", "path"), "host", "path", "label").limit(max_labelled).withColumn("chars", chars).coalesce(1).cache()
+    table = table.orderBy(F.xxhash64("host", "path"), "host", "path", "label").limit(max_labelled)
+    table = written(table.coalesce(1), "labelled").withColumn("chars", chars)
     classes = [r["label"] for r in table.select("label").distinct().collect()]
     if len(classes) < 2:
         p_block = F.lit(classes[0] if classes else 0.0)
@@ -62,7 +68,6 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES
         scored = model.setPredictionCol("").setRawPredictionCol("").transform(features.transform(judged.withColumn("chars", chars)))
         from pyspark.ml.functions import vector_to_array
 
-        scored = scored.withColumn("p_block", vector_to_array("probability")[1]).drop("chars", "grams", "features", "probability")
-    table.unpersist()
-    verdict = F.coalesce("_says", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))
-    return scored.withColumn("verdict", verdict).drop("_says")
+        scored = scored.withColumn("p_block", vector_to_array("probability")[1])
+    verdict = F.coalesce("says", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))
+    return scored.withColumn("verdict", verdict).select(*(F.col(i).alias(name) for i, name in own), *added)

@@ -21,9 +21,13 @@ from lumenfold.llm.common import map_batches
 from lumenfold.llm.components import map_groups
 
 MAGIC = b"WARC/1.1\r\n"
+#: Versions that are read.
+MAGICS = re.compile(rb"WARC/1\.[01]\r\n")
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Records of one archive file.
 RECORDS_PER_FILE = 2000
+#: Bytes of the payloads of one archive file, unless it holds a single larger one.
+FILE_BYTES = 128 << 20
 
 
 def sha1_base32(column: Column) -> Column:
@@ -33,8 +37,8 @@ def sha1_base32(column: Column) -> Column:
     return F.array_join(F.transform(digits, lambda v: F.concat(*(letter(v, s) for s in (15, 10, 5, 0)))), "")
 
 
-def write_warc(pages: DataFrame, path: str, at_least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", records_per_file: int = RECORDS_PER_FILE) -> None:
-    """One record a row. Of rows with equal payloads of at least ``at_least`` bytes, those with the smallest id are responses, others revisit it.
+def write_warc(pages: DataFrame, path: str, at_least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """One record a row, in gzip files of at most ``records_per_file`` records and ``file_bytes`` bytes of payload (a larger payload has a file to itself). Of rows with equal payloads of at least ``at_least`` bytes, those with the smallest id are responses, others revisit it.
 
     A null html is an empty payload, a null url leaves its header out. A row with a null id is a response without a record id, and
     nothing refers to it. Line ends in a url are percent-encoded. Repeated rows are repeated records of the same type. An empty table writes no records."""
@@ -56,7 +60,19 @@ def write_warc(pages: DataFrame, path: str, at_least: int = 0, id_col: str = "pa
         line("WARC-Target-URI", safe_url), line("WARC-Date", F.lit("2000-01-01T00:00:00Z")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1_base32(F.col("html")))),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", F.octet_length(block).cast("string")), F.lit(crlf), block,
     )
-    joined.select(record.alias("value")).write.option("lineSep", crlf + crlf).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    # Payloads of a size class are written together, so that a number of records bounds a file's bytes.
+    steps, most = [], max(1, file_bytes // records_per_file)
+    while not steps or steps[-1][1] is not None:
+        steps.append((steps[-1][1] if steps else -1, most if most <= file_bytes else None))
+        most *= 16
+    bytes_ = F.octet_length("html")
+    within = lambda low, high: (bytes_ > low) & (bytes_ <= high) if high is not None else bytes_ > low
+    there = sums.agg(*(F.count_if((F.col("bytes") > low) & ((F.col("bytes") <= high) if high is not None else F.lit(True))) for low, high in steps)).first()
+    for k, (low, high) in enumerate(steps):
+        if there[k] or not k:
+            number = min(records_per_file, max(1, file_bytes // high)) if high is not None else 1
+            part = joined.where(within(low, high)).select(record.alias("value"))
+            part.write.mode("append").option("lineSep", crlf + crlf).option("compression", "gzip").option("maxRecordsPerFile", number).text(path)
 
 
 def unzipped(content: bytes) -> bytes:
@@ -84,8 +100,9 @@ def candidates(data: bytes) -> list[tuple]:
     """(offset, successor, page id, type, refers to, payload bytes, payload digest) of every magic string that heads a whole record.
 
     The digest is taken of the payload itself, for a revisit from the header."""
-    out, at = [], data.find(MAGIC)
-    while at >= 0:
+    out = []
+    for m in MAGICS.finditer(data):
+        at = m.start()
         head = data.find(b"\r\n\r\n", at)
         header = data[at : head + 2]
         length = _field(header, b"Content-Length")
@@ -104,7 +121,6 @@ def candidates(data: bytes) -> list[tuple]:
                 else:
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 out.append((at, end + 4, ids[0], kind, ids[1], size, digest))
-        at = data.find(MAGIC, at + 1)
     return out
 
 
@@ -122,11 +138,16 @@ def reachable(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
     return seen[:n]
 
 
+#: Record types of no record: the file's end among the candidates, and the place where a chain stops.
+END, BROKEN = "end", "broken"
 FIELDS = "path string, offset long, successor long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records (FIELDS) of all archives below ``path``, plain or gzip; a file's records stop where its chain breaks."""
+def read_warc(spark: SparkSession, path: str, broken: str = "fail") -> DataFrame:
+    """The records (FIELDS) of all archives below ``path``: WARC 1.0 and 1.1, plain or gzip of one member or many.
+
+    A file whose chain breaks before its end fails the job; with ``broken="mark"`` its records up to there are followed by a row of the record
+    type ``broken`` at the offset where the chain stops, and payload_bytes are the bytes that were not read. An empty file has no records."""
     names = [f.split()[0] for f in FIELDS.split(", ")]
     types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
@@ -134,8 +155,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             rows = []
             for i in range(batch.num_rows):
-                content = batch.column(1)[i].as_py()
-                rows += [(batch.column(0)[i].as_py(), *c) for c in candidates(unzipped(content))]
+                data = unzipped(batch.column(1)[i].as_py())
+                # The file's end is a candidate as well: an unbroken chain reaches it.
+                found = [*candidates(data), (len(data), -1, None, END, None, 0, None)]
+                rows += [(batch.column(0)[i].as_py(), *c) for c in found]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names) if rows else None
 
         return one
@@ -143,6 +166,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def chain(group: dict[str, np.ndarray]) -> pa.RecordBatch | None:
         order = np.argsort(group["offset"], kind="stable")
         keep = order[reachable(group["offset"][order], group["successor"][order])]
+        end = order[group["record_type"][order] == END][0]
+        whole_file = len(keep) > 0 and keep[-1] == end
+        if not whole_file:
+            at = int(group["successor"][keep[-1]]) if len(keep) else 0
+            if broken == "fail":
+                raise ValueError(f"the chain of {group['path'][0]} breaks at {at} of {group['offset'][end]} bytes")
+            group["record_type"][end], group["payload_bytes"][end] = BROKEN, group["offset"][end] - at
+            group["offset"][end], group["successor"][end] = at, at
+        keep = np.append(keep, end) if not whole_file else keep[:-1]
         whole = lambda v: [None if x is None or x != x else int(x) for x in v]
         columns = [group[n][keep] if not pa.types.is_int64(t) else whole(group[n][keep]) for n, t in zip(names, types)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names) if len(keep) else None

@@ -27,6 +27,46 @@ def test_rules(spark):
     assert {r["verdict"] for r in only.collect()} == {"block"}
 
 
+def test_every_column_comes_back(spark):
+    """Names of the model's own columns, of the results and odd ones."""
+    names = "features grams probability chars _says says label host path rule prediction rawPrediction _0 _1 a.b".split()
+    df = spark.createDataFrame([(i, u[0], *(f"{n}{i}" for n in names)) for i, u in enumerate(URLS)], "page_id long, url string, " + ", ".join(f"`{n}` string" for n in names))
+    out = urlfilter.url_verdicts(df)
+    assert sorted(out.columns) == sorted({*df.columns, "host", "path", "rule", "verdict", "p_block"})
+    for r in out.collect():
+        assert all(r[n] == f"{n}{r['page_id']}" for n in names if n not in ("host", "path", "rule")) and r["host"] == URLS[r["page_id"]][1]
+
+
+def test_verdicts_are_those_of_the_regression(spark):
+    """The same features and weights by hand: Spark's hashing of trigrams, then a plain logistic regression by gradient steps."""
+    import numpy as np
+    from pyspark.ml.feature import HashingTF
+
+    rng = np.random.default_rng(4)
+    names = ["".join(rng.choice(list("abcdef"), 6)) for _ in range(40)]
+    urls = [(f"http://{n}.{'biz/win' if i % 2 else 'info/story'}/{i}", i % 2) for i, n in enumerate(names)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    got = {r["page_id"]: r for r in urlfilter.url_verdicts(pages, rules=(), labelled=spark.createDataFrame(urls, "url string, block int")).collect()}
+    tf, rows = HashingTF(numFeatures=urlfilter.FEATURES, binary=True), []
+    for i in range(len(urls)):
+        x = list(f"^{got[i]['host']} {got[i]['path']}$")
+        rows.append(sorted({tf.indexOf(" ".join(x[j : j + 3])) for j in range(len(x) - 2)}))
+    used = sorted({k for r in rows for k in r})
+    x = np.zeros((len(rows), len(used)))
+    for i, r in enumerate(rows):
+        x[i, np.searchsorted(used, r)] = 1
+    y = np.array([b for _, b in urls], float)
+    scale = x.std(0, ddof=1)
+    z, w, b = x / np.where(scale > 0, scale, 1) * (scale > 0), np.zeros(len(used)), 0.0
+    for _ in range(4000):
+        d = 1 / (1 + np.exp(-(z @ w + b))) - y
+        w -= 0.05 * (z.T @ d / len(y) + 0.002 * w)
+        b -= 0.05 * d.mean()
+    p = 1 / (1 + np.exp(-(z @ w + b)))
+    assert np.abs(p - [got[i]["p_block"] for i in range(len(urls))]).max() < 0.02
+    assert all(got[i]["verdict"] == ("block" if p[i] >= 0.5 else "allow") for i in range(len(urls)))
+
+
 def test_learns_from_a_labelled_table(spark):
     labelled = spark.createDataFrame([(f"http://spam{i}.biz/win/{i}", 1) for i in range(30)] + [(f"http://news{i}.info/story/{i}", 0) for i in range(30)], "url string, block int")
     pages = spark.createDataFrame([(1, "http://spam99.biz/win/5"), (2, "http://news77.info/story/8")], "page_id long, url string")

@@ -3,6 +3,8 @@ import gzip
 import hashlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from lumenfold.llm import warc
 
@@ -31,6 +33,30 @@ def test_round_trip(spark, tmp_path):
         assert sorted((tuple(r) for r in got), key=repr) == want(least)
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, "u", "x" * n + str(i)) for i, n in enumerate([10] * 50 + [900] * 20 + [20_000] * 6 + [400_000] * 3)]
+    path = f"{tmp_path}/b"
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, records_per_file=16, file_bytes=64_000)
+    sizes = spark.read.format("binaryFile").load(path).select("content").rdd.map(lambda r: len(gzip.decompress(bytes(r[0])))).collect()
+    assert sum(s > 100_000 for s in sizes) == 3
+    assert sorted(r["page_id"] for r in warc.read_warc(spark, path).collect()) == list(range(79))
+
+
+def test_versions_and_broken_chains(spark, tmp_path):
+    head = b"%s\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:%d>\r\nContent-Length: 7\r\n\r\n\r\n\r\nabc\r\n\r\n"
+    good = head % (b"WARC/1.0", 1) + head % (b"WARC/1.1", 2)
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_bytes(good)
+    (tmp_path / "w" / "empty.warc").write_bytes(b"")
+    assert sorted(r["page_id"] for r in warc.read_warc(spark, f"{tmp_path}/w").collect()) == [1, 2]
+    (tmp_path / "w" / "b.warc").write_bytes(good + b"junk" + good)
+    (tmp_path / "w" / "c.warc").write_bytes(b"junk")
+    with pytest.raises(Exception, match="breaks at"):
+        warc.read_warc(spark, f"{tmp_path}/w").collect()
+    got = warc.read_warc(spark, f"{tmp_path}/w", broken="mark").select(F.element_at(F.split("path", "/"), -1).alias("f"), "page_id", "record_type", "offset", "payload_bytes").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([("a.warc", 1, "response", 0, 3), ("a.warc", 2, "response", len(good) // 2, 3), ("b.warc", 1, "response", 0, 3), ("b.warc", 2, "response", len(good) // 2, 3), ("b.warc", None, "broken", len(good), len(good) + 4), ("c.warc", None, "broken", 0, 4)], key=repr)
+
+
 def test_empty(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/e")
     assert warc.read_warc(spark, f"{tmp_path}/e").collect() == []
