@@ -26,13 +26,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; rows with a null id stay.
-
-    Linked are fingerprints within op10's distance, and all texts whose five-word shingles have a similarity of 0.8 (exact, of any length)."""
-    marked = simhash.near_duplicates(docs).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    alike = similarity.near_duplicates(docs, min_tokens=1).select(F.col("id").alias("a"), F.col("group_id").alias("b"))
-    gone = connected_components(marked.unionByName(alike)).where("id > component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(written(gone, "gone"), "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of linked texts one row stays: that with the smallest id (null ids last), then the smallest text, language and source.
+
+    Linked are equal texts, fingerprints within op10's distance, and all texts whose five-word shingles have a similarity of 0.8
+    (exact, of any length). Rows are told apart by their texts: of repeated rows one is left, of two texts under one id each is judged by itself,
+    and rows with a null id go like others."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.md5(text).alias("key"), text.alias("text"))
+    marked = simhash.near_duplicates(keyed, "key").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    alike = similarity.near_duplicates(keyed, min_tokens=1, id_col="key").select(F.col("id").alias("a"), F.col("group_id").alias("b"))
+    found = connected_components(marked.unionByName(alike))
+
+    # A row's place in its group; rows with equal places are equal.
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.md5(text).alias("key"), "lang", "source", "n_chars").alias("place")
+    rows = docs.select(place).join(found, F.col("place.key") == F.col("id"), "left").withColumn("component", F.coalesce("component", "place.key"))
+    places = rows.groupBy("component", "place").agg(F.count("*").alias("n"))
+    first = places.groupBy("component").agg(F.min(F.struct("place", "n")).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
+    keys = places.select("component", F.col("place.key").alias("key")).distinct()
+    lists = written(keys.join(first, "component").select("key", "first"), "near-groups")
+    judged = docs.withColumn("place", place).withColumn("key", F.col("place.key")).join(lists, "key", "left")
+    kept = judged.where("first is null or place <=> first.place")
+    repeats = F.coalesce(F.col("first.n") > 1, F.lit(False))
+    return kept.where(~repeats).select(*COLUMNS).unionByName(kept.where(repeats).select(*COLUMNS).dropDuplicates())
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
