@@ -23,54 +23,26 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import map_batches, text_bytes, written
 from lumenfold.llm.components import map_groups
+from lumenfold.operators.words import WordHashes, sequence_hashes
 
 LENGTH, GRAM = 20, 6
 #: Windows of one run at most.
 RUN = 64
-#: Words whose runs a task packs together.
-PACK_WORDS = 3_000_000
+#: Words whose runs a task packs together, and words that it holds as such at a time.
+PACK_WORDS, HELD_WORDS = 3_000_000, 200_000
+#: Bytes of text whose anchors are one shard.
+SHARD_BYTES = 32 << 20
 #: Different runs of an anchor beyond which its windows are dealt out one by one.
 HOT = 4096
 #: Hot anchors up to which they are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ANCHORS = 200_000
-#: A null id comes after all others.
-NO_ID = (1 << 63) - 1
-_CACHED = 400_000
-
-
-class WordHashes:
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.values = np.zeros(1 << 12, np.uint64)
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.index) > _CACHED:
-            self.clear()
-        missing = set(words).difference(self.index)
-        if missing:
-            at, digest = len(self.index), xxhash.xxh64_digest
-            new = np.frombuffer(b"".join([digest(w) for w in missing]), ">u8").astype(np.uint64)
-            while at + len(new) > len(self.values):
-                self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-            self.values[at : at + len(new)] = new
-            self.index.update(zip(missing, range(at, at + len(new))))
-        return self.values[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
+#: Places of texts with a null id begin here, behind all ids.
+NO_ID = 1 << 62
 
 
 def anchors(hashes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """The anchor of the window that starts at each word (len - length + 1 of them), and the hash of each word sequence."""
-    grams = np.zeros(len(hashes) - gram + 1, np.uint64)
-    for j in range(gram):
-        grams *= np.uint64(0x9E3779B97F4A7C15)
-        grams += hashes[j : j + len(grams)]
-    grams ^= grams >> np.uint64(31)
-    grams *= np.uint64(0xBF58476D1CE4E5B9)
-    grams ^= grams >> np.uint64(29)
+    grams = sequence_hashes(hashes, gram)
     span, width, low = length - gram + 1, 1, grams
     while width * 2 <= span:
         low = np.minimum(low[:-width], low[width:])
@@ -129,27 +101,21 @@ def shared_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, first, windows, anchor) of the runs whose anchor is met again, of columns doc_id and text (bytes).
 
     A task sends an anchor that it meets several times once, without places, however often: it keeps those runs itself."""
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = -(-size // SHARD_BYTES) + 8
 
     def make():
         hashes = WordHashes()
 
-        def pack(ids: list[int], split: list[list[bytes]], out: list[tuple]) -> None:
-            counts = np.array([len(w) for w in split], np.int64)
-            parts, at = [], 0
-            while at < len(split):
-                to = at + 1
-                total = counts[at]
-                while to < len(split) and total + counts[to] <= 200_000:
-                    total += counts[to]
-                    to += 1
-                a, d, s, n, own = runs_of(hashes([w for words in split[at:to] for w in words]), counts[at:to], length)
-                parts.append((a, d + at, s, n, own))
-                at = to
-            a, d, s, n, own = (np.concatenate(c) for c in zip(*parts))
-            doc = np.array(ids, np.int64)[d]
+        def runs(ids: list[int], split: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+            a, d, s, n, own = runs_of(hashes([w for words in split for w in words]), np.array([len(w) for w in split], np.int64), length)
+            return a, np.array(ids, np.int64)[d], s.astype(np.int32), n.astype(np.uint8), own
+
+        def pack(parts: list[tuple[np.ndarray, ...]], out: list[tuple]) -> None:
+            a, doc, s, n, own = (np.concatenate(c) for c in zip(*parts))
+            parts.clear()
             order = np.argsort(a, kind="stable")
-            a, doc, s, n = a[order], doc[order], s[order].astype(np.int32), n[order].astype(np.uint8)
+            a, doc, s, n = a[order], doc[order], s[order], n[order]
             new = np.append(True, a[1:] != a[:-1]) if len(a) else np.zeros(0, bool)
             first = np.flatnonzero(new)
             size = np.diff(np.append(first, len(a)))
@@ -166,14 +132,19 @@ def shared_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append((int(a[0] % np.uint64(shards)), None, None, _pack(a[several], doc[several], s[several], n[several])))
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            ids, texts, out, split, held, size = batch.column(0).to_pylist(), batch.column(1), [], [], [], 0
+            ids, texts, out, parts, split, held, size, packed = batch.column(0).to_pylist(), batch.column(1), [], [], [], [], 0, 0
             for i in range(batch.num_rows):
                 split.append((texts[i].as_py() or b"").split())
                 held.append(ids[i])
                 size += len(split[-1])
-                if size >= PACK_WORDS or i == batch.num_rows - 1:
-                    pack(held, split, out)
+                last = i == batch.num_rows - 1
+                if size >= HELD_WORDS or last:
+                    parts.append(runs(held, split))
+                    packed += size
                     split, held, size = [], [], 0
+                if packed >= PACK_WORDS or last:
+                    pack(parts, out)
+                    packed = 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "once", "several", "own"]) if out else None
 
         return one
@@ -258,8 +229,8 @@ class SuffixAutomaton:
         return out
 
 
-def repeated(rows: list[tuple[int, int, bytes]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """rows: (document, first word, words joined by spaces) of a reference shard, in order of place. Spans of each row's words that
+def repeated(rows: list[tuple[tuple[int, int], int, bytes]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """rows: (document (id, hash of the text), first word, words joined by spaces) of a reference shard, in order of place. Spans of each row's words that
     windows with an earlier place cover."""
     automaton, out = SuffixAutomaton(), []
     for k, (doc, start, text) in enumerate(rows):
@@ -285,18 +256,18 @@ def repeated(rows: list[tuple[int, int, bytes]], length: int = LENGTH) -> list[l
 
 
 def shard_spans(rows: list[list], length: int) -> list[tuple[int, int, int, int]]:
-    """(document, key, begin, end) to be removed, of a reference shard's rows (document, begin, key, words) in order of place.
+    """(document, key, begin, end) to be removed, of a reference shard's rows (document, key, begin, words) in order of place.
 
     A run that is equal to an earlier one goes as a whole; different ones are streamed through the automaton."""
-    first: dict[bytes, tuple[int, int]] = {}
-    for doc, begin, _, text in rows:
-        first.setdefault(text, (doc, begin))
+    first: dict[bytes, tuple[tuple[int, int], int]] = {}
+    for doc, key, begin, text in rows:
+        first.setdefault(text, ((doc, key), begin))
     found: dict[bytes, list[tuple[int, int]]] = {}
     if len(first) > 1 or rows and len(set(w := rows[0][3].split(b" "))) <= len(w) - length:
         found = dict(zip(first, repeated([(d, b, t) for t, (d, b) in first.items()], length)))
     out = []
-    for doc, begin, key, text in rows:
-        if first[text] != (doc, begin):
+    for doc, key, begin, text in rows:
+        if first[text] != ((doc, key), begin):
             out.append((doc, key, begin, begin + text.count(b" ") + 1))
         elif found:
             out += [(doc, key, a, b) for a, b in found[text]]
@@ -310,16 +281,16 @@ class _Firsts:
         self.length, self.held, self.spans = length, {}, []
 
     def add(self, anchor: int, doc: int, key: int, first: int, text: bytes) -> None:
-        place = (doc, first, key)
-        before = self.held.get((anchor, text))
-        if before is None or place < before:
-            self.held[anchor, text] = place
-            place, before = before, place
-        if place is not None and place[:2] != before[:2]:
-            self.spans.append((place[0], place[2], place[1], place[1] + text.count(b" ") + 1))
+        now = (doc, key, first)
+        before = self.held.setdefault((anchor, text), now)
+        if now < before:
+            self.held[anchor, text], now = now, before
+        elif now == before:
+            return
+        self.spans.append((*now, now[2] + text.count(b" ") + 1))
 
     def take(self) -> pa.RecordBatch | None:
-        rows = [(a, d, k, f, None, t) for (a, t), (d, f, k) in self.held.items()] + [(None, d, k, a, b, None) for d, k, a, b in self.spans]
+        rows = [(a, d, k, f, None, t) for (a, t), (d, k, f) in self.held.items()] + [(None, d, k, a, b, None) for d, k, a, b in self.spans]
         self.held, self.spans = {}, []
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["anchor", "doc_id", "key", "begin", "end", "words"]) if rows else None
@@ -364,7 +335,7 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
         return one
 
     dealt = written(map_batches(marked.where("hot").select(*texts.columns), deal, _RUNS), "hot-runs")
-    shards = marked.where("hot is null").select(*texts.columns).unionByName(dealt.where("anchor is not null")).select("anchor", "doc_id", "begin", "key", "words")
+    shards = marked.where("hot is null").select(*texts.columns).unionByName(dealt.where("anchor is not null")).select("anchor", "doc_id", "key", "begin", "words")
 
     def match(batches):
         rows, anchor = [], None
@@ -384,7 +355,7 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
         if out := shard_spans(rows, length):
             yield spans(out)
 
-    dealt_out = shards.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "begin", "key")
+    dealt_out = shards.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "key", "begin")
     found = dealt_out.mapInArrow(match, "doc_id long, key long, begin int, end int")
     decided = [r.where("anchor is null").select("doc_id", "key", "begin", "end") for r in (runs, dealt)]
     return found.unionByName(decided[0]).unionByName(decided[1])
@@ -395,9 +366,11 @@ def without_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, id_c
 
     A word goes if a window over it also starts earlier: in a document with a smaller id, or earlier in the same one. Windows are judged on the
     input. Words are split at ASCII white space and compared byte by byte. Repeated rows (same id and text) are one
-    document and keep or lose the same words; rows with the same id but other texts are compared by start. A null id is larger than all others. Texts
-    of fewer than ``length`` words stay. An empty table gives no rows."""
-    rows = docs.select(*keep, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64(text_col).alias("_key"), text_bytes(text_col).alias("_text_bytes"))
+    document and keep or lose the same words; other texts with the same id are other documents, in the order of their hashes. Texts with a null id are documents behind
+    all ids (below 2^62), in the order of their hashes; so no key gathers them. Texts of fewer than ``length`` words stay. An empty table gives no rows."""
+    key = F.xxhash64(text_col)
+    place = F.coalesce(F.col(id_col).cast("long"), key.bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
+    rows = docs.select(*keep, place.alias("_doc"), key.alias("_key"), text_bytes(text_col).alias("_text_bytes"))
     spans = _spans(rows.select(F.col("_doc").alias("doc_id"), F.col("_key").alias("key"), F.col("_text_bytes").alias("text")), length)
     own = spans.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("_spans"))
     joined = rows.join(own, ["_doc", "_key"], "left").select(*keep, "_text_bytes", "_spans")

@@ -1,22 +1,27 @@
 import random
 
+import xxhash
 from tests.llm.helpers import documents, frame, sentence
 
 from lumenfold.llm import substring
 
 
 def brute(docs, length=20):
-    split = {(d[0], d[1]): [w for w in (d[1] or "").replace("\t", " ").replace("\n", " ").split(" ") if w] for d in docs}
+    def place(d):
+        key = xxhash.xxh64_intdigest(d[1] or "", 42)
+        return (substring.NO_ID + (key & substring.NO_ID - 1) if d[0] is None else d[0]), key - (key >> 63 << 64)
+
+    split = {(place(d), d[1]): [w for w in (d[1] or "").replace("\t", " ").replace("\n", " ").split(" ") if w] for d in docs}
     first = {}
     for (doc, _), w in split.items():
         for i in range(len(w) - length + 1):
             key = tuple(w[i : i + length])
-            first[key] = min(first.get(key, (1 << 62, 0)), (doc, i))
+            first[key] = min(first.get(key, ((1 << 63, 0), 0)), (doc, i))
     out = []
     for d in docs:
-        w, gone = split[d[0], d[1]], set()
+        w, gone = split[place(d), d[1]], set()
         for i in range(len(w) - length + 1):
-            if first[tuple(w[i : i + length])] < (d[0], i):
+            if first[tuple(w[i : i + length])] < (place(d), i):
                 gone |= set(range(i, i + length))
         out.append((d[0], len(w), len(gone), None if d[1] is None else " ".join(x for i, x in enumerate(w) if i not in gone)))
     return sorted(out, key=repr)
@@ -32,6 +37,14 @@ def test_against_brute_force(spark):
     check(spark, documents(seed=9, n=150))
 
 
+def test_null_and_repeated_ids(spark, monkeypatch):
+    """Texts with a null id are documents of their own behind all others; other texts under one id are ordered by their hashes."""
+    monkeypatch.setattr(substring, "HELD_WORDS", 300)
+    monkeypatch.setattr(substring, "PACK_WORDS", 700)
+    docs = documents(seed=5, n=40)
+    check(spark, [((None, d[0], 7)[i % 3], *d[1:]) for i, d in enumerate(docs) if d[1]])
+
+
 def test_periodic_texts_and_hot_passages(spark, monkeypatch):
     rng = random.Random(1)
     passage = sentence(rng, 60)
