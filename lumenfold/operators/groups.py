@@ -64,6 +64,30 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(a.alias("id"), b.alias("component")).unionByName(now.select(b.alias("id"), b.alias("component")).distinct())
 
 
+#: Keys that hold more than one in so many rows are hot: no table has more hot keys than that, so a list of them is small.
+HOT_SHARE = 2000
+
+
+def hot_keys(counts: DataFrame, n: str = "n", least: int = 1000) -> DataFrame:
+    """Marks the rows of a table (key, n), a row a key: ``hot`` where n is more than ``least`` and than one in HOT_SHARE of the sum."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.withColumn("hot", F.col(n) > max(least, total / HOT_SHARE))
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Left join of string keys with facts (a row a key, with ``hot`` as of hot_keys).
+
+    Hot keys' facts are broadcast (at most HOT_SHARE rows) and their rows stay where they are; only the others are dealt by key."""
+    own = [c for c in facts.columns if c not in (key, "hot")]
+    few = facts.where("hot").select(F.col(key).alias("_few"), F.struct(*own).alias("_hot"))
+    many = facts.where("not hot").select(F.col(key).alias("_many"), F.struct(*own).alias("_cold"))
+    near = rows.join(F.broadcast(few), F.col(key) == F.col("_few"), "left")
+    # A hot key's rows meet no other fact: they are dealt by themselves.
+    spread = F.when(F.col("_few").isNull(), F.col(key)).otherwise(F.concat_ws(" ", key, F.xxhash64(*rows.columns, F.spark_partition_id()).cast("string")))
+    both = near.withColumn("_spread", spread).join(many, F.col("_spread") == F.col("_many"), "left")
+    return both.select(*rows.columns, *(F.coalesce(F.col("_hot")[c], F.col("_cold")[c]).alias(c) for c in own))
+
+
 def block_pairs(rows: DataFrame, group: list[str], size: int, order: Column, blocks: DataFrame | None = None) -> DataFrame:
     """Gives each row to the pairs of blocks of its group that it takes part in: columns block_a <= block_b, in_a, in_b.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import tokens
-from lumenfold.operators.groups import block_pairs, connected_components, forest, map_groups, written
+from lumenfold.operators.groups import block_pairs, connected_components, forest, hot_keys, join_facts, map_groups, written
 from lumenfold.operators.words import WordHashes, sequence_hashes
 
 SHINGLE, THRESHOLD, MIN_TOKENS = 5, 0.8, 40
@@ -107,13 +107,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
 
     Texts of fewer than ``min_tokens`` words, and those without any word, link with nothing. Repeated rows are documents of their own."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("k"))
-    # Most texts are alone: the others are the smaller list, and only they are read again.
-    rest = written(texts.select("k").distinct().join(written(_alone(texts, threshold, k, min_tokens), "alone"), "k", "left_anti"), "rest")
-    copies = texts.select("id", "k", F.concat(F.lit("copy "), F.sha2("text", 256)).alias("key")).join(rest, "k", "left_anti").select("id", "key")
-    sets = written(_keyed_sets(texts.join(rest, "k", "left_semi"), k, docs.schema[id_col].dataType.simpleString()), "sets")
+    # Most texts are alone: the others are the smaller list, and only they are read again; of a text with very many copies, one.
+    alone = written(_alone(texts, threshold, k, min_tokens).withColumn("alone", F.lit(True)), "alone")
+    counts = written(hot_keys(texts.groupBy("k").agg(F.count("*").alias("n"))), "counts")
+    marked = written(counts.join(alone, "k", "left").select("k", "n", "hot", F.coalesce("alone", F.lit(False)).alias("alone")), "marked")
+    hot, rest = marked.where("hot"), marked.where("not hot and not alone").select("k")  # hot: at most HOT_SHARE rows
+    cold = texts.join(F.broadcast(hot.select("k")), "k", "left_anti")
+    copy_key = F.concat(F.lit("copy "), F.sha2("text", 256))
+    copies = cold.select("id", "k", copy_key.alias("key")).join(rest, "k", "left_anti").select("id", "key")
+    one = texts.join(F.broadcast(hot.where("not alone").select("k", "n")), "k").groupBy("k").agg(F.any_value("text").alias("text"), F.max("n").alias("n"))
+    hot_sets = written(_keyed_sets(one.select(F.struct("k", "n").alias("id"), "text"), k, "struct<k:bigint,n:bigint>"), "hot-sets")
+    sets = written(_keyed_sets(cold.join(rest, "k", "left_semi"), k, docs.schema[id_col].dataType.simpleString()), "sets")
     comparable = (F.col("n_words") >= min_tokens) & (F.col("n_words") > 0)
-    ids = written(sets.where(comparable).select("id", "key").unionByName(copies), "ids")
-    classes = written(sets.where(comparable).groupBy("key").agg(F.any_value("set", True).alias("set"), F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    hot_known = hot_sets.select("id.k", F.when(comparable, F.col("key")).alias("key"))
+    hot_rows = texts.select("id", "k", copy_key.alias("copy")).join(F.broadcast(hot.select("k", "alone")), "k").join(F.broadcast(hot_known), "k", "left").select("id", F.when(F.col("alone"), F.col("copy")).otherwise(F.col("key")).alias("key"))
+    ids = written(sets.select("id", F.when(comparable, F.col("key")).alias("key")).unionByName(copies).unionByName(hot_rows), "ids")
+    both = sets.where(comparable).select("key", "set", F.lit(1).cast("long").alias("n")).unionByName(hot_sets.where(comparable).select("key", "set", F.col("id.n").alias("n")))
+    classes = written(both.groupBy("key").agg(F.any_value("set", True).alias("set"), F.sum("n").alias("n")).withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     spread = classes.select("cls", F.size("set").alias("size"), F.explode("set").alias("s"))
     shared = spread.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
@@ -171,9 +181,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     linked = classes.select("cls", "key").join(links, "cls").join(reached, "cls").select("key", "links", "component")
     known = ids.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).join(linked, "key", "left")
     smallest = known.where("component is not null").groupBy("component").agg(F.min("first").alias("smallest"))
-    answers = known.join(smallest, "component", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("smallest")).alias("group_id"))
-    done = ids.join(answers, "key").select("id", "n_links", "group_id")
-    short = sets.where(~comparable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("group_id"))
+    answers = known.join(smallest, "component", "left").select("key", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("smallest")).alias("group_id"))
+    done = join_facts(ids.where("key is not null"), hot_keys(written(answers, "answers")).drop("n"), "key").select("id", "n_links", "group_id")
+    short = ids.where("key is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("group_id"))
     return done.unionByName(short)
 
 

@@ -54,6 +54,21 @@ def test_against_brute_force(spark, block):
     assert similarity.near_duplicates(df.where("false")).collect() == []
 
 
+def test_hot_texts(spark, monkeypatch):
+    """Texts with very many copies are handled apart: with and without partners, short and empty ones."""
+    from lumenfold.operators import groups
+
+    monkeypatch.setattr(similarity, "hot_keys", lambda counts: groups.hot_keys(counts, least=3))
+    monkeypatch.setattr(groups, "HOT_SHARE", 8)
+    rng = random.Random(6)
+    base = [[f"{rng.choice(WORDS)}{rng.randrange(90)}" for _ in range(60)] for _ in range(6)]
+    near = [*base[0][:-1], "changed"]
+    texts = [" ".join(base[0])] * 9 + [" ".join(near)] * 2 + [" ".join(base[1])] * 8 + ["few words"] * 8 + [""] * 8 + [None] * 8 + [" ".join(b) for b in base[2:]]
+    rows = list(enumerate(texts))
+    got = sorted(tuple(r) for r in similarity.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("id", "n_links", "group_id").collect())
+    assert got == brute(rows, 0.8)
+
+
 def test_jaccard_of_empty_sets(spark):
     from pyspark.sql import functions as F
 
