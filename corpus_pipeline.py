@@ -13,7 +13,7 @@ from lumenfold.llm import decontaminate, langid, packing, simhash, substring
 from lumenfold.llm.common import held_out, table, written
 from lumenfold.llm.queries import TOKENIZER
 from lumenfold.operators import similarity
-from lumenfold.operators.groups import connected_components
+from lumenfold.operators.groups import connected_components, hot_keys, join_facts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -39,12 +39,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     # A row's place in its group; rows with equal places are equal.
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.md5(text).alias("key"), "lang", "source", "n_chars").alias("place")
-    rows = docs.select(place).join(found, F.col("place.key") == F.col("id"), "left").withColumn("component", F.coalesce("component", "place.key"))
-    places = rows.groupBy("component", "place").agg(F.count("*").alias("n"))
-    first = places.groupBy("component").agg(F.min(F.struct("place", "n")).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
-    keys = places.select("component", F.col("place.key").alias("key")).distinct()
-    lists = written(keys.join(first, "component").select("key", "first"), "near-groups")
-    judged = docs.withColumn("place", place).withColumn("key", F.col("place.key")).join(lists, "key", "left")
+    places = docs.select(place).groupBy("place").agg(F.count("*").alias("same"))
+    texts = places.groupBy(F.col("place.key").alias("key")).agg(F.min(F.struct("place", F.col("same").alias("n"))).alias("first"), F.sum("same").alias("n"))
+    members = written(texts.join(found, F.col("key") == F.col("id"), "left").select("key", "first", "n", F.coalesce("component", "key").alias("component")), "near-texts")
+    groups = members.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("rows")).where("rows > 1")
+    lists = written(hot_keys(members.select("key", "n", "component").join(groups, "component").select("key", "first", "n")).drop("n"), "near-groups")
+    judged = join_facts(docs.withColumn("place", place).withColumn("key", F.col("place.key")), lists, "key")
     kept = judged.where("first is null or place <=> first.place")
     repeats = F.coalesce(F.col("first.n") > 1, F.lit(False))
     return kept.where(~repeats).select(*COLUMNS).unionByName(kept.where(repeats).select(*COLUMNS).dropDuplicates())
