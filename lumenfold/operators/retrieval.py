@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,20 +76,72 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), product).otherwise(0.0)
 
 
+#: Query vectors of one block, and rows that a task scores at a time.
+QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, most: int = 100, floor: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, id, score): for each query vector the ``most`` rows with the largest dot products, rounded to 6 places, ties by id.
+
+    Queries are taken in blocks of about QUERY_BLOCK, one broadcast each; a task keeps its best rows of each query, so what is shuffled is at most ``most`` rows
+    a query and task. With a floor, rows below it are left out. Null vectors are neither queries nor results; other lengths score 0."""
+    from pyspark.sql import Window
+
+    spark = vectors.sparkSession
+    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("q"))
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    schema = "query_id long, id long, score double"
+
+    def best(block: int) -> DataFrame:
+        held = spark.sparkContext.broadcast([tuple(r) for r in asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()])
+
+        def run(batches):
+            kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for batch in batches:
+                for low in range(0, batch.num_rows, ROW_BLOCK):
+                    part = batch.slice(low, ROW_BLOCK)
+                    ids, found = part.column(0).to_numpy(), part.column(1).to_pylist()
+                    sizes = np.array([len(x) for x in found])
+                    for size in {len(q) for _, q in held.value}:
+                        same, own = np.flatnonzero(sizes == size), [(i, q) for i, q in held.value if len(q) == size]
+                        scores = np.zeros((len(own), len(ids)))
+                        if len(same) and size:
+                            scores[:, same] = np.array([q for _, q in own]) @ np.array([found[i] for i in same.tolist()]).T
+                        scores = np.round(scores, 6)
+                        for (query, _), line in zip(own, scores):
+                            old = kept.get(query, (ids[:0], line[:0]))
+                            fine = line >= floor if floor is not None else np.ones(len(line), bool)
+                            i, s = np.concatenate([old[0], ids[fine]]), np.concatenate([old[1], line[fine]])
+                            top = np.lexsort((i, -s))[:most]
+                            kept[query] = i[top], s[top]
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(list(kept), [len(i) for i, _ in kept.values()]).astype(np.int64)), *(pa.array(np.concatenate(c)) for c in zip(*kept.values()))], names=["query_id", "id", "score"])
+
+        return rows.mapInArrow(run, schema)
+
+    found = best(0)
+    for b in range(1, blocks):
+        found = found.unionByName(best(b))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= most).drop("_place")
+
+
 def normalised(v: Column) -> Column:
     """Unit length; a zero vector passes through."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(v.cast("array<double>"))
 
 
-def fused(signals: Sequence[tuple[str, DataFrame]], id_col: str, k: int = RRF_K) -> DataFrame:
-    """Reciprocal-rank fusion of (name, frame of id and rank from 1): (id, score, matched_by)."""
+def fused(signals: Sequence[tuple[str, DataFrame]], id_col: str | Sequence[str], k: int = RRF_K) -> DataFrame:
+    """Reciprocal-rank fusion of (name, frame of id and rank from 1): (id, score, matched_by). The id may be several columns."""
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
     rows = None
     for i, (name, frame) in enumerate(signals):
-        one = frame.select(id_col, F.lit(i).alias("i"), F.lit(name).alias("name"), (1.0 / (k + F.col("rank"))).alias("part"))
+        one = frame.select(*ids, F.lit(i).alias("i"), F.lit(name).alias("name"), (1.0 / (k + F.col("rank"))).alias("part"))
         rows = one if rows is None else rows.unionByName(one)
     by = F.transform(F.array_sort(F.collect_list(F.struct("i", "name"))), lambda x: x["name"])
-    return rows.groupBy(id_col).agg(F.sum("part").alias("score"), F.array_join(by, ",").alias("matched_by"))
+    return rows.groupBy(*ids).agg(F.sum("part").alias("score"), F.array_join(by, ",").alias("matched_by"))
 
 
 def ranked(df: DataFrame, order: Sequence[Column], most: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as X
@@ -165,26 +166,37 @@ def rank_ladder(spark, d):
     return joined.select("doc_id", rank.alias("rank")).where("rank > 0")
 
 
-@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
-          SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q.e::DOUBLE[]), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 100""")
+_NEAREST = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL),
+          n AS (SELECT query_id, vec_id, round(list_dot_product(embedding::DOUBLE[], e), 6) AS score FROM embeddings, q WHERE embedding IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 100)"""
+
+
+@query(f"WITH {_NEAREST} SELECT query_id, vec_id, score FROM n")
 def cosine_topk(spark, d):
-    """The hundred vectors nearest to the first one; unit vectors, so that the dot product is the cosine."""
+    """The hundred vectors nearest to each vector whose id is divisible by 100; unit vectors, so that the dot product is the cosine."""
+    vectors = t(spark, d, "embeddings")
+    return S.nearest(vectors, vectors.where("vec_id % 100 = 0")).withColumnRenamed("id", "vec_id")
+
+
+@query(f"WITH {_NEAREST} SELECT query_id, vec_id, score FROM n WHERE score >= 0.62")
+def semantic_floor(spark, d):
+    """As cosine_topk, with the floor below which nothing is similar."""
     vectors = t(spark, d, "embeddings")
-    probe = vectors.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
-    scored = vectors.join(F.broadcast(probe)).select("vec_id", F.round(S.dot(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "vec_id").limit(100)
+    return S.nearest(vectors, vectors.where("vec_id % 100 = 0"), floor=S.SEMANTIC_FLOOR).withColumnRenamed("id", "vec_id")
 
 
-@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
+@query(f"""WITH {_NEAREST},
           a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 100),
-          b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(list_dot_product(embedding::DOUBLE[], q.e::DOUBLE[]), 6) DESC, vec_id) AS rank FROM embeddings, q QUALIFY rank <= 100),
-          u AS (SELECT id, 0 AS i, 'content' AS name, 1.0::DOUBLE / (60 + rank) AS part FROM a UNION ALL SELECT id, 1, 'semantic', 1.0::DOUBLE / (60 + rank) FROM b)
-          SELECT id, round(sum(part), 9) AS score, string_agg(name, ',' ORDER BY i) AS matched_by FROM u GROUP BY id""")
+          b AS (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM n),
+          u AS (SELECT query_id, id, 0 AS i, 'content' AS name, 1.0::DOUBLE / (60 + rank) AS part FROM a, q UNION ALL SELECT query_id, id, 1, 'semantic', 1.0::DOUBLE / (60 + rank) FROM b)
+          SELECT query_id, id, round(sum(part), 9) AS score, string_agg(name, ',' ORDER BY i) AS matched_by FROM u GROUP BY query_id, id""")
 def rrf_fusion(spark, d):
-    """Two signals of a hundred rows each, fused by reciprocal ranks."""
+    """Two signals of a hundred rows each, fused by reciprocal ranks, for every query vector."""
     content = S.ranked(t(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars"), [F.desc("n_chars"), F.col("id")], 100)
-    semantic = S.ranked(cosine_topk(spark, d).withColumnRenamed("vec_id", "id"), [F.desc("score"), F.col("id")], 100)
-    return S.fused([("content", content), ("semantic", semantic)], "id").select("id", F.round("score", 9).alias("score"), "matched_by")
+    asked = t(spark, d, "embeddings").where("vec_id % 100 = 0 and embedding is not null").select(F.col("vec_id").alias("query_id"))
+    by_query = asked.join(F.broadcast(content.agg(F.collect_list(F.struct("id", "rank")).alias("c")))).select("query_id", F.inline("c"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    semantic = cosine_topk(spark, d).select("query_id", F.col("vec_id").alias("id"), F.row_number().over(w).alias("rank"))
+    return S.fused([("content", by_query), ("semantic", semantic)], ["query_id", "id"]).select("query_id", "id", F.round("score", 9).alias("score"), "matched_by")
 
 
 @query(r"""WITH w AS (SELECT doc_id, string_split(regexp_replace(trim(text), '\s+', ' ', 'g'), ' ') AS w FROM documents),

@@ -40,34 +40,47 @@ def step(state: str | None, failures: int, target: str | None) -> tuple[str | No
     return target, failures
 
 
+#: Events, and pieces of a key, that are reduced in one go.
+PIECE, FAN_IN = 4096, 64
+_MAPS = "key long, piece long, a string, fa int, b string, fb int, failures long, n long"
+
+
 def fold(events: DataFrame) -> DataFrame:
-    """(key, state, failures, moves) of columns key, seq, target.
+    """(key, state, failures, moves) of columns key, seq, target. failures: all that counted; the third is terminal.
 
-    Moves compose: a task reduces a run of consecutive events to a map from each (state, failures) to its outcome. So a key of any
-    size is cut by order into pieces that are reduced apart, and only the small maps meet."""
-    pieces = events.withColumn("piece", F.floor(F.col("seq") / 4096))
+    Moves compose: a run of consecutive events is reduced to a map from each state, with the failures before it as far as they matter, to its outcome. A key
+    of any size is cut by order into pieces that are reduced apart; their maps are composed FAN_IN at a time, until a key has one."""
+    bounds = events.agg(F.floor(F.min("seq") / PIECE), F.floor(F.max("seq") / PIECE)).first()
+    first, last = (x or 0 for x in bounds)
+    pieces = events.withColumn("piece", F.floor(F.col("seq") / PIECE) - first)
     starts = [(None, 0)] + [(s, f) for s in TRANSITIONS for f in range(MAX_RETRIES + 1)]
 
     def reduce(group: pd.DataFrame) -> pd.DataFrame:
-        targets = group.sort_values("seq")["target"].tolist()
-        out = []
+        targets, out = group.sort_values("seq")["target"].tolist(), []
         for state, failures in starts:
             s, f = state, failures
             for target in targets:
                 s, f = step(s, f, target)
-            out.append((group["key"].iloc[0], group["piece"].iloc[0], state or "", failures, s or "", min(f, MAX_RETRIES), len(targets)))
-        return pd.DataFrame(out, columns=["key", "piece", "a", "fa", "b", "fb", "n"])
+            out.append((group["key"].iloc[0], group["piece"].iloc[0], state or "", failures, s or "", min(f, MAX_RETRIES), f - failures, len(targets)))
+        return pd.DataFrame(out, columns=["key", "piece", "a", "fa", "b", "fb", "failures", "n"])
 
-    maps = pieces.groupBy("key", "piece").applyInPandas(reduce, "key long, piece long, a string, fa int, b string, fb int, n long")
-
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        state, failures, n = "", 0, 0
-        for _, piece in group.sort_values("piece").groupby("piece"):
-            row = piece[(piece["a"] == state) & (piece["fa"] == failures)].iloc[0]
-            state, failures, n = row["b"], int(row["fb"]), n + int(row["n"])
-        return pd.DataFrame([(group["key"].iloc[0], state or None, failures, n)], columns=["key", "state", "failures", "moves"])
+    def compose(group: pd.DataFrame) -> pd.DataFrame:
+        maps: dict[int, dict] = {}
+        for r in group.itertuples():
+            maps.setdefault(r.piece, {})[r.a, r.fa] = (r.b, r.fb, r.failures, r.n)
+        out = []
+        for state, failures in starts:
+            now, counted, n = (state or "", failures), 0, 0
+            for piece in sorted(maps):
+                b, fb, more, moves = maps[piece][now]
+                now, counted, n = (b, fb), counted + more, n + moves
+            out.append((group["key"].iloc[0], group["piece"].iloc[0] // FAN_IN, state or "", failures, *now, counted, n))
+        return pd.DataFrame(out, columns=["key", "piece", "a", "fa", "b", "fb", "failures", "n"])
 
-    return maps.groupBy("key").applyInPandas(chain, "key long, state string, failures int, moves long")
+    maps, last = pieces.groupBy("key", "piece").applyInPandas(reduce, _MAPS), last - first
+    while last > 0:
+        maps, last = maps.groupBy("key", F.floor(F.col("piece") / FAN_IN)).applyInPandas(compose, _MAPS), last // FAN_IN
+    return maps.where("a = '' and fa = 0").select("key", F.nullif("b", F.lit("")).alias("state"), "failures", F.col("n").alias("moves"))
 
 
 class StateMachine(StatefulProcessor):
@@ -82,7 +95,7 @@ class StateMachine(StatefulProcessor):
             for target in frame.sort_values("seq")["target"]:
                 state, failures = step(state, failures, target)
         self._state.update((state, failures))
-        yield pd.DataFrame({"key": [key[0]], "state": [state], "failures": [min(failures, MAX_RETRIES)]})
+        yield pd.DataFrame({"key": [key[0]], "state": [state], "failures": [failures]})
 
     def close(self) -> None:
         pass

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 from tests.conftest import SF
 
@@ -7,9 +9,22 @@ from lumenfold.streaming import states
 
 def brute(rows):
     out = {}
-    for key, _, target in sorted(rows):
+    for key, _, target in sorted(rows, key=lambda r: r[:2]):
         out[key] = states.step(*out.get(key, (None, 0)), target)
-    return {k: (s, min(f, states.MAX_RETRIES)) for k, (s, f) in out.items()}
+    return out
+
+
+def test_fold_of_long_logs(spark, monkeypatch):
+    """Several rounds of composition, negative places, gaps, more failures than the machine distinguishes."""
+    monkeypatch.setattr(states, "PIECE", 8)
+    monkeypatch.setattr(states, "FAN_IN", 3)
+    rng = random.Random(2)
+    targets = [*states.TRANSITIONS, "failed_retryable", "failed_retryable", "unknown", None]
+    rows = [(rng.randrange(3), i * 5 - 900, rng.choice(targets)) for i in range(600)] + [(9, 5, "failed_retryable"), (9, 6, "processing"), (9, 7, "failed_retryable")]
+    rows = [(k, s, t if t in states.TRANSITIONS else None) for k, s, t in rows]
+    got = states.fold(spark.createDataFrame(rows, "key long, seq long, target string"))
+    assert {r["key"]: (r["state"], r["failures"]) for r in got.collect()} == brute(rows)
+    assert states.fold(got.select("key", F.lit(1).alias("seq"), F.col("state").alias("target")).where("false")).collect() == []
 
 
 def test_fold_equals_steps(spark):
