@@ -151,11 +151,14 @@ def expired(spark, d):
     return t(spark, d, "customer").join(old, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.col("o_orderkey").alias("stale"))
 
 
-@query("""WITH f AS (SELECT doc_id AS file_id, source AS owner, sha256(text) AS k, CASE WHEN n_chars > 0 THEN left(text, 12) END AS stem, lang AS loc FROM documents),
-          p AS (SELECT a.file_id, b.file_id AS other_id, CASE WHEN a.k = b.k THEN 'exact' ELSE 'version' END AS kind, b.loc AS loc, a.loc AS dest FROM f a JOIN f b ON a.owner = b.owner AND a.file_id <> b.file_id AND (a.k = b.k OR a.stem = b.stem)),
-          r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY kind, other_id) AS place FROM p)
-          SELECT file_id, other_id, kind, kind = 'exact' OR loc IS NOT DISTINCT FROM dest AS blocking, place FROM r WHERE place <= 10
-            AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = least(file_id, other_id) AND greatest(file_id, other_id) = l.doc_id + 1 AND l.toxic = 1)""")
+@query("""WITH f AS (SELECT doc_id AS file_id, source AS owner, sha256(text) AS k, CASE WHEN n_chars > 0 THEN left(text, 12) END AS stem, lang AS loc FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+          x AS (SELECT doc_id AS a, doc_id + 1 AS b FROM labels WHERE toxic = 1 UNION SELECT doc_id + 1, doc_id FROM labels WHERE toxic = 1),
+          p AS (SELECT a.file_id, CASE WHEN a.k = b.k THEN 'exact' ELSE 'version' END AS kind, b.k, b.owner, b.stem, b.loc IS NOT DISTINCT FROM a.loc AS near FROM f a JOIN f b ON a.owner = b.owner AND a.file_id <> b.file_id AND (a.k = b.k OR a.stem = b.stem)
+                WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.a = a.file_id AND x.b = b.file_id)),
+          g AS (SELECT file_id, kind, owner, k, count(*) AS members, kind = 'exact' OR bool_or(near) AS blocking FROM p GROUP BY file_id, kind, owner, k),
+          i AS (SELECT owner, k, min(file_id) AS group_id FROM f GROUP BY ALL),
+          r AS (SELECT file_id, kind, group_id, members, blocking, CASE WHEN kind = 'exact' THEN 0 ELSE row_number() OVER (PARTITION BY file_id, kind ORDER BY group_id) END AS place FROM g JOIN i USING (owner, k))
+          SELECT * FROM r WHERE place <= 10""")
 def move_guard(spark, d):
     """Every document moved to its own language's folder; pairs of a toxic document and the next one are cleared."""
     from lumenfold.operators.guard import move_findings
