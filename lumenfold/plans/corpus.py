@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as X
+from lumenfold.functions.filters import Filter
 from lumenfold.operators import relational as R
 from lumenfold.operators import retrieval as S
-from lumenfold.plans.relational import t
+from lumenfold.operators import search
+from lumenfold.plans.relational import DOCUMENTS, t
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -144,9 +146,12 @@ def triage_reasons(spark, d):
 _TERMS = ("the", "que", "der")
 
 
-@query(f"""WITH w AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents), p AS (SELECT doc_id, token, count(*) AS tf FROM w GROUP BY 1, 2),
-          l AS (SELECT doc_id, len({_TOKENS}) AS n_tokens FROM documents), s AS (SELECT count(*) AS n, avg(n_tokens) AS m FROM l), h AS (SELECT * FROM p WHERE token IN ('the', 'que', 'der')), df AS (SELECT token, count(*) AS df FROM h GROUP BY 1)
-          SELECT h.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_tokens / m))), 6) AS score FROM h JOIN df USING (token) JOIN l ON l.doc_id = h.doc_id, s GROUP BY 1""")
+_BM25 = f"""w AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents), p AS (SELECT doc_id, token, count(*) AS tf FROM w GROUP BY 1, 2),
+          l AS (SELECT doc_id, len({_TOKENS}) AS n_tokens FROM documents), s AS (SELECT count(*) AS n, avg(n_tokens) AS m FROM l), h AS (SELECT * FROM p WHERE token IN ('the', 'que', 'der')), df AS (SELECT token, count(*) AS df FROM h GROUP BY 1),
+          bm AS (SELECT h.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_tokens / m))), 6) AS score FROM h JOIN df USING (token) JOIN l ON l.doc_id = h.doc_id, s GROUP BY 1)"""
+
+
+@query(f"WITH {_BM25} SELECT doc_id, score FROM bm")
 def lexical_search(spark, d):
     """BM25 of every document that holds a search word."""
     words = t(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("w"))
@@ -156,14 +161,18 @@ def lexical_search(spark, d):
     return S.bm25(index, lengths, _TERMS).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("""SELECT doc_id, greatest(CASE WHEN contains(lower(source), 'src1') THEN 1.0 ELSE 0 END, CASE WHEN l.quality = 1 AND starts_with(lower(text), 'the') THEN 0.9 ELSE 0 END, CASE WHEN contains(lower(text), ' the ') THEN 0.5 ELSE 0 END) AS rank
-          FROM documents LEFT JOIN labels l USING (doc_id) WHERE contains(lower(source), 'src1') OR (l.quality = 1 AND starts_with(lower(text), 'the')) OR contains(lower(text), ' the ')""")
+@query(f"""WITH {_BM25}, c AS (SELECT DISTINCT conv_id AS doc_id FROM conversations WHERE turn = 0 AND contains(lower(text), 'the')),
+          f AS (SELECT d.doc_id, coalesce(contains(lower(source), 'src1'), false) AS fn, coalesce(l.quality = 1 AND starts_with(lower(text), 'the'), false) AS ti, coalesce(l.toxic = 0 AND lang = 'fr', false) AS ca, c.doc_id IS NOT NULL AS su, bm.score / 10 AS r
+                FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN bm ON bm.doc_id = d.doc_id),
+          g AS (SELECT *, greatest(CASE WHEN fn THEN 1.0 ELSE 0 END, CASE WHEN ti OR ca THEN 0.9 ELSE 0 END, CASE WHEN su THEN 0.6 ELSE 0 END, CASE WHEN r > 0 THEN 0.5 + least(r, 0.4) ELSE 0 END) AS rank FROM f)
+          SELECT doc_id, rank, coalesce(r > 0, false) AS matched_content, fn AS matched_filename, ti OR ca OR su AS matched_ai FROM g WHERE rank > 0""")
 def rank_ladder(spark, d):
-    """The best of name, title and content hits; rows without any are left out."""
-    joined = t(spark, d, "documents").select("doc_id", "source", F.lower("text").alias("low")).join(t(spark, d, "labels"), "doc_id", "left")
-    step = lambda c, v: F.when(c, F.lit(v)).otherwise(0.0)
-    rank = F.greatest(step(F.contains(F.lower("source"), F.lit("src1")), 1.0), step((F.col("quality") == 1) & F.startswith("low", F.lit("the")), 0.9), step(F.contains("low", F.lit(" the ")), 0.5))
-    return joined.select("doc_id", rank.alias("rank")).where("rank > 0")
+    """The best of name, title, canonical name, summary and content hits, with flags; rows without any are left out."""
+    said = t(spark, d, "conversations").where("turn = 0").where(F.contains(F.lower("text"), F.lit("the"))).select(F.col("conv_id").alias("doc_id"), F.lit(True).alias("summary")).distinct()
+    docs = t(spark, d, "documents").select("doc_id", "source", "lang", F.startswith(F.lower("text"), F.lit("the")).alias("the"))
+    joined = docs.join(t(spark, d, "labels"), "doc_id", "left").join(said, "doc_id", "left").join(lexical_search(spark, d), "doc_id", "left")
+    rank, flags = search.ladder(F.contains(F.lower("source"), F.lit("src1")), (F.col("quality") == 1) & F.col("the"), (F.col("toxic") == 0) & (F.col("lang") == "fr"), F.col("summary"), F.col("score") / 10)
+    return joined.select("doc_id", rank.alias("rank"), flags.alias("f")).where("rank > 0").select("doc_id", "rank", "f.*")
 
 
 _NEAREST = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL),
@@ -199,6 +208,32 @@ def rrf_fusion(spark, d):
     return S.fused([("content", by_query), ("semantic", semantic)], ["query_id", "id"]).select("query_id", "id", F.round("score", 9).alias("score"), "matched_by")
 
 
+@query(f"""WITH {_BM25}, fd AS (SELECT doc_id, source, lang, n_chars FROM documents WHERE source = 'src0' AND lower(lang) IN ('en', 'fr')),
+          q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL),
+          a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM fd WHERE contains(lower(lang), 'en') QUALIFY rank <= 100),
+          b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm SEMI JOIN fd USING (doc_id) QUALIFY rank <= 100),
+          v AS (SELECT query_id, vec_id AS doc_id, round(list_dot_product(embedding::DOUBLE[], e), 6) AS score FROM embeddings, q WHERE embedding IS NOT NULL AND vec_id IN (SELECT doc_id FROM fd)),
+          c AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM v WHERE score >= 0.62 QUALIFY rank <= 100),
+          u AS (SELECT query_id, doc_id, 0 AS i, 'filename' AS name, 1.0::DOUBLE / (60 + rank) AS part FROM a, q UNION ALL SELECT query_id, doc_id, 1, 'content', 1.0::DOUBLE / (60 + rank) FROM b, q UNION ALL SELECT query_id, doc_id, 2, 'semantic', 1.0::DOUBLE / (60 + rank) FROM c),
+          g AS (SELECT query_id, doc_id, round(sum(part), 9) AS score, string_agg(name, ',' ORDER BY i) AS matched_by FROM u GROUP BY ALL)
+          SELECT query_id, doc_id, score, matched_by, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place,
+            'Found because ' || replace(replace(replace(replace(matched_by, 'filename', 'its name holds the words'), 'content', 'its text holds the words'), 'semantic', 'it is about the same'), ',', ' and ') || '.' AS why FROM g""")
+def hybrid_search(spark, d):
+    """Names, texts and vectors under one filter, fused; every vector whose id is divisible by 100 is a query."""
+    docs, vectors = t(spark, d, "documents"), t(spark, d, "embeddings")
+    wanted = Filter(owner="src0", extensions=["en", "fr"])
+    allowed = wanted.apply(docs, DOCUMENTS).select("doc_id")
+    asked = vectors.where("vec_id % 100 = 0 and embedding is not null")
+    # The query set beside signals that don't depend on the vector: as many rows as the signal's best, for each query.
+    each = lambda frame: S.ranked(frame.join(allowed, "doc_id", "left_semi"), [F.desc("rank_by"), F.col("doc_id")], search.SIGNAL_ROWS).agg(F.collect_list(F.struct("doc_id", "rank_by")).alias("c"))
+    for_all = lambda frame: asked.select(F.col("vec_id").alias("query_id")).join(F.broadcast(each(frame))).select("query_id", F.inline("c"))
+    names = for_all(docs.where(F.contains(F.lower("lang"), F.lit("en"))).select("doc_id", F.col("n_chars").cast("double").alias("rank_by")))
+    texts = for_all(lexical_search(spark, d).select("doc_id", F.col("score").alias("rank_by")))
+    near = S.nearest(vectors.join(allowed, F.col("vec_id") == F.col("doc_id"), "left_semi"), asked, floor=S.SEMANTIC_FLOOR).select("query_id", F.col("id").alias("doc_id"), F.col("score").alias("rank_by"))
+    found = search.hybrid(docs, wanted, [("filename", names), ("content", texts), ("semantic", near)], DOCUMENTS, by=["query_id"])
+    return found.withColumn("why", search.explained(F.col("matched_by")))
+
+
 @query(r"""WITH w AS (SELECT doc_id, string_split(regexp_replace(trim(text), '\s+', ' ', 'g'), ' ') AS w FROM documents),
            b AS (SELECT doc_id, w, list_transform(w, lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]+', '', 'g')) AS bare FROM w),
            m AS (SELECT doc_id, list_transform(list_zip(w, bare), lambda x: CASE WHEN x[2] IN ('the', 'que', 'der') THEN '<mark>' || x[1] || '</mark>' ELSE x[1] END) AS w, list_filter(range(1, len(w) + 1), lambda i: bare[i] IN ('the', 'que', 'der')) AS h FROM b),

@@ -257,3 +257,18 @@ def test_snippets(spark):
     assert got[1] == " ".join([*words[12:20], "<mark>Cat,</mark>", *words[21:34]])
     assert got[2] == " ".join(["<mark>cat</mark>", "w1", "w2", "<mark>DOG</mark>", *words[4:14], "…", *words[42:50], "<mark>(cat)</mark>", *words[51:]])
     assert got[3] is None and got[4] is None and got[5] is None
+
+
+def test_search_routes(spark):
+    from lumenfold.operators import search
+
+    assert [search.route(*a) for a in (("x",), ("x", "content"), (" ", "content", "missing"), ("x", None, "missing"), ())] == ["hybrid", "content", "status", "hybrid", "list"]
+    with pytest.raises(ValueError):
+        search.route("x", "other")
+    df = spark.createDataFrame([("o", "pdf", 1), ("o", "txt", 2), ("p", "pdf", 3)], "owner string, extension string, id int")
+    wanted = filters.Filter(owner="o", extensions=["pdf"])
+    assert search.counted(df, wanted).first()["n"] == 1
+    with pytest.raises(ValueError):
+        search.counted(df, wanted, term="x")
+    said = spark.createDataFrame([("content,semantic",), ("filename",), ("",)], "m string").select(search.explained(F.col("m"))).collect()
+    assert [r[0] for r in said] == ["Found because its text holds the words and it is about the same.", "Found because its name holds the words.", "Found by the filter."]
