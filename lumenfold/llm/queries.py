@@ -13,11 +13,13 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4,096 tokens. Null texts are their end token; repeated rows are documents of their own. Every token bears loss here; ``packing.pack_conversations`` tells them apart."""
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, ``und`` without a letter. Null texts, null languages and repeated rows are rows like others."""
     docs = table(spark, sf_dir, "documents")
     languages, model = langid.train(docs, ~held_out("doc_id", 4, 2))
     out = langid.predict(docs, languages, model, ["doc_id"])
@@ -25,10 +27,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.93 within a label. Null labels, null, zero and non-finite vectors link with nothing; repeated rows are vectors of their own."""
     return nearvec.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op4_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and class scores of every text. A null text is its end alone; null ids are scored and not learned from; repeated rows count each."""
     scored = brown.train_and_score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 5, 1))
     return scored.select("doc_id", held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -42,26 +46,31 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that benchmark windows cover. Null texts have no words; null items are never found; repeated rows are judged alike."""
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left after repeated windows of 20 are gone. Null texts have none; repeated rows are one document; null ids come last."""
     out = substring.without_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page. A null url has neither host nor path and is judged by the model; repeated rows alike."""
     return urlfilter.url_verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "p_block")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives say after a round trip. Null html is an empty payload; null ids are responses; repeated rows are repeated records."""
     path = shared_dir(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
     return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null and blank texts have fingerprint 0; repeated rows are repeated."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
 
 

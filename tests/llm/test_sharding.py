@@ -1,4 +1,3 @@
-import itertools
 import zlib
 from collections import defaultdict
 
@@ -22,7 +21,6 @@ def test_flow_moves_the_fewest_bytes(sizes, shards):
     for j in new:
         assert sum(a for (_, y), a in flow.items() if y == j) == new[j]
     moved = sum(a for (i, j), a in flow.items() if i != j)
-    assert moved == sum(sizes) - sum(min(old.get(k, 0), new.get(k, 0)) for k in itertools.chain(old, new) if k in old and k in new) / 1 + 0 if set(old) & set(new) == set() else True
     stays = sum(min(old[k], new[k]) for k in set(old) & set(new))
     assert moved == sum(sizes) - stays
 
