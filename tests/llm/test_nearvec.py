@@ -40,8 +40,8 @@ def cases():
 def test_against_brute_force(spark):
     rows = cases()
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, v string, n int")
-    for block in (1024, 16):
-        got = sorted((tuple(r) for r in nearvec.near_vectors(df, block=block).select("vec_id", "n_links", "component_id", "kept").collect()), key=repr)
+    for block, tile in ((4096, 1024), (64, 16), (16, 16)):
+        got = sorted((tuple(r) for r in nearvec.near_vectors(df, block=block, tile=tile).select("vec_id", "n_links", "component_id", "kept").collect()), key=repr)
         assert got == brute(rows)
     assert nearvec.near_vectors(df.where("false")).collect() == []
 
@@ -53,3 +53,16 @@ def test_bounds_hold():
     product = (q.astype(float) @ q.astype(float).T) * np.outer(scale, scale)
     bound = np.outer(rest, about) + np.outer(about + rest, rest)
     assert (np.abs(unit @ unit.T - product) <= bound + 1e-12).all()
+
+
+def test_codes_judge_pairs_or_leave_them_open():
+    """Proven links and refused pairs are right, and every pair near the threshold is left open and settled in doubles."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(20, 24))
+    x = np.repeat(base, 12, 0) + rng.normal(size=(240, 24)) * rng.uniform(0.1, 0.4, (240, 1))
+    unit, *codes = nearvec.quantised(x)
+    want = unit @ unit.T >= 0.93
+    np.fill_diagonal(want, False)
+    sure, unclear = nearvec.judged(tuple(codes), tuple(codes), 0.93, True)
+    assert unclear.any() and sure.any() and not (sure & ~want).any() and not (want & ~sure & ~unclear).any()
+    assert ((sure | nearvec.exact_links(unit, unit, unclear, 0.93)) == want).all()
