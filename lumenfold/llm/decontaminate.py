@@ -7,7 +7,6 @@ of all windows go through wavelet ranks; occurrences are located by sampled suff
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import LOWER_ALNUM, map_batches, text_bytes
+from lumenfold.llm.common import LOWER_ALNUM, map_batches, text_bytes, written
 from lumenfold.llm.fmindex import FMIndex
 
 WINDOW = 13
@@ -23,6 +22,10 @@ WINDOW = 13
 BLOCK_WORDS = 500_000
 #: Words of the documents of one shard.
 SHARD_WORDS = 2_000_000
+#: Bytes of the benchmark that are broadcast at a time; a larger one is searched part after part.
+PART_BYTES = 4 << 20
+#: Words of an item that stay together; a longer item is cut into overlapping pieces.
+PIECE_WORDS = 50_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -56,7 +59,7 @@ def benchmark_blocks(items: list[tuple], window: int = WINDOW, block_words: int
             for n, d in owned.items():
                 counts = np.cumsum([0, *(len(x) for x in d.values())])
                 owners[n] = counts, np.array([y for x in d.values() for y in sorted(x)])
-            blocks.append(Block(vocabulary, {n: np.array(list(d), np.int64) for n, d in owned.items()}, owners, min(owned)))
+            blocks.append(Block(vocabulary, {n: np.array(list(d), np.int32) for n, d in owned.items()}, owners, min(owned)))
             part, size = [], 0
         if words:
             part.append((k, words))
@@ -120,66 +123,92 @@ def search(block: Block, docs: list[list[bytes]]) -> tuple[list[tuple[int, np.nd
     return spans, np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
 
 
-RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<begin:int,end:int>>"
+def pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int, piece_words: int) -> DataFrame:
+    """Distinct (item, t): items with words, those of many words cut so that each window lies in a piece and no piece is shorter than a window."""
+    words = F.filter(F.split(F.col(text_col), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")
+    split = benchmark.select(F.col(item_col).cast("string").alias("item"), words.alias("w")).where("item is not null and size(w) > 0")
+    begins = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(piece_words))
+    cut = split.select("item", "w", F.explode(begins).alias("at"))
+    return cut.select("item", F.array_join(F.slice("w", F.col("at") + 1, piece_words + window - 1), " ").alias("t")).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, share: int = 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_benchmark_bytes: int = 256 << 20) -> DataFrame:
-    """``keep`` columns of every document, and RESULT: spans are the word ranges that occurrences cover.
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
 
-    Words are lower-cased (A-Z) runs of ASCII letters and digits and of all other non-ASCII bytes. An item of fewer words than ``window`` is one window, one without words none. Contaminated:
-    some word is hit, and at least one in ``share``. Null texts have no words; null and blank items are never found; items with
-    equal texts are each counted, rows with the same item id are one item; ids are compared as strings. The benchmark is the query set: its size is checked, and it is broadcast in blocks of
-    BLOCK_WORDS words. Clashing column names in ``docs`` don't matter, only ``keep`` and the text are read."""
-    spark = docs.sparkSession
-    wanted = benchmark.select(F.col(item_col).cast("string").alias("item"), text_bytes(item_text_col).alias("t")).where("t is not null and item is not null")
-    size = wanted.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    if size > max_benchmark_bytes:
-        raise ValueError(f"the benchmark has {size} bytes; give it in parts of at most {max_benchmark_bytes} and join the results")
-    items = [(r["item"], bytes(r["t"])) for r in wanted.orderBy("item", "t").collect()]
-    names = [k for k, _ in items]
-    blocks = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(items, window)]
-    span_type = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-    types = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", span_type)]
+
+_SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+
+
+def _searched(held: DataFrame, blocks: list, names: list[str]) -> DataFrame:
+    """``held`` (any columns, then _t, _words, _spans, _items) with what one part of the benchmark adds to the last three."""
 
     def make():
-        def shard(split: list[list[bytes]]) -> list[tuple]:
-            spans: list[list[tuple[int, int]]] = [[] for _ in split]
-            found: list[set[int]] = [set() for _ in split]
-            for held in blocks:
-                some, pairs = search(held.value, split)
+        def shard(split: list[list[bytes]], spans: list[list[tuple[int, int]]], items: list[set[str]]) -> list[tuple]:
+            for block in blocks:
+                some, pairs = search(block.value, split)
                 for d, a, b in some:
                     spans[d].append((a, b))
                 for d, k in pairs.tolist():
-                    found[d].add(k)
-            rows = []
-            for words, own, hit in zip(split, spans, found):
-                merged: list[list[int]] = []
-                for a, b in sorted(own):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                n = sum(b - a for a, b in merged)
-                ids = sorted({names[k] for k in hit})
-                rows.append((len(words), n, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n > 0 and share * n >= len(words), [{"begin": a, "end": b} for a, b in merged]))
-            return rows
+                    items[d].add(names[k])
+            return [(len(w), [{"begin": a, "end": b} for a, b in merged(s)], sorted(i)) for w, s, i in zip(split, spans, items)]
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, rows, split, size = batch.column(batch.num_columns - 1), [], [], 0
+            texts, before, known = batch.column("_t"), batch.column("_spans"), batch.column("_items")
+            rows, split, spans, items, size = [], [], [], [], 0
             for at in range(batch.num_rows):
                 split.append(words_of(texts[at].as_py()))
+                spans.append([(x["begin"], x["end"]) for x in before[at].as_py()])
+                items.append(set(known[at].as_py()))
                 size += len(split[-1])
                 if size >= SHARD_WORDS or at == batch.num_rows - 1:
-                    rows += shard(split)
-                    split, size = [], 0
-            kept = [batch.column(i) for i in range(len(keep))]
-            return pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, (_, t) in zip(zip(*rows), types))], names=[*keep, *(n for n, _ in types)])
+                    rows += shard(split, spans, items)
+                    split, spans, items, size = [], [], [], 0
+            found = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), _SPANS, pa.list_(pa.string())))]
+            return pa.RecordBatch.from_arrays([*batch.columns[:-3], *found], names=batch.schema.names)
 
         return one
 
-    kept = docs.select(*keep)
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return map_batches(docs.select(*keep, text_bytes(text_col).alias("_text_bytes")), make, f"{columns}, {RESULT}")
+    return map_batches(held, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, share: int = 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_bytes: int = PART_BYTES, piece_words: int = PIECE_WORDS) -> DataFrame:
+    """``keep`` columns of every document, with n_words, n_hit, n_items, items_sha256, contaminated and spans, the word ranges that occurrences cover.
+
+    Words are lower-cased (A-Z) runs of ASCII letters and digits and of all other non-ASCII bytes. An item of fewer words than ``window`` is one window, one without words none. Contaminated:
+    some word is hit, and at least one in ``share``. Null texts have no words; null and blank items are never found; items with
+    equal texts are each counted, rows with the same item id are one item; ids are compared as strings. Clashing column names
+    in ``docs`` don't matter, only ``keep`` and the text are read.
+
+    The benchmark is the query set. It is dealt by a hash into parts of about ``part_bytes``, of which one at a time is
+    collected and broadcast, in blocks of BLOCK_WORDS words. A benchmark of one part, the usual case, needs one pass over the
+    documents; with more, each part's findings are merged into those of the parts before, which are written in between."""
+    spark = docs.sparkSession
+    wanted = pieces(benchmark, item_col, item_text_col, window, piece_words)
+    size = wanted.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = max(1, -(-size // part_bytes))
+    if parts > 1:
+        wanted = written(wanted, "benchmark")
+    nothing = F.array().cast("array<struct<begin:int,end:int>>").alias("_spans"), F.array().cast("array<string>").alias("_items")
+    held = docs.select(*keep, text_bytes(text_col).alias("_t"), F.lit(0).cast("long").alias("_words"), *nothing)
+    for part in range(parts):
+        own = wanted.where(F.pmod(F.xxhash64("item", "t"), F.lit(parts)) == part) if parts > 1 else wanted
+        items = [(r["item"], r["t"].encode()) for r in own.orderBy("item", "t").collect()]
+        blocks = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(items, window)]
+        held = _searched(held, blocks, [k for k, _ in items])
+        if part < parts - 1:
+            held = written(held, "contamination")
+            for block in blocks:
+                block.destroy()
+    hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    counted = held.select(*keep, F.col("_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), F.col("_spans").alias("spans"))
+    contaminated = (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))
+    return counted.select(*keep, "n_words", "n_hit", "n_items", "items_sha256", contaminated.alias("contaminated"), "spans")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

@@ -43,6 +43,8 @@ def test_against_brute_force(spark):
     got = decontaminate.contamination(df, bench, ["doc_id", "label"])
     assert sorted(tuple(r) for r in got.select(*columns).collect()) == brute(docs, items)
     assert all(sum(s["end"] - s["begin"] for s in r["spans"]) == r["n_hit"] for r in got.collect())
+    parts = decontaminate.contamination(df, bench, ["doc_id"], part_bytes=1500, piece_words=20)
+    assert sorted(tuple(r) for r in parts.select(*columns).collect()) == brute(docs, items)
     kept = decontaminate.clean(df, bench)
     assert kept.columns == df.columns and kept.count() == sum(not r[5] for r in brute(docs, items))
     none = decontaminate.contamination(df, bench.where("false"), ["doc_id"])
