@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenfold.plans import corpus, incremental, listings, relational
+from lumenfold.plans import corpus, incremental, lifecycle, listings, relational
 
-QUERIES = {**relational.QUERIES, **corpus.QUERIES, **incremental.QUERIES, **listings.QUERIES}
-SQL = {**relational.SQL, **corpus.SQL, **incremental.SQL, **listings.SQL}
+QUERIES = {**relational.QUERIES, **corpus.QUERIES, **incremental.QUERIES, **listings.QUERIES, **lifecycle.QUERIES}
+SQL = {**relational.SQL, **corpus.SQL, **incremental.SQL, **listings.SQL, **lifecycle.SQL}
