@@ -35,12 +35,18 @@ def mirror_path(subject: Column, name: Column) -> Column:
 
 
 def disambiguated(df: DataFrame, path: str, order: str) -> DataFrame:
-    """Paths that are equal but for case get " (2)", " (3)" before the extension, in the order given."""
-    w = Window.partitionBy(F.lower(path)).orderBy(order)
-    n = F.row_number().over(w)
-    numbered = df.withColumn("_n", n)
+    """Paths that are equal but for case get " (2)", " (3)" before the extension, in the order given.
+
+    Numbers begin after the largest that a given path with the same stem and extension has, so no new path is one that is
+    there. Null paths stay null."""
     ext, stem = F.regexp_extract(path, r"(\.[^./]+)$", 1), F.regexp_replace(path, r"\.[^./]+$", "")
-    return numbered.withColumn(path, F.when(F.col("_n") > 1, F.concat(stem, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), ext)).otherwise(F.col(path))).drop("_n")
+    mark = r" \((\d{1,9})\)$"
+    taken = df.select(F.lower(F.concat(F.regexp_replace(stem, mark, ""), ext)).alias("_path"), F.regexp_extract(stem, mark, 1).alias("k")).where("k <> ''")
+    largest = taken.groupBy("_path").agg(F.max(F.col("k").cast("long")).alias("_taken"))
+    numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(F.lower(path)).orderBy(order)))
+    again = numbered.join(largest, F.lower(path) == F.col("_path"), "left")
+    place = F.col("_n") - 1 + F.greatest(F.coalesce("_taken", F.lit(1)), F.lit(1))
+    return again.withColumn(path, F.when(F.col("_n") > 1, F.concat(stem, F.lit(" ("), place.cast("string"), F.lit(")"), ext)).otherwise(F.col(path))).drop("_n", "_path", "_taken")
 
 
 def swapped_version(versions: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.operators import lifecycle as L
+from lumenfold.sources import sinks
 
 
 def rows(df):
@@ -62,3 +63,9 @@ def test_replay_and_zero_filled(spark):
 def test_candidates_are_linear(spark):
     files = spark.createDataFrame([(i, "s") for i in range(2, 40)] + [(1, ""), (50, None), (60, "t"), (2, "s")], "id long, stem string")
     assert rows(L.version_candidates(files, "id", F.col("stem"))) == sorted([(2, i) for i in range(3, 40)], key=repr)
+
+
+def test_new_numbers_pass_those_that_are_there(spark):
+    paths = ["x.pdf", "X.pdf", "x (2).pdf", "x.pdf", "x (2).pdf", "y", "y", "a.b/x", "a.b/x", None, None]
+    got = [r["path"] for r in sinks.disambiguated(spark.createDataFrame(list(enumerate(paths)), "id int, path string"), "path", "id").orderBy("id").collect()]
+    assert got == ["x.pdf", "X (3).pdf", "x (2).pdf", "x (4).pdf", "x (2) (2).pdf", "y", "y (2)", "a.b/x", "a.b/x (2)", None, None]
