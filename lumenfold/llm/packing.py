@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 END_ID = 2
 #: Words that a task remembers the ids of.
 CACHED_WORDS = 800_000
+#: Characters of texts that are encoded together (a longer text by itself), and texts that are taken from a batch at a time.
+AT_ONCE, TAKEN = 1 << 20, 256
 _PUNCTUATION = ".,;:!?"
 
 
@@ -87,7 +89,7 @@ class WordTokenizer:
             else:
                 other.append(w)
         if plain:
-            ids = np.asarray(self.plain.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
+            ids = np.asarray(self.plain.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(plain):
                 data, at = ids.tobytes(), 0
@@ -103,11 +105,15 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = []
-        for at in range(0, len(texts), 64):
+        out, at = [], 0
+        while at < len(texts):
             if len(self.known) > CACHED_WORDS:
                 self.known = {"": b""}
-            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at : at + 64]]
+            to, room = at + 1, AT_ONCE - len(texts[at])
+            while to < len(texts) and (room := room - len(texts[to])) >= 0:
+                to += 1
+            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at:to]]
+            at = to
             missing = set().union(*split).difference(self.known)
             if missing:
                 self._learn(missing)
@@ -250,9 +256,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 64):
-                part = [t or "" for t in texts.slice(at, 64).to_pylist()]
-                for doc, x in zip(ids[at : at + 64], tokens.encode(part)):
+            for at in range(0, len(ids), TAKEN):
+                part = [t or "" for t in texts.slice(at, TAKEN).to_pylist()]
+                for doc, x in zip(ids[at : at + TAKEN], tokens.encode(part)):
                     packer.add(doc, x + end)
                 if len(packer.rows) >= 1024:
                     yield from _batches(packer.take())
