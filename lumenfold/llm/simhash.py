@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import LOWER, map_batches, text_bytes, written
-from lumenfold.llm.components import block_pairs, connected_components, forest, map_groups
+from lumenfold.llm.components import block_pairs, connected_components, forest, hot_keys, join_facts, map_groups
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 SEGMENTS, SEGMENT_BITS = 4, 16
@@ -94,10 +94,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal fingerprints are one class, so copies add no pairs. A null id is carried along and is never a component's smallest
     unless all are null; repeated rows are repeated; an empty table gives no rows; other columns are not read."""
     marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    reached = written(classes.join(connected_components(links(classes.select("fp"))), F.col("fp") == F.col("id"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "classes")
+    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    reached = written(classes.join(connected_components(links(classes.select("fp"))), F.col("fp") == F.col("id"), "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("component")), "classes")
     smallest = reached.groupBy("component").agg(F.min("first").alias("component_id"))
-    return marked.join(reached.join(smallest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # One fingerprint may be that of a large part of all rows (blank texts, copies).
+    answers = written(reached.join(smallest, "component").select(hex16().alias("key"), "n", "component_id"), "answers")
+    return join_facts(marked.withColumn("key", hex16()), hot_keys(answers).drop("n"), "key").select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: str = "fp"):

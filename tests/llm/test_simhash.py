@@ -31,8 +31,7 @@ def components(fps):
     return [find(i) for i in range(len(fps))]
 
 
-def test_against_brute_force(spark):
-    docs = documents(n=120)
+def check(spark, docs):
     got = simhash.near_duplicates(frame(spark, docs)).select("doc_id", simhash.hex16().alias("f"), "component_id").collect()
     fps = [brute_fp(d[1]) for d in docs]
     roots = components(fps)
@@ -40,9 +39,19 @@ def test_against_brute_force(spark):
     for d, r in zip(docs, roots):
         smallest[r] = min(smallest.get(r, 1 << 60), d[0])
     assert sorted(tuple(r) for r in got) == sorted((d[0], format(f, "016x"), smallest[r]) for d, f, r in zip(docs, fps, roots))
+
+
+def test_against_brute_force(spark):
+    check(spark, documents(n=120))
     assert simhash.near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_fingerprints_that_many_rows_share(spark):
+    """Blank texts and copies of one text, each more than a thousand rows, are dealt apart from the other fingerprints."""
+    docs = documents(n=12)
+    check(spark, docs + [(9000 + i, "" if i % 3 else None, "en", "s", 0) for i in range(1100)] + [(20000 + i, docs[0][1], "en", "s", 0) for i in range(1100)])
+
+
 def test_native_hash_is_the_same(spark):
     text = "Ünï cöde"
     assert spark.sql(f"select xxhash64('{text}') h").first()["h"] == int.from_bytes(xxhash.xxh64_digest(text.encode(), 42), "big", signed=True)
