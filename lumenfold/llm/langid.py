@@ -16,6 +16,8 @@ from lumenfold.llm.common import LOWER, map_batches, text_bytes
 
 #: Hashed trigrams; a model has this many counts a language.
 BUCKETS = 1 << 16
+#: Places of the hash that chooses training documents: so many that a share is never rounded to nothing.
+HASHES = 10**15
 #: Words that a task remembers the likelihoods of.
 CACHED_WORDS = 200_000
 UNDETERMINED = "und"
@@ -50,8 +52,8 @@ def train(docs: DataFrame, usable: Column, docs_per_language: int = 2000, max_la
     languages = sorted(sizes)
     if not languages:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, docs_per_language / n) * 1_000_000)))])
-    sample = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, docs_per_language / n) * HASHES)).cast("long"))])
+    sample = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(HASHES)) < share[F.col("lang")])
     place = {k: i for i, k in enumerate(languages)}
 
     def make():

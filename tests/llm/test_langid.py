@@ -1,3 +1,7 @@
+import math
+from collections import Counter
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import functions as F
 from tests.conftest import SF
@@ -38,3 +42,53 @@ def test_em_finds_the_shares():
     like = np.log(np.array([[0.9, 0.05, 0.05], [0.05, 0.9, 0.05]]))
     shares, chosen = langid.mixture(like, np.array([700.0, 300.0]))
     assert list(chosen) == [0, 1] and abs(shares[0] - 0.7) < 0.05 and rng is not None
+
+
+def plain_answers(learned, texts):
+    """Language and share by counting in dictionaries, then EM for every set of languages; the set with the best penalised likelihood wins."""
+
+    def words(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        return [w for w in low.encode().split() if any(c.isalpha() for c in w.decode())]
+
+    def places(word):
+        w = b" " + word + b" "
+        return [((w[i] << 16 | w[i + 1] << 8 | w[i + 2]) * 2654435761 % 2**32) >> 16 for i in range(len(w) - 2)]
+
+    languages = sorted({x for x, _ in learned})
+    counts = {x: Counter() for x in languages}
+    for x, text in learned:
+        for w in words(text):
+            counts[x].update(places(w))
+    total = {x: sum(c.values()) + 0.1 * 65536 for x, c in counts.items()}
+    out = []
+    for text in texts:
+        seen = Counter(words(text))
+        n = np.array(list(seen.values()), float)
+        like = np.array([[sum(math.log((counts[x][g] + 0.1) / total[x]) for g in places(w)) for x in languages] for w in seen])
+        top = like.max(1, keepdims=True)
+        best = (-math.inf, None)
+        for size in range(1, len(languages) + 1):
+            for chosen in combinations(range(len(languages)), size):
+                p, share = np.exp(like[:, chosen] - top), np.full(size, 1 / size)
+                for _ in range(300):
+                    r = p * share
+                    share = n @ (r / np.maximum(r.sum(1, keepdims=True), 1e-300)) / n.sum()
+                value = n @ (np.log(np.maximum(p @ share, 1e-300)) + top[:, 0]) - 0.5 * math.log(n.sum()) * (size - 1)
+                if value > best[0] + 1e-6:
+                    best = (value, (languages[chosen[int(np.argmax(share))]], share.max()))
+        out.append(best[1])
+    return out
+
+
+def test_answers_are_those_of_a_plain_model(spark):
+    docs = table(spark, SF, "documents").where("text is not null")
+    languages, model = langid.train(docs, ~held_out("doc_id", 4, 2))
+    learned = [(r["lang"], r["text"]) for r in docs.where(~held_out("doc_id", 4, 2) & F.col("lang").isNotNull()).collect()]
+    new = [r["text"] for r in docs.where(held_out("doc_id", 4, 2)).orderBy("doc_id").collect()]
+    new = [t for t in new if 0 < len(t) < 4000 and any(c.isalpha() for c in t)][:40]
+    new += [" ".join(a.split()[:90] + b.split()[: 10 * k]) for k, (a, b) in enumerate(zip(new, new[7:]), 1)]
+    got = langid.predict(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), languages, model, ["doc_id"]).collect()
+    want = plain_answers(learned, new)
+    off = [(r["doc_id"], r["lang_pred"], r["score"], want[r["doc_id"]]) for r in got if r["lang_pred"] != want[r["doc_id"]][0] or abs(r["score"] - want[r["doc_id"]][1]) > 0.02]
+    assert len(got) == len(new) and not off, off
