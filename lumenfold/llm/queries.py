@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import brown, decontaminate, langid, nearvec, packing, sharding, simhash, substring, urlfilter, warc
+from lumenfold.llm import alignment, brown, decontaminate, langid, nearvec, packing, sharding, simhash, substring, urlfilter, warc
 from lumenfold.llm.common import held_out, shared_dir, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,7 +74,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_near_vectors, op4_brown_score, op5_sharding, op6_decontamination, op7_substring_dedup, op8_url_filter, op9_warc, op10_simhash)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of every text under two vocabularies. Null and empty texts have none; repeated rows are documents of their own and count each."""
+    a, ranks, b = map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
+    return alignment.cross_tokenizer(table(spark, sf_dir, "documents"), a, b, ["doc_id"], ranks, public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_near_vectors, op4_brown_score, op5_sharding, op6_decontamination, op7_substring_dedup, op8_url_filter, op9_warc, op10_simhash, op11_alignment)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
