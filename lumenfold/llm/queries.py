@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import alignment, brown, decontaminate, langid, nearvec, packing, sharding, simhash, substring, urlfilter, warc
+from lumenfold.llm import alignment, brown, decontaminate, langid, nearvec, packing, ranked, sharding, simhash, substring, urlfilter, warc
 from lumenfold.llm.common import held_out, shared_dir, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -80,7 +80,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.cross_tokenizer(table(spark, sf_dir, "documents"), a, b, ["doc_id"], ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_near_vectors, op4_brown_score, op5_sharding, op6_decontamination, op7_substring_dedup, op8_url_filter, op9_warc, op10_simhash, op11_alignment)}
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's fifty best documents. Null texts are never found; repeated documents are ranked each, repeated items once."""
+    return ranked.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_near_vectors, op4_brown_score, op5_sharding, op6_decontamination, op7_substring_dedup, op8_url_filter, op9_warc, op10_simhash, op11_alignment, op12_ranked_search)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -133,4 +138,16 @@ SQL: dict[str, str] = {
                    (((('0x' || substr(s, (i // 4) * 5 + 1, 5))::BIGINT >> ((3 - i % 4) * 5)::BIGINT) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
                CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to
         FROM p JOIN f USING (h)""",
+    "op12_ranked_search": f"""
+        WITH p AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
+        d AS (SELECT r, doc_id, w, len(w) AS n FROM p WHERE len(w) > 0),
+        c AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+        i AS (SELECT DISTINCT item_id, unnest(list_distinct(regexp_extract_all({_LOWER}, {_ALNUM}))) AS t FROM benchmark),
+        x AS (SELECT r, doc_id, n, unnest(w) AS t FROM d),
+        f AS (SELECT r, doc_id, n, t, count(*) AS tf FROM x WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+        w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY t, n_docs),
+        s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+              FROM f JOIN w USING (t) JOIN i USING (t), c GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 50""",
 }
