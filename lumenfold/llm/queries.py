@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import alignment, brown, decontaminate, langid, nearvec, packing, ranked, sharding, simhash, substring, urlfilter, warc
+from lumenfold.llm import alignment, brown, decontaminate, langid, nearvec, packing, private, ranked, sharding, simhash, substring, urlfilter, warc
 from lumenfold.llm.common import held_out, shared_dir, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -85,7 +85,13 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_near_vectors, op4_brown_score, op5_sharding, op6_decontamination, op7_substring_dedup, op8_url_filter, op9_warc, op10_simhash, op11_alignment, op12_ranked_search)}
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text, and the words that disclose it. Null texts have none; repeated rows are documents of their own."""
+    found = private.find(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(private.said(private.base_only(F.col("spans"))), 256).alias("base_sha256"), private.said(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_near_vectors, op4_brown_score, op5_sharding, op6_decontamination, op7_substring_dedup, op8_url_filter, op9_warc, op10_simhash, op11_alignment, op12_ranked_search, op13_private_data)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
