@@ -40,9 +40,9 @@ def featurizer(n: int = 3, features: int = FEATURES) -> Pipeline:
 def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, max_labelled: int = 3000, url_col: str = "url") -> DataFrame:
     """Adds host, path, rule, verdict and p_block to ``pages``. Columns of those names are replaced; all others stay, whatever they are called.
 
-    labelled: a small URL table (url, block 0/1); without it, the at most ``max_labelled`` pages with the smallest
-    hash among those that a rule judges are the labelled table. Whatever it is, no more than ``max_labelled`` rows train. If they
-    hold one class only, that is the verdict without a rule, and ``allow`` if there are none."""
+    labelled: a small URL table (url, block 0/1); without it, the urls that a rule judges are the labelled table. Whatever it is, a url (its host and path)
+    with its label counts once, however often it is there, and no more than half of ``max_labelled`` urls of each class train, those with the smallest
+    hashes. If there is one class only, that is the verdict without a rule, and ``allow`` if there are none."""
     added = ["host", "path", "rule", "verdict", "p_block"]
     own = [(f"_{i}", name) for i, name in enumerate(pages.columns) if name not in added]
     # The input's columns go by their places inside, so that no name of theirs can meet one of the model's.
@@ -56,8 +56,9 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES
     else:
         h, p = host_and_path("url")
         table = labelled.select(h.alias("host"), p.alias("path"), F.col("block").cast("double").alias("label"))
-    table = table.orderBy(F.xxhash64("host", "path"), "host", "path", "label").limit(max_labelled)
-    table = written(table.coalesce(1), "labelled").withColumn("chars", chars)
+    distinct = table.distinct()
+    smallest = lambda label: distinct.where(F.col("label") == label).orderBy(F.xxhash64("host", "path"), "host", "path").limit(max_labelled // 2)
+    table = written(smallest(0.0).unionByName(smallest(1.0)).coalesce(1), "labelled").withColumn("chars", chars)
     classes = [r["label"] for r in table.select("label").distinct().collect()]
     if len(classes) < 2:
         p_block = F.lit(classes[0] if classes else 0.0)

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from tests.conftest import SF
 
 from lumenfold.llm import urlfilter
@@ -77,3 +78,23 @@ def test_learns_from_a_labelled_table(spark):
 def test_agrees_with_the_rules_that_it_learned_from(spark):
     scored = urlfilter.url_verdicts(table(spark, SF, "pages")).where("rule is not null").selectExpr("avg(cast((p_block >= 0.5) = (verdict = 'block') as int)) a").first()
     assert scored["a"] > 0.9
+
+
+def test_repeated_urls_teach_once(spark):
+    """More copies of one url than may train change nothing for the others, whether a rule or a given table labels it."""
+    pages = table(spark, SF, "pages").select("page_id", "url")
+    blocked = pages.join(urlfilter.url_verdicts(pages).where("rule is not null and verdict = 'block'").select("page_id"), "page_id").first()["url"]
+    copies = spark.range(5000).select((F.col("id") + 1_000_000).alias("page_id"), F.lit(blocked).alias("url"))
+    say = lambda df: {r["page_id"]: (r["verdict"], r["p_block"]) for r in df.where("page_id < 1000000").collect()}
+    assert say(urlfilter.url_verdicts(pages.unionByName(copies))) == say(urlfilter.url_verdicts(pages))
+    given = spark.createDataFrame([(f"http://spam{i}.biz/win/{i}", 1) for i in range(30)] + [(f"http://news{i}.info/story/{i}", 0) for i in range(30)], "url string, block int")
+    more = given.unionByName(spark.range(5000).select(F.lit("http://spam3.biz/win/3").alias("url"), F.lit(1).alias("block")))
+    assert say(urlfilter.url_verdicts(pages, rules=(), labelled=more)) == say(urlfilter.url_verdicts(pages, rules=(), labelled=given))
+
+
+def test_no_class_crowds_out_the_other(spark):
+    given = [(f"http://spam{i}.biz/win/{i}", 1) for i in range(400)] + [(f"http://news{i}.info/story/{i}", 0) for i in range(5)]
+    labelled = spark.createDataFrame(given, "url string, block int")
+    pages = spark.createDataFrame([(1, "http://spam999.biz/win/5"), (2, "http://news77.info/story/8")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.url_verdicts(pages, rules=(), labelled=labelled, max_labelled=12).collect()}
+    assert got == {1: "block", 2: "allow"}
