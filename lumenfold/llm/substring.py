@@ -6,7 +6,7 @@
    are told apart at once: all but the first are repeats.
 3. All runs of an anchor form a small reference shard. Its suffix automaton grows in order of place (document, start); each run is
    streamed through it first, and its matching statistics say which windows occur earlier, and where first.
-   An anchor with very many different runs is dealt out anew, window by window, by the window's own hash.
+   An anchor with very many runs is dealt out anew, window by window; of equal windows all but the first are repeats.
 4. The spans of repeated windows are merged and removed from the texts.
 
 The reference shards grow with the corpus, so they are not broadcast: each meets its runs by a shuffle.
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -300,8 +299,13 @@ _RUNS = "anchor long, doc_id long, key long, begin int, end int, words binary"
 
 
 def _spans(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, key, begin, end): words of columns doc_id, key (a hash of the text), text (bytes) that are to go."""
-    candidates = shared_runs(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("first", "windows", "anchor")).alias("runs"))
+    """(doc_id, key, begin, end): words of columns doc_id, key (a hash of the text), text (bytes) that are to go.
+
+    Copies of a row have the same runs, which are gathered once for all of them. Runs come by a hash of id and text; should two
+    documents share one, each is tried at the other's runs as well, which decides nothing by itself."""
+    document = F.xxhash64("doc_id", "key")
+    found = shared_runs(docs.select(document.alias("doc_id"), "text"), length)
+    candidates = found.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set(F.struct("first", "windows", "anchor")).alias("runs"))
 
     def give():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -311,13 +315,13 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
                 words = (batch.column(2)[i].as_py() or b"").split()
                 for run in batch.column(3)[i].as_py():
                     a, n = run["first"], run["windows"] + length - 1
-                    if a + n <= len(words):  # a row with the same id may be shorter
+                    if a + n <= len(words):  # the runs may be another document's as well
                         firsts.add(run["anchor"], ids[i], keys[i], a, b" ".join(words[a : a + n]))
             return firsts.take()
 
         return one
 
-    runs = written(map_batches(docs.join(candidates, "doc_id").select("doc_id", "key", "text", "runs"), give, _RUNS), "runs")
+    runs = written(map_batches(docs.join(candidates, document == F.col("_of")).select("doc_id", "key", "text", "runs"), give, _RUNS), "runs")
     texts = runs.where("anchor is not null")
     hot = written(texts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot")), "hot")
     marked = texts.join(F.broadcast(hot) if hot.count() <= BROADCAST_ANCHORS else hot, "anchor", "left")
@@ -329,13 +333,17 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
                 words = row["words"].split(b" ")
                 for j in range(len(words) - length + 1):
                     text = b" ".join(words[j : j + length])
-                    firsts.add(xxhash.xxh64_intdigest(text) - (1 << 63), row["doc_id"], row["key"], row["begin"] + j, text)
+                    firsts.add(0, row["doc_id"], row["key"], row["begin"] + j, text)
             return firsts.take()
 
         return one
 
     dealt = written(map_batches(marked.where("hot").select(*texts.columns), deal, _RUNS), "hot-runs")
-    shards = marked.where("hot is null").select(*texts.columns).unionByName(dealt.where("anchor is not null")).select("anchor", "doc_id", "key", "begin", "words")
+    # Of equal windows the first stays; the rest go by their places, each a key of its own, so nothing gathers what every batch may hold.
+    windows = dealt.where("anchor is not null").select("doc_id", "key", "begin", "end", "words")
+    firsts = windows.groupBy("words").agg(F.min(F.struct("doc_id", "key", "begin")).alias("place")).select("place.*")
+    later = windows.select("doc_id", "key", "begin", (F.col("begin") + length).alias("end")).join(firsts, ["doc_id", "key", "begin"], "left_anti")
+    shards = marked.where("hot is null").select("anchor", "doc_id", "key", "begin", "words")
 
     def match(batches):
         rows, anchor = [], None
@@ -358,7 +366,7 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
     dealt_out = shards.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "key", "begin")
     found = dealt_out.mapInArrow(match, "doc_id long, key long, begin int, end int")
     decided = [r.where("anchor is null").select("doc_id", "key", "begin", "end") for r in (runs, dealt)]
-    return found.unionByName(decided[0]).unionByName(decided[1])
+    return found.unionByName(decided[0]).unionByName(decided[1]).unionByName(later)
 
 
 def without_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,4 +1,6 @@
 import random
+import time
+from collections import Counter
 
 import xxhash
 from tests.llm.helpers import documents, frame, sentence
@@ -70,3 +72,21 @@ def test_automaton_finds_first_places():
             want = next(((d, j + 3) for d, x in enumerate(texts[:k]) for j in range(len(x) - 3) if x[j : j + 4] == w[i : i + 4]), None)
             assert end == want
         automaton.add(w, k, 0)
+
+
+def test_copies_of_a_row_cost_in_proportion(spark):
+    """Thousands of copies of one row under one id, and of one text with null ids, take no longer than so many rows."""
+    rng = random.Random(11)
+    text, other = sentence(rng, 300), sentence(rng, 60)
+    rows = [(5, text, None, None, 0)] * 4000 + [(None, other + " " + text[:400], None, None, 0)] * 4000 + [(9, text + " tail", None, None, 0), (1, other, None, None, 0)]
+    began = time.time()
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring.without_repeats(frame(spark, rows), ["doc_id"]).select("doc_id", "n_words", "n_removed", "kept").collect())
+    assert time.time() - began < 60
+    want = {row for row in brute([rows[0], rows[4000], *rows[-2:]])}
+    assert set(got) == want and got[next(w for w in want if w[0] == 5)] == 4000
+
+
+def test_many_different_texts_under_one_id(spark):
+    rng = random.Random(12)
+    passage = sentence(rng, 40)
+    check(spark, [(1, sentence(rng, 12) + " " + passage, None, None, 0) for _ in range(60)])
