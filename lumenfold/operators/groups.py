@@ -34,11 +34,55 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges that a task contracts by itself.
+TASK_EDGES = 1 << 18
+
+
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of edges (a, b): each end that isn't the smallest of its component, and that smallest."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while len(left):
+        x, y = label[left], label[right]
+        open_ = x != y
+        left, right, x, y = left[open_], right[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != (jumped := label[label])).any():
+            label = jumped
+    away = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[away], ids[label[away]]
+
+
+def _contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    """The edges of each of so many tasks as stars: what they connect stays connected, with fewer edges and smaller ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        types = None
+
+        def stars() -> tuple[np.ndarray, np.ndarray]:
+            return contracted(*(np.concatenate(x) for x in zip(*held)))
+
+        for batch in batches:
+            types = [c.type for c in batch.columns]
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            if sum(len(x) for x, _ in held) > 2 * TASK_EDGES:
+                held[:] = [stars()]
+                if len(held[0][0]) > TASK_EDGES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held.pop(), types)], names=["a", "b"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(stars(), types)], names=["a", "b"])
+
+    return edges.coalesce(tasks).mapInArrow(run, edges.schema)
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each end of an edge of (a, b) reaches.
 
-    Alternates large-star and small-star rounds; each is a map-side combined minimum and an equi-join, and writes its edges to
-    the shared folder. Nothing is collected but a count and a checksum of the edges. Self-loops and repeated edges are fine."""
+    Tasks contract their own edges first, as many tasks as the edges fill. If that is one, they are the answer. If not, large-star and
+    small-star rounds follow, each a map-side combined minimum and an equi-join, until nothing changes; they end for every graph. Each round writes its
+    edges to the shared folder. Nothing is collected but a count and a checksum. Self-loops and repeated edges are fine; an edge with a null end is none."""
     a, b = F.col("a"), F.col("b")
     now = written(edges.where(a != b).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
@@ -46,10 +90,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     seen = sign(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
+    while seen[0]:
+        tasks = -(-seen[0] // TASK_EDGES)
+        local = written(_contracted(now, tasks), "edges")
+        if tasks == 1:
+            now = local
             break
-        both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
+        both = local.unionByName(local.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -59,8 +106,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if (sign_now := sign(now)) == seen:
             break
         seen = sign_now
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(a.alias("id"), b.alias("component")).unionByName(now.select(b.alias("id"), b.alias("component")).distinct())
 
 

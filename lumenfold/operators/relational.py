@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.groups import written
+
 
 def latest_wins(df: DataFrame, key: Sequence[str], order: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """The row of each key with the largest ``order`` (nulls smallest); end ``order`` with a unique column.
@@ -51,15 +53,34 @@ def calendar(df: DataFrame, day: str, days: DataFrame, values: Sequence[Column])
     return every.join(found, day, "left").na.fill(0)
 
 
-def path_table(nodes: DataFrame, depth: int = 12) -> DataFrame:
-    """Adds path (slugs joined by dots) and depth to nodes (id, parent_id, slug): one equi-join a level."""
-    level = nodes.where("parent_id is null").select("id", "parent_id", "slug", F.col("slug").alias("path"), F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, depth + 1):
-        above = level.select(F.col("id").alias("_up"), F.col("path").alias("_path"))
-        level = nodes.join(above, nodes.parent_id == F.col("_up")).select("id", "parent_id", "slug", F.concat_ws(".", "_path", "slug").alias("path"), F.lit(d).alias("depth"))
-        out = out.unionByName(level)
-    return out
+def path_table(nodes: DataFrame, faults: str = "raise") -> DataFrame:
+    """Adds path (slugs from the root down, joined by dots) and depth to nodes (id, parent_id, slug), of any depth.
+
+    Each round doubles the distance that every node has looked up its branch: a node's path is that of the ancestor it has reached, and its own part behind
+    it; so a depth of n takes log2(n) rounds of an equi-join. Nodes that no root reaches lie on or below a cycle, or below a parent that isn't there: they
+    raise a ValueError that names some, or with ``faults="keep"`` they have null path and depth. A null slug adds nothing to a path. Ids are unique."""
+    if faults not in ("raise", "keep"):
+        raise ValueError(f"faults: raise or keep, not {faults!r}")
+    now = written(nodes.select("id", "parent_id", "slug", F.col("parent_id").alias("_up"), F.concat_ws(".", "slug").alias("path"), F.lit(0).alias("depth")), "paths")
+    open_ = now.where("_up is not null").count()
+    while open_:
+        above = now.select(F.col("id").alias("_id"), F.col("_up").alias("_next"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
+        met = now.join(above, F.col("_up") == F.col("_id"), "left")
+        found = F.col("_id").isNotNull()
+        path = F.when(found, F.concat_ws(".", F.nullif("_path", F.lit("")), F.nullif("path", F.lit("")))).otherwise(F.col("path"))
+        depth = F.when(found, F.col("depth") + F.col("_depth") + 1).otherwise(F.col("depth"))
+        # A parent that isn't there stays where it is, and so does whoever has reached it.
+        now = written(met.select("id", "parent_id", "slug", F.when(found, F.col("_next")).otherwise(F.col("_up")).alias("_up"), path.alias("path"), depth.alias("depth")), "paths")
+        left = now.where("_up is not null").count()
+        if left == open_:
+            # Every branch that ends at a root loses nodes in each round.
+            if faults == "raise":
+                some = [r["id"] for r in now.where("_up is not null").select("id").limit(5).collect()]
+                raise ValueError(f"{left} nodes that no root reaches (a cycle or a parent that isn't there): {some}")
+            break
+        open_ = left
+    rooted = F.col("_up").isNull()
+    return now.select("id", "parent_id", "slug", F.when(rooted, F.col("path")).alias("path"), F.when(rooted, F.col("depth")).alias("depth"))
 
 
 def ancestor_paths(path: Column) -> Column:

@@ -120,13 +120,13 @@ _TAXONOMY = """nodes AS (SELECT 'root' AS id, NULL::VARCHAR AS parent_id, 'world
 
 @query(f"WITH RECURSIVE {_TAXONOMY} SELECT id, parent_id, slug, path, depth FROM paths")
 def path_materialisation(spark, d):
-    return R.path_table(taxonomy(spark, d), depth=3)
+    return R.path_table(taxonomy(spark, d))
 
 
 @query("""SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = 1""")
 def subtree_filter(spark, d):
     """Customers whose node is a region or below it: the region's path is among the node's ancestors."""
-    paths = R.path_table(taxonomy(spark, d), depth=3)
+    paths = R.path_table(taxonomy(spark, d))
     root = paths.where("id = 'r1'").select(F.col("path").alias("root"))
     under = paths.withColumn("up", F.explode(R.ancestor_paths(F.col("path")))).join(root, F.col("up") == F.col("root")).select("id")
     own = t(spark, d, "customer").withColumn("id", F.concat(F.lit("n"), "c_nationkey")).join(under, "id")
@@ -139,7 +139,7 @@ def subtree_filter(spark, d):
 def tree_rollup(spark, d):
     """Direct and total counts of each node."""
     direct = t(spark, d, "customer").groupBy(F.concat(F.lit("n"), "c_nationkey").alias("id")).agg(F.count("*").alias("direct"))
-    own = R.path_table(taxonomy(spark, d), depth=3).join(direct, "id", "left").select("id", "path", F.coalesce("direct", F.lit(0)).alias("direct"))
+    own = R.path_table(taxonomy(spark, d)).join(direct, "id", "left").select("id", "path", F.coalesce("direct", F.lit(0)).alias("direct"))
     return own.join(R.roll_up(own), "path").select("id", "path", "direct", "total")
 
 
