@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators.groups import hot_keys, join_facts
 
-#: Version findings that are reported for a file.
-MOST = 10
+#: Version findings that are reported for a file; lists up to this length are broadcast.
+MOST, SHORT_LIST = 10, 64
 
 
 def move_findings(moves: DataFrame, files: DataFrame, dismissed: DataFrame, most: int = MOST) -> DataFrame:
@@ -23,7 +23,7 @@ def move_findings(moves: DataFrame, files: DataFrame, dismissed: DataFrame, most
     a, b = F.col("a"), F.col("b")
     pairs = dismissed.select(a.alias("file_id"), b.alias("other_id")).unionByName(dismissed.select(b.alias("file_id"), a.alias("other_id"))).distinct()
     other = files.select(F.col("file_id").alias("other_id"), "owner", F.col("content_key").alias("other_key"), F.col("stem").alias("other_stem"), F.col("location").alias("other_location"))
-    cleared = pairs.join(other, "other_id").join(own.select("file_id", "owner", "destination"), ["file_id", "owner"])
+    cleared = pairs.join(other, "other_id").join(own.select("file_id", "owner", "stem", "destination"), ["file_id", "owner"])
 
     # Copies: a row a content, so that a group of any size adds no pairs.
     key = F.concat_ws(" ", "owner", "content_key")
@@ -35,14 +35,18 @@ def move_findings(moves: DataFrame, files: DataFrame, dismissed: DataFrame, most
 
     # Versions: of each stem so many contents that clearing leaves the first ``most``.
     by_stem = files.where("stem is not null")
-    more = pairs.groupBy("file_id").count().agg(F.max("count")).first()[0] or 0
+    # A stem is listed with as many more as any of its own files has cleared contents.
+    spare = cleared.where("stem = other_stem").groupBy("owner", "stem", "file_id").agg(F.count_distinct("other_key").alias("k")).groupBy("owner", "stem").agg(F.max("k").alias("spare"))
     w = Window.partitionBy("owner", "stem").orderBy("group_id")
     first = by_stem.groupBy("owner", "stem", "content_key").agg(F.min("file_id").alias("group_id"), F.count("*").alias("n"))
-    first = first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most + 1 + more)
+    placed = first.withColumn("_r", F.row_number().over(w)).join(spare, ["owner", "stem"], "left")
+    first = placed.where(F.col("_r") <= most + 1 + F.coalesce("spare", F.lit(0))).drop("_r", "spare")
     stem_key = F.concat_ws(" ", "owner", "stem")
     facts = first.groupBy(stem_key.alias("key")).agg(F.collect_list(F.struct(F.col("content_key").alias("other_key"), "group_id", "n")).alias("others"))
     sizes = by_stem.groupBy(stem_key.alias("key")).agg(F.count("*").alias("files"))
-    joined = join_facts(own.where("stem is not null").withColumn("key", stem_key), hot_keys(facts.join(sizes, "key"), "files"), "key")
+    # Of stems that very many files share, short lists are broadcast.
+    marked = hot_keys(facts.join(sizes, "key"), "files").withColumn("hot", F.col("hot") & (F.size("others") <= SHORT_LIST))
+    joined = join_facts(own.where("stem is not null").withColumn("key", stem_key), marked, "key")
     found = joined.select("file_id", "owner", "stem", "content_key", "destination", F.inline("others")).where("other_key <> content_key")
     at = F.col("destination").eqNullSafe(F.col("other_location"))
     gone = cleared.groupBy("file_id", "other_key", F.col("other_stem").alias("stem")).agg(F.count("*").alias("gone"), F.count_if(at).alias("gone_there"))

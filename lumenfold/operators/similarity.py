@@ -102,6 +102,37 @@ def _keyed_sets(texts: DataFrame, size: int, id_type: str) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, f"id {id_type}, n_words int, key string, set array<long>")
 
 
+def overlaps(sets: np.ndarray, a: np.ndarray, b: np.ndarray, slice_size: int = 8192) -> np.ndarray:
+    """How many members each of the sets at places ``a`` shares with each of those at ``b``, by products of 0/1 matrices of the members that several have."""
+    size = np.array([len(x) for x in sets])
+    flat, row = np.concatenate(list(sets)), np.repeat(np.arange(len(size)), size)
+    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = count[code] > 1
+    _, code = np.unique(code[keep], return_inverse=True)
+    row, both = row[keep], np.zeros((len(a), len(b)), np.float32)
+    at_a, at_b = np.full(len(size), -1), np.full(len(size), -1)
+    at_a[a], at_b[b] = np.arange(len(a)), np.arange(len(b))
+    for low in range(0, int(code.max()) + 1 if len(code) else 0, slice_size):
+        part = (code >= low) & (code < low + slice_size)
+        left, right = np.zeros((len(a), slice_size), np.float32), np.zeros((len(b), slice_size), np.float32)
+        r, c = row[part], code[part] - low
+        left[at_a[r][at_a[r] >= 0], c[at_a[r] >= 0]] = 1
+        right[at_b[r][at_b[r] >= 0], c[at_b[r] >= 0]] = 1
+        both += left @ right.T
+    return both
+
+
+def prefixes(sets: DataFrame, keys: list[str], threshold: float, within: list[str] = ()) -> DataFrame:
+    """(keys, s): of each set (columns keys, set) its rarest members, so many that two sets at the threshold share one; members that no other set has fill them first.
+
+    ``within`` are those of the keys inside which sets are compared."""
+    spread = sets.select(*keys, F.size("set").alias("size"), F.explode("set").alias("s"))
+    shared = spread.groupBy(*within, "s").agg(F.count("*").alias("df")).where("df > 1")
+    own = spread.join(shared, [*within, "s"]).groupBy(*keys, "size").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("common"))
+    room = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1 - (F.col("size") - F.size("common"))
+    return own.where(room > 0).select(*keys, F.explode(F.slice("common", F.lit(1), room.cast("int"))).alias("c")).select(*keys, F.col("c.s").alias("s"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, min_tokens: int = MIN_TOKENS, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_links, group_id): documents linked directly, and the smallest id that links reach, itself included.
 
@@ -125,12 +156,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     both = sets.where(comparable).select("key", "set", F.lit(1).cast("long").alias("n")).unionByName(hot_sets.where(comparable).select("key", "set", F.col("id.n").alias("n")))
     classes = written(both.groupBy("key").agg(F.any_value("set", True).alias("set"), F.sum("n").alias("n")).withColumn("cls", F.monotonically_increasing_id()), "classes")
 
-    spread = classes.select("cls", F.size("set").alias("size"), F.explode("set").alias("s"))
-    shared = spread.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    own = spread.join(shared, "s").groupBy("cls", "size").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("common"))
-    # Shingles that no other class has are the rarest: they fill the prefix first.
-    room = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1 - (F.col("size") - F.size("common"))
-    prefix = own.where(room > 0).select("cls", F.explode(F.slice("common", F.lit(1), room.cast("int"))).alias("c")).select("cls", F.col("c.s").alias("s"))
+    prefix = prefixes(classes.select("cls", "set"), ["cls"], threshold)
     hubs = prefix.groupBy("s").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1")
     clusters = connected_components(prefix.join(hubs, "s").select(F.col("cls").alias("a"), F.col("hub").alias("b")))
     members = written(classes.select("cls", "n", "set").join(clusters.select(F.col("id").alias("cls"), F.col("component").alias("cluster")), "cls"), "members")
@@ -143,20 +169,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
         if not len(a) or not len(b):
             return None
         size = np.array([len(x) for x in group["set"]])
-        flat, row = np.concatenate(list(group["set"])), np.repeat(np.arange(len(size)), size)
-        _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
-        keep = count[code] > 1
-        _, code = np.unique(code[keep], return_inverse=True)
-        row, both = row[keep], np.zeros((len(a), len(b)), np.float32)
-        at_a, at_b = np.full(len(size), -1), np.full(len(size), -1)
-        at_a[a], at_b[b] = np.arange(len(a)), np.arange(len(b))
-        for low in range(0, int(code.max()) + 1 if len(code) else 0, 8192):  # slices of the shared shingles
-            part = (code >= low) & (code < low + 8192)
-            left, right = np.zeros((len(a), 8192), np.float32), np.zeros((len(b), 8192), np.float32)
-            r, c = row[part], code[part] - low
-            left[at_a[r][at_a[r] >= 0], c[at_a[r] >= 0]] = 1
-            right[at_b[r][at_b[r] >= 0], c[at_b[r] >= 0]] = 1
-            both += left @ right.T
+        both = overlaps(group["set"], a, b)
         near = both >= threshold * (size[a][:, None] + size[b][None, :] - both) - 1e-9
         if same:
             np.fill_diagonal(near, False)
