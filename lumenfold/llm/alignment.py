@@ -14,6 +14,8 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,8 @@ AT_ONCE = 1 << 19
 FREQUENT = 1 << 20
 #: Pairs that a task counts before it hands them on.
 HELD_PAIRS = 4_000_000
-_LONG_RUN = re.compile(r"\S{400}|\s{400}")
+#: Characters of a run without, or of, white space from which a text goes through the vocabulary itself.
+LONG_RUN = 400
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -83,6 +86,12 @@ def product(a: Csr, b: Csr) -> Csr:
     return Csr(np.append(0, np.cumsum(np.bincount(row, minlength=a.rows))), column, values, b.columns)
 
 
+def has_long_run(text: str, most: int = LONG_RUN) -> bool:
+    """Whether a run without white space, or of white space, has ``most`` characters or more."""
+    sizes = list(map(len, text.split()))
+    return max(sizes, default=0) >= most or len(text) - sum(sizes) - len(sizes) >= most and re.search(r"\s{%d}" % most, text) is not None
+
+
 class ByteTokens:
     """A byte-level vocabulary of `tokenizers`: ids of a text, and each id's bytes.
 
@@ -115,7 +124,7 @@ class ByteTokens:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        slow = [i for i, t in enumerate(texts) if self.fast is None or _LONG_RUN.search(t)]
+        slow = [i for i, t in enumerate(texts) if self.fast is None or has_long_run(t)]
         out: list = [None] * len(texts)
         for i, x in zip(slow, self.model.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False) if slow else ()):
             out[i] = x.ids
@@ -153,31 +162,33 @@ class Aligned:
         a, b = (spans(s, e, self.size) for s, e in zip(self.starts, self.ends))
         return product(a, transpose(b))
 
-    def cuts(self) -> np.ndarray:
-        """Ends of the groups: the bytes where tokens of both sides end."""
-        return np.intersect1d(*self.ends, assume_unique=True)
+    @cached_property
+    def end_links(self) -> tuple[np.ndarray, np.ndarray]:
+        """The overlap links whose tokens end together, as positions of both sides. Their ends cut the texts into groups."""
+        m = self.overlaps()
+        row = m.row_of()
+        both = self.ends[0][row] == self.ends[1][m.indices]
+        return row[both], m.indices[both]
 
+    @cached_property
     def groups(self) -> tuple[np.ndarray, np.ndarray]:
-        """The group of each token of either side."""
-        cuts = self.cuts()
-        return tuple(np.searchsorted(cuts, s, "right") for s in self.starts)
+        """The group of each token of either side: how many groups end before it."""
+        out = []
+        for last, ends in zip(self.end_links, self.ends):
+            cut = np.zeros(len(ends), np.int64)
+            cut[last] = 1
+            out.append(np.cumsum(cut) - cut)
+        return out[0], out[1]
 
     def group_incidence(self) -> tuple[Csr, Csr]:
-        n = len(self.cuts())
-        return tuple(spans(g, g + 1, n) for g in self.groups())
+        n = len(self.end_links[0])
+        return tuple(spans(g, g + 1, n) for g in self.groups)
 
     def shared_groups(self) -> Csr:
         """Pairs of tokens of the same group; as many as the product of a group's tokens, so ask for one text at a time."""
         a, b = self.group_incidence()
         return product(a, transpose(b))
 
-    def end_links(self) -> tuple[np.ndarray, np.ndarray]:
-        """The overlap links whose tokens end together, as positions of both sides."""
-        m = self.overlaps()
-        row = m.row_of()
-        both = self.ends[0][row] == self.ends[1][m.indices]
-        return row[both], m.indices[both]
-
 
 class Aligner:
     """Lays texts end to end and aligns them; a text whose bytes the tokens don't give back has no tokens."""
@@ -196,7 +207,7 @@ class Aligner:
             if not text or any(b"".join(map(side.bytes.__getitem__, ids[i])) != whole for side, ids in zip((self.a, self.b), found)):
                 found[0][i] = found[1][i] = []
         counts = tuple(np.array([len(x) for x in side], np.int64) for side in found)
-        ids = tuple(np.fromiter((i for x in side for i in x), np.int64, int(n.sum())) for side, n in zip(found, counts))
+        ids = tuple(np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in zip(found, counts))
         # Tokens without bytes, if a vocabulary has any, take part in no range.
         sizes = tuple(size[i] for size, i in zip(self.sizes, ids))
         ends = tuple(np.cumsum(n) for n in sizes)
@@ -204,8 +215,8 @@ class Aligner:
 
     def group_texts(self, x: Aligned) -> list[bytes]:
         """For each text `a1,a2|b1;a3|b2,b3`: the ids of its groups, of the first side and the second."""
-        group = x.groups()
-        n = tuple(np.bincount(g, minlength=len(x.cuts())) for g in group)
+        group = x.groups
+        n = tuple(np.bincount(g, minlength=len(x.end_links[0])) for g in group)
         before = tuple(np.cumsum(k) - k for k in n)
         out = np.zeros(len(group[0]) + len(group[1]), np.int64)
         for side in (0, 1):
@@ -230,9 +241,8 @@ def parts(texts: list[str | None], most: int = AT_ONCE) -> Iterator[tuple[int, i
 
 def _per_text(x: Aligned, aligner: Aligner) -> tuple[list, ...]:
     n_texts = len(x.counts[0])
-    a, b = x.end_links()
+    a, b = x.end_links
     doc = np.repeat(np.arange(n_texts), x.counts[0])
-    cut_doc = doc[np.searchsorted(x.ends[0], x.cuts())]
     of = doc[a]
     pair = (of << 32) | (x.ids[0][a] * len(aligner.b.bytes) + x.ids[1][b])
     pair, times = np.unique(pair, return_counts=True)
@@ -240,9 +250,10 @@ def _per_text(x: Aligned, aligner: Aligner) -> tuple[list, ...]:
     keys, times = (pair & 0xFFFFFFFF).astype("<u4"), times.astype("<u4")
     group_a, group_b = x.group_incidence()
     shared = product_sizes(group_a, transpose(group_b))
+    links = np.bincount(of, minlength=n_texts)  # one for each group
     digests = [hashlib.sha256(g).hexdigest() if g else "" for g in aligner.group_texts(x)]
     return (
-        x.counts[0], x.counts[1], np.bincount(cut_doc, minlength=n_texts), np.bincount(of, minlength=n_texts), np.bincount(doc, shared, n_texts).astype(np.int64), digests,
+        x.counts[0], x.counts[1], links, links, np.bincount(doc, shared, n_texts).astype(np.int64), digests,
         [keys[i:j].tobytes() for i, j in zip(at, at[1:])], [times[i:j].tobytes() for i, j in zip(at, at[1:])],
     )
 

@@ -104,7 +104,7 @@ def test_links_by_bytes(aligner):
         assert n == min(x.ends[0][i], x.ends[1][j]) - max(x.starts[0][i], x.starts[1][j])
     assert m.values.sum() == x.size
     one = aligner(["don't I'll 1234567.89"])
-    group_a, group_b = one.groups()
+    group_a, group_b = one.groups
     shared = one.shared_groups()
     assert set(zip(shared.row_of().tolist(), shared.indices.tolist())) == {(i, j) for i, g in enumerate(group_a) for j, h in enumerate(group_b) if g == h}
     assert alignment.product_sizes(one.group_incidence()[0], alignment.transpose(one.group_incidence()[1])).sum() == len(shared.indices)
