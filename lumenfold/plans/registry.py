@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenfold.plans import corpus, incremental, lifecycle, listings, relational, versions
+from lumenfold.plans import corpus, incremental, lifecycle, listings, relational, textsearch, versions
 
-QUERIES = {**relational.QUERIES, **corpus.QUERIES, **incremental.QUERIES, **listings.QUERIES, **lifecycle.QUERIES, **versions.QUERIES}
-SQL = {**relational.SQL, **corpus.SQL, **incremental.SQL, **listings.SQL, **lifecycle.SQL, **versions.SQL}
+QUERIES = {**relational.QUERIES, **corpus.QUERIES, **incremental.QUERIES, **listings.QUERIES, **lifecycle.QUERIES, **versions.QUERIES, **textsearch.QUERIES}
+SQL = {**relational.SQL, **corpus.SQL, **incremental.SQL, **listings.SQL, **lifecycle.SQL, **versions.SQL, **textsearch.SQL}
