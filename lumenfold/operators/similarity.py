@@ -18,14 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import tokens
-from lumenfold.operators.groups import block_pairs, connected_components, forest, hot_keys, join_facts, map_groups, written
+from lumenfold.operators.groups import block_pairs, connected_components, forest, hot_keys, join_facts, lean, map_groups, written
 from lumenfold.operators.words import WordHashes, sequence_hashes
 
 SHINGLE, THRESHOLD, MIN_TOKENS = 5, 0.8, 40
 #: Eighths of the hash space in which sets without a partner are told before any set is kept. Any value gives the same links.
 PART = 3
 #: Texts and sets that a task remembers having given.
-SEEN = 1_000_000
+SEEN = 1 << 18
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -77,7 +77,7 @@ def _alone(texts: DataFrame, threshold: float, size: int, min_tokens: int) -> Da
                 if own:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, sizes, own)], names=["k", "n", "s"])
 
-    part = texts.select("k", "text").mapInArrow(run, "k long, n int, s long")
+    part = texts.select("k", "text").mapInArrow(lean(run), "k long, n int, s long")
     once = part.groupBy("s").agg(F.min("k").alias("k"), F.max("k").alias("other"), F.max("n").alias("n")).where("k = other")
     return once.groupBy("k").agg(F.count("*").alias("own"), F.max("n").alias("n")).where(F.col("own") > F.col("n") - F.ceil(F.col("n") * threshold - 1e-9)).select("k")
 
@@ -99,7 +99,7 @@ def _keyed_sets(texts: DataFrame, size: int, id_type: str) -> DataFrame:
                     seen.add(key)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.list_(pa.int64()))))], names=["id", "n_words", "key", "set"])
 
-    return texts.select("id", "text").mapInArrow(run, f"id {id_type}, n_words int, key string, set array<long>")
+    return texts.select("id", "text").mapInArrow(lean(run), f"id {id_type}, n_words int, key string, set array<long>")
 
 
 def overlaps(sets: np.ndarray, a: np.ndarray, b: np.ndarray, slice_size: int = 8192) -> np.ndarray:

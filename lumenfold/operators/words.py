@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words that are remembered.
-_CACHED = 400_000
+_CACHED = 200_000
 
 
 class WordHashes:
