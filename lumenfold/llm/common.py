@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.operators.groups import shared_dir, written
+from lumenfold.operators.groups import lean, shared_dir, written
 
 __all__ = ["LOWER", "LOWER_ALNUM", "held_out", "map_batches", "shared_dir", "table", "text_bytes", "written"]
 
@@ -40,4 +40,4 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             if batch.num_rows and (out := one(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
