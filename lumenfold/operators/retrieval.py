@@ -7,7 +7,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import let, tokens
@@ -76,53 +77,86 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), product).otherwise(0.0)
 
 
-#: Query vectors of one block, and rows that a task scores at a time.
-QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+#: Query vectors that a task holds at a time, rows of a piece, and rows that are scored at a time.
+QUERY_PIECE, ROW_PIECE, ROW_BLOCK = 1 << 15, 1 << 18, 2048
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, most: int = 100, floor: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score): for each query vector the ``most`` rows with the largest dot products, rounded to 6 places, ties by id.
 
-    Queries are taken in blocks of about QUERY_BLOCK, one broadcast each; a task keeps its best rows of each query, so what is shuffled is at most ``most`` rows
-    a query and task. With a floor, rows below it are left out. Null vectors are neither queries nor results; other lengths score 0."""
-    from pyspark.sql import Window
-
+    Rows and queries are cut into pieces; each pair of pieces is a task that holds the queries and streams the rows past them, and gives at most ``most`` rows a query. Rows are copied once
+    for each QUERY_PIECE queries, queries once for each piece of rows; neither goes through the driver, and the plan is the same for any number of either. With a floor, rows below it are left out. Null vectors are neither queries nor
+    results; other lengths score 0."""
     spark = vectors.sparkSession
-    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("q"))
-    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    schema = "query_id long, id long, score double"
-
-    def best(block: int) -> DataFrame:
-        held = spark.sparkContext.broadcast([tuple(r) for r in asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()])
-
-        def run(batches):
-            kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for batch in batches:
-                for low in range(0, batch.num_rows, ROW_BLOCK):
-                    part = batch.slice(low, ROW_BLOCK)
-                    ids, found = part.column(0).to_numpy(), part.column(1).to_pylist()
-                    sizes = np.array([len(x) for x in found])
-                    for size in {len(q) for _, q in held.value}:
-                        same, own = np.flatnonzero(sizes == size), [(i, q) for i, q in held.value if len(q) == size]
-                        scores = np.zeros((len(own), len(ids)))
-                        if len(same) and size:
-                            scores[:, same] = np.array([q for _, q in own]) @ np.array([found[i] for i in same.tolist()]).T
-                        scores = np.round(scores, 6)
-                        for (query, _), line in zip(own, scores):
-                            old = kept.get(query, (ids[:0], line[:0]))
-                            fine = line >= floor if floor is not None else np.ones(len(line), bool)
-                            i, s = np.concatenate([old[0], ids[fine]]), np.concatenate([old[1], line[fine]])
-                            top = np.lexsort((i, -s))[:most]
-                            kept[query] = i[top], s[top]
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(list(kept), [len(i) for i, _ in kept.values()]).astype(np.int64)), *(pa.array(np.concatenate(c)) for c in zip(*kept.values()))], names=["query_id", "id", "score"])
-
-        return rows.mapInArrow(run, schema)
-
-    found = best(0)
-    for b in range(1, blocks):
-        found = found.unionByName(best(b))
+    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    n = rows.count()
+    row_pieces = max(1, -(-n // ROW_PIECE), min(-(-n // ROW_BLOCK), 2 * spark.sparkContext.defaultParallelism))
+    query_pieces = max(1, -(-asked.count() // QUERY_PIECE))
+    piece = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = asked.select(every(row_pieces).alias("row_piece"), piece(query_pieces).alias("query_piece"), F.lit(False).alias("row"), "id", "v")
+    streamed = rows.select(piece(row_pieces).alias("row_piece"), every(query_pieces).alias("query_piece"), F.lit(True).alias("row"), "id", "v")
+    keys = ["row_piece", "query_piece"]
+    met = held.unionByName(streamed).repartition(*keys).sortWithinPartitions(*keys, "row")
+
+    def matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places, vectors) by length."""
+        sizes = pa.compute.list_value_length(column).to_numpy()
+        flat, begin = column.flatten().to_numpy(zero_copy_only=False).astype(float), np.cumsum(sizes) - sizes
+        return [(at, flat[begin[at][:, None] + np.arange(size)]) for size in np.unique(sizes) for at in [np.flatnonzero(sizes == size)]]
+
+    def run(batches):
+        now, asked_ids, asked_vectors, best = None, [], [], {}
+
+        def given() -> pa.RecordBatch | None:
+            kept = [(q, *found) for q, found in best.items() if len(found[0])]
+            if not kept:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in kept], [len(i) for _, i, _ in kept]).astype(np.int64)), *(pa.array(np.concatenate([k[c] for k in kept])) for c in (1, 2))], names=["query_id", "id", "score"])
+
+        def score(ids: np.ndarray, column: pa.Array) -> None:
+            scores = np.zeros((len(asked_ids), len(ids)))
+            place = np.arange(len(asked_ids))
+            rows_by_size = {v.shape[1]: (at, v) for at, v in matrix(column)}
+            for at, v in asked_vectors:
+                if v.shape[1] and v.shape[1] in rows_by_size:
+                    to, w = rows_by_size[v.shape[1]]
+                    scores[np.ix_(place[at], to)] = v @ w.T
+            scores = np.round(scores, 6)
+            for query, line in zip(asked_ids, scores):
+                old = best.get(query, (ids[:0], line[:0]))
+                fine = np.ones(len(line), bool) if floor is None else line >= floor
+                if len(old[0]) == most:
+                    fine &= line >= old[1][-1]
+                if fine.any():
+                    i, s = np.concatenate([old[0], ids[fine]]), np.concatenate([old[1], line[fine]])
+                    top = np.lexsort((i, -s))[:most]
+                    best[query] = i[top], s[top]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(int) for i in range(3)])
+            cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if now != (group := tuple(marks[:2, low])):
+                    if best and (out := given()) is not None:
+                        yield out
+                    now, asked_ids, asked_vectors, best = group, [], [], {}
+                part = batch.slice(low, high - low)
+                if not marks[2, low]:
+                    first = len(asked_ids)
+                    asked_ids += part.column(3).to_pylist()
+                    asked_vectors += [(at + first, v) for at, v in matrix(part.column(4))]
+                elif asked_ids:
+                    for at in range(0, part.num_rows, ROW_BLOCK):
+                        block = part.slice(at, ROW_BLOCK)
+                        score(block.column(3).to_numpy(), block.column(4))
+        if best and (out := given()) is not None:
+            yield out
+
+    found = met.mapInArrow(run, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= most).drop("_place")
 
@@ -146,8 +180,6 @@ def fused(signals: Sequence[tuple[str, DataFrame]], id_col: str | Sequence[str],
 
 def ranked(df: DataFrame, order: Sequence[Column], most: int) -> DataFrame:
     """The first ``most`` rows with their rank from 1; the window sees those few rows only."""
-    from pyspark.sql import Window
-
     top = df.orderBy(*order).limit(most)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 

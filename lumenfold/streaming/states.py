@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StringType, StructType
 
+from lumenfold.operators.groups import lean, written
+
 MAX_RETRIES = 3
 # States, and where each may go.
 TRANSITIONS = {
@@ -40,47 +44,85 @@ def step(state: str | None, failures: int, target: str | None) -> tuple[str | No
     return target, failures
 
 
-#: Events, and pieces of a key, that are reduced in one go.
-PIECE, FAN_IN = 4096, 64
-_MAPS = "key long, piece long, a string, fa int, b string, fb int, failures long, n long"
+_PIECES = "key {kind}, piece int, a string, fa int, b string, fb int, failures long, n long"
 
 
-def fold(events: DataFrame) -> DataFrame:
+def fold(events: DataFrame, ranges: int | None = None) -> DataFrame:
     """(key, state, failures, moves) of columns key, seq, target. failures: all that counted; the third is terminal.
 
-    Moves compose: a run of consecutive events is reduced to a map from each state, with the failures before it as far as they matter, to its outcome. A key
-    of any size is cut by order into pieces that are reduced apart; their maps are composed FAN_IN at a time, until a key has one."""
-    bounds = events.agg(F.floor(F.min("seq") / PIECE), F.floor(F.max("seq") / PIECE)).first()
-    first, last = (x or 0 for x in bounds)
-    pieces = events.withColumn("piece", F.floor(F.col("seq") / PIECE) - first)
+    Events are dealt by ranges of (key, seq) and folded in one pass over each sorted range; of ties in seq the smaller target goes first. Only the first and the last key of a range may go on in others: their
+    events are reduced to maps from each state, with the failures before it as far as they matter, to the outcome. Moves compose, so a key of any size is many ranges' work, and its maps, one set a range, are
+    composed at the end. Null keys are a key of their own."""
+    place = [F.col("key"), F.col("seq"), F.col("target")]
+    dealt = events.select("key", "seq", "target")
+    dealt = (dealt.repartitionByRange(ranges, *place) if ranges else dealt.repartitionByRange(*place)).sortWithinPartitions(*place)
+    kind = events.schema["key"].dataType.simpleString()
     starts = [(None, 0)] + [(s, f) for s in TRANSITIONS for f in range(MAX_RETRIES + 1)]
 
-    def reduce(group: pd.DataFrame) -> pd.DataFrame:
-        targets, out = group.sort_values("seq")["target"].tolist(), []
-        for state, failures in starts:
-            s, f = state, failures
-            for target in targets:
-                s, f = step(s, f, target)
-            out.append((group["key"].iloc[0], group["piece"].iloc[0], state or "", failures, s or "", min(f, MAX_RETRIES), f - failures, len(targets)))
-        return pd.DataFrame(out, columns=["key", "piece", "a", "fa", "b", "fb", "failures", "n"])
+    def folded(state: str | None, failures: int, targets: list) -> tuple[str | None, int]:
+        for target in targets:
+            state, failures = step(state, failures, target)
+        return state, failures
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, out = TaskContext.get().partitionId(), []
+        # Of the range's first key, and of any that may be its last, the outcome from every start is kept up to date; other keys only need one.
+        now, maps, n, first, any_row = None, {}, 0, True, False
+
+        def given() -> pa.RecordBatch:
+            types = (key_type, pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+            rows = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(rows, names=["key", "piece", "a", "fa", "b", "fb", "failures", "n"])
+
+        def close(last: bool) -> None:
+            whole = not (first or last)
+            for (state, failures), (s, f) in maps.items():
+                if not whole or state is None:
+                    out.append((now, None if whole else number, state or "", failures, s or "", min(f, MAX_RETRIES), f - failures, n))
+
+        for batch in batches:
+            key_type = batch.column(0).type
+            keys, targets = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            at = 0
+            while at < len(keys):
+                to = at + 1
+                while to < len(keys) and keys[to] == keys[at]:
+                    to += 1
+                if not any_row or keys[at] != now:
+                    if any_row:
+                        close(False)
+                        first = False
+                    now, maps, n, any_row = keys[at], {x: x for x in starts}, 0, True
+                # A key that ends inside this batch, and isn't the first, has one start.
+                inside = to < len(keys) and not first and n == 0
+                if inside:
+                    maps = {(None, 0): (None, 0)}
+                run_of = targets[at:to]
+                maps = {start: folded(*seen, run_of) for start, seen in maps.items()}
+                n += to - at
+                at = to
+            if out:
+                yield given()
+        if any_row:
+            close(True)
+            yield given()
+
+    folds = written(dealt.mapInArrow(lean(run), _PIECES.format(kind=kind)), "folds")
+    whole = folds.where("piece is null").select("key", "b", "failures", "n")
 
     def compose(group: pd.DataFrame) -> pd.DataFrame:
         maps: dict[int, dict] = {}
         for r in group.itertuples():
             maps.setdefault(r.piece, {})[r.a, r.fa] = (r.b, r.fb, r.failures, r.n)
-        out = []
-        for state, failures in starts:
-            now, counted, n = (state or "", failures), 0, 0
-            for piece in sorted(maps):
-                b, fb, more, moves = maps[piece][now]
-                now, counted, n = (b, fb), counted + more, n + moves
-            out.append((group["key"].iloc[0], group["piece"].iloc[0] // FAN_IN, state or "", failures, *now, counted, n))
-        return pd.DataFrame(out, columns=["key", "piece", "a", "fa", "b", "fb", "failures", "n"])
-
-    maps, last = pieces.groupBy("key", "piece").applyInPandas(reduce, _MAPS), last - first
-    while last > 0:
-        maps, last = maps.groupBy("key", F.floor(F.col("piece") / FAN_IN)).applyInPandas(compose, _MAPS), last // FAN_IN
-    return maps.where("a = '' and fa = 0").select("key", F.nullif("b", F.lit("")).alias("state"), "failures", F.col("n").alias("moves"))
+        now, counted, n = ("", 0), 0, 0
+        for piece in sorted(maps):
+            b, fb, more, moves = maps[piece][now]
+            now, counted, n = (b, fb), counted + more, n + moves
+        return pd.DataFrame([(group["key"].iloc[0], now[0], counted, n)], columns=["key", "b", "failures", "n"])
+
+    parts = folds.where("piece is not null").groupBy("key").applyInPandas(compose, f"key {kind}, b string, failures long, n long")
+    return whole.unionByName(parts).select("key", F.nullif("b", F.lit("")).alias("state"), "failures", F.col("n").alias("moves"))
 
 
 class StateMachine(StatefulProcessor):

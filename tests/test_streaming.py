@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from tests.conftest import SF
 
@@ -9,21 +10,23 @@ from lumenfold.streaming import states
 
 def brute(rows):
     out = {}
-    for key, _, target in sorted(rows, key=lambda r: r[:2]):
+    for key, _, target in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
         out[key] = states.step(*out.get(key, (None, 0)), target)
     return out
 
 
-def test_fold_of_long_logs(spark, monkeypatch):
-    """Several rounds of composition, negative places, gaps, more failures than the machine distinguishes."""
-    monkeypatch.setattr(states, "PIECE", 8)
-    monkeypatch.setattr(states, "FAN_IN", 3)
+@pytest.mark.parametrize("ranges", [1, 23])
+def test_fold_of_long_logs(spark, ranges):
+    """Keys over many ranges, keys of one event, negative places, ties, a null key, more failures than the machine distinguishes."""
     rng = random.Random(2)
     targets = [*states.TRANSITIONS, "failed_retryable", "failed_retryable", "unknown", None]
-    rows = [(rng.randrange(3), i * 5 - 900, rng.choice(targets)) for i in range(600)] + [(9, 5, "failed_retryable"), (9, 6, "processing"), (9, 7, "failed_retryable")]
+    rows = [(rng.randrange(3), i * 5 - 900, rng.choice(targets)) for i in range(600)] + [(9, 5, "failed_retryable"), (9, 6, "processing"), (9, 7, "failed_retryable"), (None, 3, "processing"), (None, 4, "completed")]
+    rows += [(100 + i, rng.randrange(9), rng.choice(targets)) for i in range(60)] + [(50, 7, "processing"), (50, 7, "completed")]
     rows = [(k, s, t if t in states.TRANSITIONS else None) for k, s, t in rows]
-    got = states.fold(spark.createDataFrame(rows, "key long, seq long, target string"))
-    assert {r["key"]: (r["state"], r["failures"]) for r in got.collect()} == brute(rows)
+    got = states.fold(spark.createDataFrame(rows, "key long, seq long, target string").repartition(3), ranges)
+    found = {r["key"]: (r["state"], r["failures"], r["moves"]) for r in got.collect()}
+    want = brute(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] is not None, r[2] or "")))
+    assert {k: v[:2] for k, v in found.items()} == want and {k: v[2] for k, v in found.items()} == {k: sum(r[0] == k for r in rows) for k in want}
     assert states.fold(got.select("key", F.lit(1).alias("seq"), F.col("state").alias("target")).where("false")).collect() == []
 
 
