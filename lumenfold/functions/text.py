@@ -258,12 +258,12 @@ def document_date(exif: Column, pdf: Column, created: Column, created_ticks: Col
     """(date, source): the most trustworthy plausible one (from 1900 to a year ahead)."""
 
     def plausible(c: Column) -> Column:
-        return F.when((c >= F.lit("1900-01-01").cast("timestamp")) & (c <= now + F.make_dt_interval(days=F.lit(366))), c)
+        return let(c, lambda x: F.when((x >= F.lit("1900-01-01").cast("timestamp")) & (x <= now + F.make_dt_interval(days=F.lit(366))), x))
 
     def stamped(c: Column) -> Column:
         m = F.regexp_extract
         pattern = r"^D?:?(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?([Z+-])?(\d{2})?'?(\d{2})?"
-        part = lambda i, other: F.when(m(c, pattern, i) != "", m(c, pattern, i)).otherwise(other)
+        part = lambda i, other: F.coalesce(F.nullif(m(c, pattern, i), F.lit("")), F.lit(other))
         zone = F.when(m(c, pattern, 7).isin("+", "-"), F.concat(m(c, pattern, 7), part(8, "00"), F.lit(":"), part(9, "00"))).otherwise("Z")
         text = F.concat(m(c, pattern, 1), F.lit("-"), part(2, "01"), F.lit("-"), part(3, "01"), F.lit("T"), part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00"), zone)
         return F.when(c.rlike(pattern), text.try_cast("timestamp"))
@@ -281,10 +281,10 @@ def document_date(exif: Column, pdf: Column, created: Column, created_ticks: Col
         ("ole-modified", ticks(modified_ticks)),
         ("filesystem", F.least(plausible(fs_created), plausible(fs_modified))),
     ]
-    source = F.lit("none")
-    for name, value in reversed(found):
-        source = F.when(plausible(value).isNotNull(), name).otherwise(source)
-    return F.coalesce(*(plausible(v) for _, v in found)), source
+    # Each value is made once; the first plausible one is both answers.
+    fine = F.filter(F.array(*(F.struct(F.lit(name).alias("source"), plausible(value).alias("at")) for name, value in found)), lambda x: x["at"].isNotNull())
+    first = F.get(fine, F.lit(0))
+    return first["at"], F.coalesce(first["source"], F.lit("none"))
 
 
 def slug(name: Column) -> Column:
