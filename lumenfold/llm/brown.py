@@ -312,8 +312,10 @@ def cluster(bigrams: DataFrame, core: list[bytes], settings: Settings) -> tuple[
     classes[len(core) : -1] = np.arange(SPELLINGS) % settings.classes
     classes[-1] = settings.classes
     spark = bigrams.sparkSession
-    table, parts = class_table(bigrams, classes, k), 2
+    table, parts, still = class_table(bigrams, classes, k), 2, 0
     for r in range(settings.rounds):
+        if still == parts:  # no unit of any share gains by a move
+            break
         held, now = spark.sparkContext.broadcast(classes), table
 
         def make(held=held, now=now, turn=r % parts, parts=parts):
@@ -336,6 +338,10 @@ def cluster(bigrams: DataFrame, core: list[bytes], settings: Settings) -> tuple[
         moved = classes.copy()  # five bytes a unit reach the driver
         for row in map_batches(bigrams.select("after", "after_n", "before", "before_n"), make, "unit binary, class binary").collect():
             moved[_unpack(row["unit"], "i4")] = _unpack(row["class"], "u1")
+        if (moved == classes).all():
+            still += 1
+            continue
+        still = 0
         after = class_table(bigrams, moved, k)
         if likelihood(after) < likelihood(table):
             parts *= 2

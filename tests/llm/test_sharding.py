@@ -1,7 +1,9 @@
+import struct
 import zlib
 from collections import defaultdict
 
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -52,3 +54,34 @@ def test_unaffected_shards_stay_and_empty_tables(spark):
     assert all(i == j for i, _, _, j in cuts) and {(r["doc_id"] % 2, r["shard"]) for r in rows.collect()} == {(0, 0), (1, 1)}
     rows, cuts = sharding.reshard(frame(spark, []).withColumn("old_shard", F.lit(0)), 4)
     assert rows.collect() == [] and cuts == [] and zlib.crc32(b"") == 0
+
+
+def plain(docs, shards, block_bytes):
+    """(doc_id, text, shard, slot) row by row: rows of an old shard in order of block, id, size and checksum; each goes where its middle byte lies."""
+    size = lambda t: len((t or "").encode()) + sharding.ROW_BYTES
+    sizes = defaultdict(int)
+    for d in docs:
+        sizes[d[0] % 3] += size(d[1])
+    runs = sharding.cuts(sharding.cheapest_flow(dict(sizes), dict(enumerate(sharding.capacities(sum(sizes.values()), shards)))))
+    counts = {i: min(sharding.MAX_BLOCKS, -(-n // block_bytes)) for i, n in sizes.items()}
+
+    def block(d):
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", d[0]), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<q", size(d[1])), seed)
+        return (h - (h >> 63 << 64)) % counts[d[0] % 3]
+
+    at, placed = defaultdict(int), defaultdict(list)
+    for d in sorted(docs, key=lambda d: (d[0] % 3, block(d), d[0], size(d[1]), zlib.crc32((d[1] or "").encode()))):
+        old, n = d[0] % 3, size(d[1])
+        middle = at[old] + n // 2
+        at[old] += n
+        placed[next(j for i, low, high, j in runs if i == old and low <= middle < high)].append((old, d[0], d[1]))
+    return sorted(((i, t, shard, slot) for shard, rows in placed.items() for slot, (_, i, t) in enumerate(sorted(rows, key=lambda r: r[0]))), key=repr)
+
+
+@pytest.mark.parametrize(("block", "shards"), [(300, 5), (1 << 20, 3), (700, 2)])
+def test_every_row_goes_where_a_plain_assignment_puts_it(spark, block, shards):
+    docs = documents(seed=4, n=120)
+    df = frame(spark, docs).withColumn("old_shard", (F.col("doc_id") % 3).cast("int"))
+    rows, _ = sharding.reshard(df, shards, block_bytes=block)
+    assert sorted(((r["doc_id"], r["text"], r["shard"], r["slot"]) for r in rows.collect()), key=repr) == plain(docs, shards, block)
