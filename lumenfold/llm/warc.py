@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import map_batches
-from lumenfold.llm.components import map_groups
+from lumenfold.llm.common import map_batches, written
+from lumenfold.llm.components import hot_keys, join_facts, map_groups
 
 MAGIC = b"WARC/1.1\r\n"
 #: Versions that are read.
@@ -43,12 +43,12 @@ def write_warc(pages: DataFrame, path: str, at_least: int = 0, id_col: str = "pa
     A null html is an empty payload, a null url leaves its header out. A row with a null id is a response without a record id, and
     nothing refers to it. Line ends in a url are percent-encoded. Repeated rows are repeated records of the same type. An empty table writes no records."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
-    sums = rows.select("page_id", F.octet_length("html").alias("bytes"), F.sha1("html").alias("sha1"))
-    firsts = sums.where(F.col("bytes") >= at_least).groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    revisits = sums.join(firsts, ["sha1", "bytes"]).where("page_id > first").select("page_id", "sha1", "first").distinct()
-    joined = rows.withColumn("sha1", F.sha1("html")).join(revisits, ["page_id", "sha1"], "left")
+    payload = F.concat_ws(" ", F.sha1("html"), F.octet_length("html")).alias("key")
+    firsts = rows.where(F.octet_length("html") >= at_least).select("page_id", payload).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # One payload (an empty page) may be that of a large part of all rows.
+    joined = join_facts(rows.withColumn("key", payload), hot_keys(written(firsts, "payloads")).drop("n"), "key")
 
-    again, crlf = F.col("first").isNotNull(), "\r\n"
+    again, crlf = F.coalesce(F.col("page_id") > F.col("first"), F.lit(False)), "\r\n"
     size = F.octet_length("html").cast("string")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit(crlf + crlf))
     block = F.when(again, http).otherwise(F.concat(http, "html"))
@@ -56,7 +56,7 @@ def write_warc(pages: DataFrame, path: str, at_least: int = 0, id_col: str = "pa
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(crlf)), F.lit(""))
     safe_url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     record = F.concat(
-        F.lit(MAGIC.decode()), line("WARC-Type", F.when(again, "revisit").otherwise("response")), line("WARC-Record-ID", urn("page_id")), line("WARC-Refers-To", urn("first")),
+        F.lit(MAGIC.decode()), line("WARC-Type", F.when(again, "revisit").otherwise("response")), line("WARC-Record-ID", urn("page_id")), line("WARC-Refers-To", F.when(again, urn("first"))),
         line("WARC-Target-URI", safe_url), line("WARC-Date", F.lit("2000-01-01T00:00:00Z")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1_base32(F.col("html")))),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", F.octet_length(block).cast("string")), F.lit(crlf), block,
     )
@@ -67,7 +67,7 @@ def write_warc(pages: DataFrame, path: str, at_least: int = 0, id_col: str = "pa
         most *= 16
     bytes_ = F.octet_length("html")
     within = lambda low, high: (bytes_ > low) & (bytes_ <= high) if high is not None else bytes_ > low
-    there = sums.agg(*(F.count_if((F.col("bytes") > low) & ((F.col("bytes") <= high) if high is not None else F.lit(True))) for low, high in steps)).first()
+    there = rows.agg(*(F.count_if(within(low, high)) for low, high in steps)).first()
     for k, (low, high) in enumerate(steps):
         if there[k] or not k:
             number = min(records_per_file, max(1, file_bytes // high)) if high is not None else 1
