@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     return add
 
 
-def _indexed(spark, d, configs):
+def indexed(spark, d, configs):
     """The index of all documents, written to the shared folder and read again."""
     path = shared_dir(spark, "index")
     textindex.add(t(spark, d, "documents"), path, 0, configs)
@@ -36,13 +36,13 @@ _PADDED = f"w AS (SELECT doc_id, ' ' || array_to_string({corpus._TOKENS}, ' ') |
 @query(f"""WITH {_PADDED} SELECT doc_id FROM w WHERE (contains(x, ' of the ') AND contains(x, ' and ') AND NOT contains(x, ' that ')) OR (contains(x, ' de la ') AND NOT contains(x, ' les ')) OR contains(x, ' und ')""")
 def phrase_search(spark, d):
     """Phrases, alternatives and exclusions, by positions."""
-    return textindex.search(_indexed(spark, d, ["simple"]), '"of the" and -that or "de la" -les or UND', ["simple"]).select(F.col("id").alias("doc_id"))
+    return textindex.search(indexed(spark, d, ["simple"]), '"of the" and -that or "de la" -les or UND', ["simple"]).select(F.col("id").alias("doc_id"))
 
 
 @query()
 def stemmed_search(spark, d):
     """Inflected forms and stop words of all dictionaries: what is asked for is found in any of its forms."""
-    return textindex.search(_indexed(spark, d, textindex.CONFIGS), 'heres or "the tion" -edly').select(F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
+    return textindex.search(indexed(spark, d, textindex.CONFIGS), 'heres or "the tion" -edly').select(F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, {corpus._TOKENS} AS w FROM documents), e AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM w), h AS (SELECT * FROM e WHERE x IN ('the', 'and')),
@@ -50,5 +50,5 @@ def stemmed_search(spark, d):
           SELECT doc_id, round(sum(0.1::DOUBLE / (p - q)), 6) AS proximity, round(0.5 + least(sum(0.1::DOUBLE / (p - q)), 0.4), 6) AS rank FROM g WHERE before <> x GROUP BY doc_id""")
 def proximity_rank(spark, d):
     """Documents with both words, ranked by how close they come: the content's step of the rank ladder."""
-    found = textindex.search(_indexed(spark, d, ["simple"]), "the and", ["simple"])
+    found = textindex.search(indexed(spark, d, ["simple"]), "the and", ["simple"])
     return found.select(F.col("id").alias("doc_id"), F.round("rank", 6).alias("proximity"), F.round(0.5 + F.least("rank", F.lit(0.4)), 6).alias("rank"))
