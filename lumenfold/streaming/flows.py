@@ -43,7 +43,7 @@ class Pacer(StatefulProcessor):
 def paced_stream(calls: DataFrame, most: int, window: int) -> DataFrame:
     """A stream of key, id, arrival (long): each call once, with its start. Needs the RocksDB state store."""
     kind = calls.schema["key"].dataType.simpleString()
-    return calls.groupBy("key").transformWithStateInPandas(Pacer(most, window), f"key {kind}, id long, arrival long, start long", "Append", "processingTime")
+    return calls.groupBy("key").transformWithStateInPandas(Pacer(most, window), f"key {kind}, id long, arrival long, start long", "Append", "none")
 
 
 def final_failures(failures: DataFrame, successes: DataFrame, key: str, time: str, grace: str = "5 minutes", late: str = "1 minute") -> DataFrame:

@@ -65,12 +65,6 @@ def files(spark, rows, schema, path):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
 
 
-def run(stream, path, name, mode="append", **options):
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{path}/{name}-ck").trigger(availableNow=True).start()
-    query.awaitTermination(180)
-    return [tuple(r) for r in query.sparkSession.table(name).collect()]
-
-
 def test_paced_stream_restarts_where_it_was(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rng = random.Random(8)
@@ -80,7 +74,7 @@ def test_paced_stream_restarts_where_it_was(spark, tmp_path):
         files(spark, part, schema, tmp_path / "in")
         stream = flows.paced_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 3, 60)
         query = stream.writeStream.foreachBatch(lambda df, _: out.update({r["id"]: r["start"] for r in df.collect()})).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-        query.awaitTermination(180)
+        assert query.awaitTermination(180)
     assert out == starts([(k, a, i) for k, i, a in rows], 3, 60)
 
 
@@ -96,7 +90,7 @@ def test_final_failures_come_once_after_grace_and_restart(spark, tmp_path):
         read = lambda which: spark.readStream.schema(schema).parquet(str(tmp_path / which))
         stream = flows.final_failures(read("bad"), read("good"), "file", "at")
         query = stream.writeStream.foreachBatch(lambda df, _: out.extend(r["job"] for r in df.collect())).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-        query.awaitTermination(180)
+        assert query.awaitTermination(180)
     assert sorted(j for j in out if j < 90) == [2, 3, 4] and len(out) == len(set(out))
 
 
@@ -115,7 +109,7 @@ def test_keyed_sink_replays_and_restarts(spark, tmp_path):
     for k, rows in enumerate(rounds):
         files(spark, rows, schema, tmp_path / "in")
         query = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).writeStream.foreachBatch(each).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-        query.awaitTermination(180)
+        assert query.awaitTermination(180)
         if k == 1:
             sink.compact(spark, 0)
             sink.compact(spark, 1)
@@ -138,8 +132,9 @@ def test_insert_if_absent(spark, tmp_path):
 
 def test_counters_of_the_same_pass(spark, tmp_path):
     rows = spark.range(1000).select("id", F.when(F.col("id") % 7 == 0, "failed").when(F.col("id") % 3 == 0, "skipped").otherwise("applied").alias("outcome"))
-    before = spark._jsc.sc().dagScheduler().nextJobId()
+    spark.sparkContext.setJobGroup("counted", "one write")
     got = flows.written_with_counters(rows, str(tmp_path / "out"), {x: F.col("outcome") == x for x in ("applied", "skipped", "failed", "unknown")})
-    assert spark._jsc.sc().dagScheduler().nextJobId() - before == 1
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) == 1
+    spark.sparkContext.setJobGroup("rest", "")
     counts = {r["outcome"]: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("outcome").count().collect()}
     assert got == counts | {"unknown": 0}

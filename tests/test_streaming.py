@@ -42,9 +42,13 @@ def test_stream_equals_batch(spark, tmp_path):
     events.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
     query = states.stream_states(stream).writeStream.format("memory").queryName("states").outputMode("update").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = {r["key"]: (r["state"], r["failures"]) for r in spark.table("states").collect()}
-    assert got == brute([tuple(r) for r in events.collect()])
+    want = brute([tuple(r) for r in events.collect()])
+    for _ in range(120):  # state with a time to live keeps the query going
+        got = {r["key"]: (r["state"], r["failures"]) for r in spark.table("states").collect()}
+        if got == want or query.awaitTermination(1):
+            break
+    query.stop()
+    assert got == want
 
 
 def test_sessions_on_a_stream_equal_the_batch(spark, tmp_path):
