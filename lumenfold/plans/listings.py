@@ -123,7 +123,9 @@ def band_review(spark, d):
     return reviewed(history, F.col("c") >= 0.5, "superseded").select("o_orderkey", "status")
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id, source, n_chars AS n, 'report ' || CASE WHEN doc_id BETWEEN 1900 AND 2099 THEN doc_id || ' ' ELSE '' END || '2019' AS name FROM documents),
+          s AS (SELECT *, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN round(n / 1024)::BIGINT || ' KB' ELSE round(n / 1048576, 1) || ' MB' END AS size FROM w)
+          SELECT doc_id, 'PDF document: ' || name AS caption, 'PDF document, ' || size || coalesce(', stored in ' || source, '') || '. Its filename reads "' || name || '".{D.CAVEAT}' AS description FROM s""")
 def descriptions(spark, d):
     """What can be said of a document from its facts alone."""
     name = F.concat(F.lit("report_"), F.col("doc_id").cast("string"), F.lit("_2019.pdf"))
