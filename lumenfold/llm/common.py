@@ -31,13 +31,14 @@ def held_out(id_column: str, folds: int, fold: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % folds == fold
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """mapInArrow with a per-task set-up: ``make()`` returns the function of one batch."""
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, most: int | None = None) -> DataFrame:
+    """mapInArrow with a per-task set-up: ``make()`` returns the function of one batch, or of ``most`` rows of it at a time, so that what is made of them stays small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for batch in batches:
-            if batch.num_rows and (out := one(batch)) is not None:
-                yield out
+            for low in range(0, batch.num_rows, most or batch.num_rows):
+                if (out := one(batch.slice(low, most or batch.num_rows))) is not None:
+                    yield out
 
     return df.mapInArrow(lean(run), schema)

@@ -2,7 +2,7 @@
 
 1. A window is ``length`` consecutive words. Its anchor is the smallest hash of the 6-word sequences in it, so equal windows have
    equal anchors. Tasks send the anchors of runs of windows, packed, to shards that find the anchors met more than once.
-2. Documents are joined with their runs of shared anchors and give the words of each run. Equal runs of one task
+2. Documents are joined with their runs of shared anchors and give the words of each run. Equal runs that a task holds at a time
    are told apart at once: all but the first are repeats.
 3. All runs of an anchor form a small reference shard. Its suffix automaton grows in order of place (document, start); each run is
    streamed through it first, and its matching statistics say which windows occur earlier, and where first.
@@ -14,6 +14,8 @@ The reference shards grow with the corpus, so they are not broadcast: each meets
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import map_batches, text_bytes, written
 from lumenfold.llm.components import map_groups
+from lumenfold.operators.groups import lean
 from lumenfold.operators.words import WordHashes, sequence_hashes
 
 LENGTH, GRAM = 20, 6
@@ -35,6 +38,8 @@ SHARD_BYTES = 32 << 20
 HOT = 4096
 #: Hot anchors up to which they are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ANCHORS = 200_000
+#: Bytes of runs, as Python holds them, up to which a task tells equal ones apart before it gives them; rows of whole texts that it makes at a time.
+GIVEN_BYTES, ROWS = 16 << 20, 256
 #: Places of texts with a null id begin here, behind all ids.
 NO_ID = 1 << 62
 
@@ -274,23 +279,30 @@ def shard_spans(rows: list[list], length: int) -> list[tuple[int, int, int, int]
 
 
 class _Firsts:
-    """Of equal runs, the first place; the others are spans to be removed. Bounded by what one batch holds."""
+    """Of equal runs, the first place; the others are spans to be removed. Told among what GIVEN_BYTES hold, whatever the batches are."""
 
     def __init__(self, length: int):
-        self.length, self.held, self.spans = length, {}, []
+        self.length, self.held, self.spans, self.bytes = length, {}, [], 0
 
     def add(self, anchor: int, doc: int, key: int, first: int, text: bytes) -> None:
         now = (doc, key, first)
         before = self.held.setdefault((anchor, text), now)
+        if before is now:
+            self.bytes += len(text) + 400  # with its key, place and entry
+            return
+        if now == before:
+            return
         if now < before:
             self.held[anchor, text], now = now, before
-        elif now == before:
-            return
         self.spans.append((*now, now[2] + text.count(b" ") + 1))
+        self.bytes += 200
+
+    def full(self) -> bool:
+        return self.bytes >= GIVEN_BYTES
 
     def take(self) -> pa.RecordBatch | None:
         rows = [(a, d, k, f, None, t) for (a, t), (d, k, f) in self.held.items()] + [(None, d, k, a, b, None) for d, k, a, b in self.spans]
-        self.held, self.spans = {}, []
+        self.held, self.spans, self.bytes = {}, [], 0
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["anchor", "doc_id", "key", "begin", "end", "words"]) if rows else None
 
@@ -298,6 +310,22 @@ class _Firsts:
 _RUNS = "anchor long, doc_id long, key long, begin int, end int, words binary"
 
 
+def _first_runs(rows: DataFrame, put: Callable[..., None], length: int) -> DataFrame:
+    """What _Firsts makes of the runs that ``put`` adds for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = _Firsts(length)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                put(firsts, *(c[i].as_py() for c in batch.columns))
+                if firsts.full():
+                    yield firsts.take()
+        if (out := firsts.take()) is not None:
+            yield out
+
+    return rows.mapInArrow(lean(run), _RUNS)
+
+
 def _spans(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, key, begin, end): words of columns doc_id, key (a hash of the text), text (bytes) that are to go.
 
@@ -307,38 +335,24 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
     found = shared_runs(docs.select(document.alias("doc_id"), "text"), length)
     candidates = found.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set(F.struct("first", "windows", "anchor")).alias("runs"))
 
-    def give():
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            firsts = _Firsts(length)
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(batch.num_rows):
-                words = (batch.column(2)[i].as_py() or b"").split()
-                for run in batch.column(3)[i].as_py():
-                    a, n = run["first"], run["windows"] + length - 1
-                    if a + n <= len(words):  # the runs may be another document's as well
-                        firsts.add(run["anchor"], ids[i], keys[i], a, b" ".join(words[a : a + n]))
-            return firsts.take()
+    def give(firsts: _Firsts, doc: int, key: int, text: bytes | None, found: list[dict]) -> None:
+        words = (text or b"").split()
+        for run in found:
+            a, n = run["first"], run["windows"] + length - 1
+            if a + n <= len(words):  # the runs may be another document's as well
+                firsts.add(run["anchor"], doc, key, a, b" ".join(words[a : a + n]))
 
-        return one
-
-    runs = written(map_batches(docs.join(candidates, document == F.col("_of")).select("doc_id", "key", "text", "runs"), give, _RUNS), "runs")
+    runs = written(_first_runs(docs.join(candidates, document == F.col("_of")).select("doc_id", "key", "text", "runs"), give, length), "runs")
     texts = runs.where("anchor is not null")
     hot = written(texts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot")), "hot")
     marked = texts.join(F.broadcast(hot) if hot.count() <= BROADCAST_ANCHORS else hot, "anchor", "left")
 
-    def deal():
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            firsts = _Firsts(length)
-            for row in batch.to_pylist():
-                words = row["words"].split(b" ")
-                for j in range(len(words) - length + 1):
-                    text = b" ".join(words[j : j + length])
-                    firsts.add(0, row["doc_id"], row["key"], row["begin"] + j, text)
-            return firsts.take()
-
-        return one
+    def deal(firsts: _Firsts, doc: int, key: int, begin: int, run: bytes) -> None:
+        words = run.split(b" ")
+        for j in range(len(words) - length + 1):
+            firsts.add(0, doc, key, begin + j, b" ".join(words[j : j + length]))
 
-    dealt = written(map_batches(marked.where("hot").select(*texts.columns), deal, _RUNS), "hot-runs")
+    dealt = written(_first_runs(marked.where("hot").select("doc_id", "key", "begin", "words"), deal, length), "hot-runs")
     # Of equal windows the first stays; the rest go by their places, each a key of its own, so nothing gathers what every batch may hold.
     windows = dealt.where("anchor is not null").select("doc_id", "key", "begin", "end", "words")
     firsts = windows.groupBy("words").agg(F.min(F.struct("doc_id", "key", "begin")).alias("place")).select("place.*")
@@ -364,7 +378,7 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
             yield spans(out)
 
     dealt_out = shards.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "key", "begin")
-    found = dealt_out.mapInArrow(match, "doc_id long, key long, begin int, end int")
+    found = dealt_out.mapInArrow(lean(match), "doc_id long, key long, begin int, end int")
     decided = [r.where("anchor is null").select("doc_id", "key", "begin", "end") for r in (runs, dealt)]
     return found.unionByName(decided[0]).unionByName(decided[1]).unionByName(later)
 
@@ -406,4 +420,4 @@ def without_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, id_c
         return one
 
     kept_columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return map_batches(joined, make, f"{kept_columns}, n_words long, n_removed long, kept string, spans array<struct<begin:int,end:int>>")
+    return map_batches(joined, make, f"{kept_columns}, n_words long, n_removed long, kept string, spans array<struct<begin:int,end:int>>", ROWS)

@@ -2,10 +2,11 @@ import random
 import time
 from collections import Counter
 
+import pyarrow as pa
 import xxhash
 from tests.llm.helpers import documents, frame, sentence
 
-from lumenfold.llm import substring
+from lumenfold.llm import common, substring
 
 
 def brute(docs, length=20):
@@ -90,3 +91,28 @@ def test_many_different_texts_under_one_id(spark):
     rng = random.Random(12)
     passage = sentence(rng, 40)
     check(spark, [(1, sentence(rng, 12) + " " + passage, None, None, 0) for _ in range(60)])
+
+
+def test_what_a_task_holds_is_bounded(spark, monkeypatch):
+    """Runs are given when they fill GIVEN_BYTES, not when a batch ends, and whole texts are made a few rows at a time."""
+    monkeypatch.setattr(substring, "GIVEN_BYTES", 5000)
+    firsts, spans, kept = substring._Firsts(20), set(), {}
+
+    def given():
+        for r in firsts.take().to_pylist():
+            if r["anchor"] is None:
+                spans.add((r["doc_id"], r["begin"], r["end"]))
+            else:
+                kept.setdefault(r["words"], []).append(r["doc_id"])
+
+    for i in reversed(range(300)):
+        firsts.add(1, i, 0, 0, b" ".join(b"%d" % (i % 7 + j) for j in range(25)))
+        assert firsts.bytes < 6000
+        if firsts.full():
+            given()
+    given()
+    # Every document is still told of once, as a first or as a repeat, and a text's first stays one.
+    assert sorted([d for d, _, _ in spans] + [d for x in kept.values() for d in x]) == list(range(300))
+    assert sorted(min(x) for x in kept.values()) == list(range(7)) and all(b - a == 25 for _, a, b in spans)
+    rows = common.map_batches(spark.range(1000).coalesce(1), lambda: lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"]), "n long", 256)
+    assert [r["n"] for r in rows.collect()] == [256, 256, 256, 232]
