@@ -1,7 +1,7 @@
 """A positional inverted index of texts: postings by lexeme, phrases by positions, exclusions, ranks by proximity; documents are added without a rebuild.
 
 A lexeme is what a dictionary makes of a word. The union of all dictionaries is indexed under one name space, each dictionary in a stretch of positions of its own, so that a
-word's place is kept in each and phrases never cross from one to the next. A row of the index is a lexeme of a document with its positions; rows lie in folders by a hash of the lexeme and
+word's place is kept in each and phrases never cross from one to the next. A row of the index is a lexeme with documents that a task held together and its positions in each; rows lie in folders by a hash of the lexeme and
 sorted by it, so a search reads the folders and row groups of the lexemes it asks for, and no text.
 """
 
@@ -12,19 +12,21 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.dictionaries import DICTIONARIES
+from lumenfold.operators.groups import lean
 
 CONFIGS = ("simple", "english", "french", "arabic")
 #: Positions of a dictionary: the n-th begins at n times this.
 STRETCH = 1 << 28
 #: Folders of an index, and parts that the rows of a folder are written in, so that a lexeme of every document isn't one task's.
 FOLDERS, PARTS = 64, 8
-#: Words whose lexemes a task remembers.
-REMEMBERED = 200_000
+#: Words whose lexemes a task remembers, and words whose postings it makes at a time.
+REMEMBERED, HELD_WORDS = 200_000, 500_000
 #: Fixed value: what a cover without gaps weighs.
 COVER_WEIGHT = 0.1
 _WORD = re.compile(r"[^\W_]+")
@@ -48,34 +50,98 @@ class Lexemes:
         return self.known[word]
 
 
+class Lexicon:
+    """Codes of words, and of each word its lexeme's code in each dictionary (below 0: a stop word), remembered up to a bound."""
+
+    def __init__(self, configs: Sequence[str]):
+        self.make = [DICTIONARIES[c] for c in configs]
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[str, int] = {}
+        self.codes: dict[str, int] = {}
+        self.lexemes: list[str] = []
+        self.table = np.zeros((len(self.make), 1 << 12), np.int32)
+
+    def _code(self, lexeme: str | None) -> int:
+        if lexeme is None:
+            return -1
+        if (code := self.codes.setdefault(lexeme, len(self.lexemes))) == len(self.lexemes):
+            self.lexemes.append(lexeme)
+        return code
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        """A row a dictionary, a column a word."""
+        if len(self.words) > REMEMBERED:
+            self.clear()
+        missing = list(set(words).difference(self.words))
+        if missing:
+            low = len(self.words)
+            while low + len(missing) > self.table.shape[1]:
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)], 1)
+            for k, make in enumerate(self.make):
+                self.table[k, low : low + len(missing)] = [self._code(make(w)) for w in missing]
+            self.words.update(zip(missing, range(low, low + len(missing))))
+        return self.table[:, np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))]
+
+
+def _postings(lexicon: Lexicon, split: list[list[str]]) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """(lexeme, texts, where each one's positions end, positions) of texts, a row a lexeme."""
+    counts = np.array([len(words) for words in split])
+    codes = lexicon([w for words in split for w in words])
+    place = np.arange(1, counts.sum() + 1) - np.repeat(np.cumsum(counts) - counts, counts)
+    text, many = np.repeat(np.arange(len(counts)), counts), len(counts)
+    real = codes >= 0
+    key = np.concatenate([c[r].astype(np.int64) * many + text[r] for c, r in zip(codes, real)])
+    places = np.concatenate([place[r] + k * STRETCH for k, r in enumerate(real)]).astype(np.int32)
+    order = np.argsort(key, kind="stable")  # of equal keys, positions go on ascending
+    key = key[order]
+    starts = lambda x: np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    lists = lambda at, of: pa.ListArray.from_arrays(pa.array(np.append(at, len(of)).astype(np.int32)), pa.array(of))
+    posting = starts(key)
+    code, at = np.divmod(key[posting], many)
+    row = starts(code)
+    end = np.append(posting[1:], len(key)) - np.repeat(posting[row], np.diff(np.append(row, len(code)))) if len(key) else posting
+    return pa.array(lexicon.lexemes, pa.string()).take(pa.array(code[row])), lists(row, at), lists(row, end.astype(np.int32)), lists(posting[row], places[order])
+
+
 def folder(lexeme: Column) -> Column:
     return F.pmod(F.xxhash64(lexeme), F.lit(FOLDERS)).cast("int")
 
 
-def positions(docs: DataFrame, configs: Sequence[str] = CONFIGS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(lexeme, id, positions) of whole texts; positions from 1, ascending. One pass, no shuffle. Null texts have no rows."""
+def blocks(docs: DataFrame, configs: Sequence[str] = CONFIGS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(lexeme, id, ends, positions) of whole texts: of a lexeme, the documents that a task holds together and their positions one after the other (from 1, ascending in each), with where each one's end.
+    One pass, no shuffle. Null texts have no rows."""
 
     def run(batches):
-        dictionaries = [Lexemes(c) for c in configs]
+        lexicon = Lexicon(configs)
         for batch in batches:
-            for low in range(0, batch.num_rows, 64):
-                part = batch.slice(low, 64)
-                rows, lexemes, places = [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    found: dict[str, list[int]] = {}
-                    words = words_of(text)
-                    for n, lexeme in enumerate(dictionaries):
-                        for at, x in enumerate(map(lexeme, words), n * STRETCH + 1):
-                            if x is not None:
-                                found.setdefault(x, []).append(at)
-                    rows += [i] * len(found)
-                    lexemes += found
-                    places += found.values()
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(lexemes, pa.string()), part.column(0).take(pa.array(rows)), pa.array(places, pa.list_(pa.int32()))], names=["lexeme", "id", "positions"])
+            rows, split, held = [], [], 0
+            for i in range(batch.num_rows):
+                if words := words_of(batch.column(1)[i].as_py()):
+                    rows.append(i)
+                    split.append(words)
+                    held += len(words)
+                if split and (held >= HELD_WORDS or i == batch.num_rows - 1):
+                    lexemes, texts, ends, places = _postings(lexicon, split)
+                    ids = batch.column(0).take(pa.array(rows)).take(texts.values)
+                    yield pa.RecordBatch.from_arrays([lexemes, pa.ListArray.from_arrays(texts.offsets, ids), ends, places], names=["lexeme", "id", "ends", "positions"])
+                    rows, split, held = [], [], 0
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"lexeme string, id {kind}, positions array<int>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"lexeme string, id array<{kind}>, ends array<int>, positions array<int>")
+
+
+def _unblocked(rows: DataFrame, *more: str) -> DataFrame:
+    """A row a document of blocks: lexeme, ``more``, id, positions."""
+    end = lambda i: F.when(i < 0, 0).otherwise(F.get("ends", i))
+    own = F.transform("id", lambda x, i: F.struct(x.alias("id"), F.slice("positions", end(i - 1) + 1, end(i) - end(i - 1)).alias("positions")))
+    return rows.select("lexeme", *more, F.inline(own))
+
+
+def positions(docs: DataFrame, configs: Sequence[str] = CONFIGS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(lexeme, id, positions) of whole texts, a row a lexeme of a document."""
+    return _unblocked(blocks(docs, configs, id_col, text_col))
 
 
 # -- queries ---------------------------------------------------------------------------------------------------------
@@ -192,7 +258,7 @@ def add(docs: DataFrame, path: str, segment: int, configs: Sequence[str] = CONFI
 
     Segments are numbered by the caller, upward; a segment that is written again replaces itself, so a repeated attempt changes nothing. Ids are unique in ``docs``."""
     spread = F.pmod(F.xxhash64("id"), F.lit(PARTS))
-    rows = positions(docs, configs, id_col, text_col).withColumn("folder", folder(F.col("lexeme")))
+    rows = blocks(docs, configs, id_col, text_col).withColumn("folder", folder(F.col("lexeme")))
     dealt = rows.repartition("folder", spread).sortWithinPartitions("folder", "lexeme")
     dealt.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings/segment={segment}")
     docs.select(F.col(id_col).alias("id"), F.col(text_col).isNotNull().alias("alive")).write.mode("overwrite").parquet(f"{path}/documents/segment={segment}")
@@ -202,7 +268,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(lexeme, id, positions, folder): what the newest segment says of each document.
 
     While there is one segment, that is a plain scan. With more, postings are joined with each document's newest segment."""
-    postings, documents = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents")
+    postings, documents = _unblocked(spark.read.parquet(f"{path}/postings"), "segment", "folder"), spark.read.parquet(f"{path}/documents")
     if documents.select("segment").distinct().limit(2).count() < 2:
         return postings.select("lexeme", "id", "positions", "folder")
     newest = documents.groupBy("id").agg(F.max("segment").alias("segment"))
@@ -212,6 +278,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def merge(spark: SparkSession, path: str, target: str) -> None:
     """All segments as one, in another folder; the texts aren't read."""
     spread = F.pmod(F.xxhash64("id"), F.lit(PARTS))
-    read(spark, path).repartition("folder", spread).sortWithinPartitions("folder", "lexeme").write.mode("overwrite").partitionBy("folder").parquet(f"{target}/postings/segment=0")
+    rows = read(spark, path).select("lexeme", F.array("id").alias("id"), F.array(F.size("positions")).alias("ends"), "positions", "folder")
+    rows.repartition("folder", spread).sortWithinPartitions("folder", "lexeme").write.mode("overwrite").partitionBy("folder").parquet(f"{target}/postings/segment=0")
     documents = spark.read.parquet(f"{path}/documents")
     documents.groupBy("id").agg(F.max_by("alive", "segment").alias("alive")).where("alive").write.mode("overwrite").parquet(f"{target}/documents/segment=0")

@@ -146,3 +146,23 @@ def quick(text):
             if real and all(map(found, real)) and not any(map(found, clause.unwanted)):
                 return True
     return None
+
+
+def test_postings_of_many_texts_are_made_together():
+    """A row a lexeme, not one a lexeme of each text, whatever the task still remembers."""
+    rng = random.Random(8)
+    texts = [[rng.choice(VOCABULARY) + rng.choice(["", "", str(rng.randrange(50))]) for _ in range(rng.randrange(1, 60))] for _ in range(40)]
+    lexicon = T.Lexicon(T.CONFIGS)
+    for _ in range(2):
+        rows = list(zip(*(c.to_pylist() for c in T._postings(lexicon, texts))))
+        assert len({x for x, *_ in rows}) == len(rows)
+        got = sorted((i, x, places[a:b]) for x, at, ends, places in rows for i, a, b in zip(at, [0, *ends], ends))
+        want = {}
+        for i, words in enumerate(texts):
+            for n, c in enumerate(T.CONFIGS):
+                for p, w in enumerate(words, 1):
+                    if (x := DICTIONARIES[c](w)) is not None:
+                        want.setdefault((i, x), []).append(n * T.STRETCH + p)
+        assert got == sorted((*k, v) for k, v in want.items())
+        lexicon.clear()
+    assert [len(x) for x in T._postings(T.Lexicon(["english"]), [["the", "of"]])] == [0, 0, 0, 0]
