@@ -26,18 +26,26 @@ def best_pairs(sets: DataFrame, threshold: float = PROBABLE, score: Score | None
     """(group, key, other, similarity, score, place): for each set its ``room`` best others of the group, at the threshold or above.
 
     sets: group (string), key (long), set (array of longs without repeats), room (int), mark (double). Keys are unique in a group; empty and null sets have no pairs.
+    A table that is written already may bring row (a number of its own for each set); it isn't written again.
     ``score`` makes scores of a matrix of similarities (rounded to 6 places) and the marks of its rows and columns; without it the similarity is the score. Places go by falling score, then key.
 
     Sets that share a member of their prefixes lie in one cluster. Inside a cluster only sets of like size meet (the smaller has at least ``threshold`` of the larger's members), and
     a meeting of any size is cut into pairs of blocks, each a small task that gives at most ``room`` rows a set."""
-    known = written(sets.where(F.size("set") > 0).withColumn("row", F.monotonically_increasing_id()), "sets")
-    prefix = prefixes(known.select("group", "row", "set"), ["group", "row"], threshold, ["group"])
-    hubs = prefix.groupBy("group", "s").agg(F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    clusters = connected_components(prefix.join(hubs, ["group", "s"]).select(F.col("row").alias("a"), F.col("hub").alias("b")))
+    known = sets.where(F.size("set") > 0)
+    if "row" not in sets.columns:
+        known = written(known.withColumn("row", F.monotonically_increasing_id()), "sets")
+    # A member counts inside its group only, so it and the group are one hash: nothing carries the group along.
+    own = F.transform("set", lambda s: F.xxhash64("group", s))
+    prefix = written(prefixes(known.select("row", own.alias("set")), ["row"], threshold), "prefixes")
+    hubs = prefix.groupBy("s").agg(F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    clusters = connected_components(prefix.join(hubs, "s").select(F.col("row").alias("a"), F.col("hub").alias("b")))
     # Sizes whose ratio is the threshold or more lie in one class of sizes or in two that follow each other.
     step = F.floor(F.log(F.size("set").cast("double")) / -math.log(threshold) + 1e-9).cast("int")
-    members = known.join(clusters.select(F.col("id").alias("row"), F.col("component").alias("cluster")), "row").withColumn("step", step)
-    met = members.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("meeting", F.col("step") - F.col("guest"))
+    members = known.select("row", step.alias("step")).join(clusters.select(F.col("id").alias("row"), F.col("component").alias("cluster")), "row")
+    met = written(members.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("meeting", F.col("step") - F.col("guest")), "meetings")
+    # Guests meet none of themselves. Who meets whom is settled before any set is fetched.
+    real = met.groupBy("cluster", "meeting").agg(F.count("*").alias("n"), F.min("guest").alias("least")).where("n > 1 and least = 0").select("cluster", "meeting")
+    tiles = block_pairs(met.join(real, ["cluster", "meeting"]).select("cluster", "meeting", "guest", "row"), ["cluster", "meeting"], block, F.col("row"))
 
     def one(group: dict[str, np.ndarray]) -> pa.RecordBatch | None:
         first = group["block_a"][0]
@@ -65,9 +73,8 @@ def best_pairs(sets: DataFrame, threshold: float = PROBABLE, score: Score | None
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["row", "other", "similarity", "score"])
 
-    columns = ["cluster", "meeting", "guest", "row", "key", "room", "mark", "set"]
-    tiles = block_pairs(written(met.select(*columns), "meetings"), ["cluster", "meeting"], block, F.col("row"))
-    found = map_groups(tiles.select("cluster", "meeting", "block_a", "block_b", "block", *columns[2:]), ["cluster", "meeting", "block_a", "block_b"], one, "row long, other long, similarity double, score double")
+    columns = ["cluster", "meeting", "block_a", "block_b", "block", "guest", "row", "key", "room", "mark", "set"]
+    found = map_groups(tiles.join(known, "row").select(*columns), ["cluster", "meeting", "block_a", "block_b"], one, "row long, other long, similarity double, score double")
     place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "other"))
     return found.withColumn("place", place).join(known.select("row", "group", "key", "room"), "row").where("place <= room").select("group", "key", "other", "similarity", "score", "place")
 
@@ -86,9 +93,9 @@ def version_pairs(files: DataFrame, most: int = MOST) -> DataFrame:
     kept = files.where("owner is not null and content_key is not null and stem <> ''").withColumn("marked", has_version_marker(F.col("name")))
     words = F.when(F.length("text") > 0, tokens(F.col("text")))
     group = F.concat_ws("\n", "owner", "stem")
-    rows = written(_contents(kept.withColumn("group", group), ["group", "owner", "stem"]).withColumn("w", words).select("group", "owner", "stem", "first", "mark", F.coalesce(F.size("w") >= MIN_TOKENS, F.lit(False)).alias("enough"), F.when(F.size("w") >= MIN_TOKENS, shingles(F.col("w"))).alias("set")), "contents")
+    rows = written(_contents(kept.withColumn("group", group), ["group", "owner", "stem"]).withColumn("w", words).select("group", "owner", "stem", "first", "mark", F.coalesce(F.size("w") >= MIN_TOKENS, F.lit(False)).alias("enough"), F.when(F.size("w") >= MIN_TOKENS, shingles(F.col("w"))).alias("set")).withColumn("row", F.monotonically_increasing_id()), "contents")
     named = lambda alike, a, b: TEXT_WEIGHT * alike + NAME_WEIGHT * np.where((a[:, None] > 0) | (b[None, :] > 0), 1.0, 0.5)
-    alike = best_pairs(rows.where("enough").select("group", F.col("first").alias("key"), "set", F.lit(most).alias("room"), "mark"), PROBABLE, named).select("group", F.col("key").alias("first"), "other", "similarity", "score")
+    alike = best_pairs(rows.where("enough").select("group", F.col("first").alias("key"), "set", F.lit(most).alias("room"), "mark", "row"), PROBABLE, named).select("group", F.col("key").alias("first"), "other", "similarity", "score")
 
     # Without text on a side, names alone: the first few of a stem serve for all its contents. One more, as a content isn't its own version.
     def few(these: DataFrame, by_mark: bool) -> DataFrame:

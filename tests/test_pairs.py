@@ -91,3 +91,16 @@ def test_cleared_contents_take_no_place(spark):
     got = {(r["file_id"], r["group_id"]): (r["kind"], r["blocking"], r["place"]) for r in pairs.similar_findings(moves, files, dismissed).collect()}
     assert {g for f, g in got if f == 1} == set(range(6, 14)) and {g for f, g in got if f == 0} == set(range(2, 12))
     assert got[1, 13][:2] == ("version", True) and got[1, 6][:2] == ("similar", False) and got[1, 7][:2] == ("version", False) and got[0, 3] == ("similar", False, 2)
+
+
+def test_sets_are_fetched_for_meetings_only(spark, monkeypatch):
+    """Sets that meet no other aren't carried into blocks, and what is cut into blocks carries no set."""
+    cut = []
+    real = pairs.block_pairs
+    monkeypatch.setattr(pairs, "block_pairs", lambda rows, *more: cut.append(rows) or real(rows, *more))
+    # Two alike; a third, much larger, shares a rare member with them and meets nobody.
+    rows = [("g", 1, list(range(20)), 5, 0.0), ("g", 2, list(range(1, 21)), 5, 0.0), ("g", 3, [0, 20, *range(1000, 1300)], 5, 0.0), ("h", 1, list(range(20)), 5, 0.0)]
+    df = spark.createDataFrame(rows, "`group` string, key long, set array<long>, room int, mark double")
+    got = sorted((r["group"], r["key"], r["other"]) for r in pairs.best_pairs(df).collect())
+    assert got == [("g", 1, 2), ("g", 2, 1)]
+    assert "set" not in cut[0].columns and cut[0].groupBy("cluster", "meeting").count().where("count < 2").count() == 0
