@@ -171,34 +171,86 @@ def forest(n: int, adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
+def in_groups(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each group of ``keys`` in turn, of batches that are sorted by them, as NumPy arrays (objects for strings, bytes and lists)."""
+    kept: list[dict[str, np.ndarray]] = []
+
+    def done() -> Iterator[dict[str, np.ndarray]]:
+        if kept:
+            yield {n: np.concatenate([k[n] for k in kept]) for n in names}
+        kept.clear()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            change[1:] |= columns[k][1:] != columns[k][:-1]
+        if kept and any(kept[-1][k][-1] != columns[k][0] for k in keys):
+            yield from done()
+        bounds = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            if i:
+                yield from done()
+            kept.append({n: v[a:b] for n, v in columns.items()})
+    yield from done()
+
+
 def map_groups(df: DataFrame, keys: list[str], one: Callable[[dict[str, np.ndarray]], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Calls ``one`` with the columns of each group of ``keys`` in turn, as NumPy arrays (objects for strings and bytes).
+    """Calls ``one`` with the columns of each group of ``keys`` in turn, as of in_groups.
 
     Rows are dealt by the keys and sorted; a task holds one group and one batch at a time, so groups must be small by construction."""
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[dict[str, np.ndarray]] = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if kept and (out := one({n: np.concatenate([k[n] for k in kept]) for n in names})) is not None:
+        for group in in_groups(batches, keys, names):
+            if (out := one(group)) is not None:
                 yield out
-            kept.clear()
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
-            change = np.zeros(batch.num_rows, bool)
-            for k in keys:
-                change[1:] |= columns[k][1:] != columns[k][:-1]
-            if kept and any(kept[-1][k][-1] != columns[k][0] for k in keys):
-                yield from done()
-            bounds = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                if i:
-                    yield from done()
-                kept.append({n: v[a:b] for n, v in columns.items()})
-        yield from done()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), schema)
+
+
+#: Buckets that hashes are dealt to (as a power of two), and values that a task holds before it deals them.
+BUCKET_BITS, DEALT = 12, 1 << 20
+
+Columns = tuple[np.ndarray, ...]
+
+
+def gathered(pieces: Iterator[Columns], least: int | None = None) -> Iterator[Columns]:
+    """Pieces of equally long columns, joined to such of ``least`` values or more, and what is left."""
+    held, total = [], 0
+    for piece in pieces:
+        held.append(piece)
+        total += len(piece[0])
+        if total >= (least or DEALT):
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, total = [], 0
+    if total:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def bucket_lists(rows: DataFrame, pieces: Callable[[Iterator[pa.RecordBatch]], Iterator[Columns]], schema: dict[str, str]) -> DataFrame:
+    """(bucket, lists of ``schema``): many small values that are to meet by a hash, as few rows: one a bucket and piece.
+
+    ``pieces`` makes columns of a task's batches: a 64-bit hash, then those of ``schema`` (bigint or int)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, *columns in pieces(batches):
+            bucket = (hashes.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int16)
+            order = np.argsort(bucket, kind="stable")
+            bucket, at = np.unique(bucket[order], return_index=True)
+            cuts = pa.array(np.append(at, len(order)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *(pa.ListArray.from_arrays(cuts, pa.array(c[order])) for c in columns)], names=["bucket", *schema])
+
+    return rows.mapInArrow(lean(run), ", ".join(["bucket int", *(f"{n} array<{t}>" for n, t in schema.items())]))
+
+
+def in_buckets(batches: Iterator[pa.RecordBatch], schema: dict[str, str]) -> Iterator[Columns]:
+    """The values of each bucket in turn, of bucket_lists that are dealt and sorted by bucket."""
+    for group in in_groups(batches, ["bucket"], ["bucket", *schema]):
+        yield tuple(np.concatenate(list(group[n])) for n in schema)
+
+
+def by_bucket(lists: DataFrame) -> DataFrame:
+    return lists.repartition("bucket").sortWithinPartitions("bucket")

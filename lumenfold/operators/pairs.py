@@ -36,7 +36,7 @@ def best_pairs(sets: DataFrame, threshold: float = PROBABLE, score: Score | None
         known = written(known.withColumn("row", F.monotonically_increasing_id()), "sets")
     # A member counts inside its group only, so it and the group are one hash: nothing carries the group along.
     own = F.transform("set", lambda s: F.xxhash64("group", s))
-    prefix = written(prefixes(known.select("row", own.alias("set")), ["row"], threshold), "prefixes")
+    prefix = written(prefixes(known.select("row", own.alias("set")), "row", threshold), "prefixes")
     hubs = prefix.groupBy("s").agg(F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     clusters = connected_components(prefix.join(hubs, "s").select(F.col("row").alias("a"), F.col("hub").alias("b")))
     # Sizes whose ratio is the threshold or more lie in one class of sizes or in two that follow each other.

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import tokens
-from lumenfold.operators.groups import block_pairs, connected_components, forest, hot_keys, join_facts, lean, map_groups, written
-from lumenfold.operators.words import WordHashes, sequence_hashes
+from lumenfold.operators.groups import block_pairs, bucket_lists, by_bucket, connected_components, forest, gathered, hot_keys, in_buckets, join_facts, lean, map_groups, written
+from lumenfold.operators.words import mixed, sequence_hashes, text_hashes
 
 SHINGLE, THRESHOLD, MIN_TOKENS = 5, 0.8, 40
 #: Eighths of the hash space in which sets without a partner are told before any set is kept. Any value gives the same links.
 PART = 3
 #: Texts and sets that a task remembers having given.
 SEEN = 1 << 18
-_WORD = re.compile(r"[^\W_]+")
 
 
 def shingles(words: Column, k: int = SHINGLE) -> Column:
@@ -42,58 +40,101 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(0.0)
 
 
-def shingle_set(text: str | None, size: int, hashes: WordHashes) -> tuple[int, np.ndarray]:
-    """Number of words (lower-cased runs of letters and digits), and the sorted distinct hashes of ``size`` consecutive ones.
+def shingle_sets(texts: list[str | None], size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each text's number of words (lower-cased runs of letters and digits), and the sorted distinct hashes of ``size`` consecutive ones.
 
     Fewer words are one shingle, none an empty set."""
-    words = _WORD.findall((text or "").lower())
-    if not words:
-        return 0, np.zeros(0, np.int64)
-    grams = sequence_hashes(hashes(words), min(size, len(words)))
-    return len(words), np.unique(grams + np.uint64(max(0, size - len(words)))).view(np.int64)
+    hashes, counts = text_hashes([(text or "").lower() for text in texts])
+    many = sequence_hashes(hashes, size) if len(hashes) >= size else hashes[:0]
+    sets = []
+    for n, end in zip(counts.tolist(), np.cumsum(counts).tolist()):
+        if n < size:
+            grams = sequence_hashes(hashes[end - n : end], n) + np.uint64(size - n) if n else hashes[:0]
+        else:
+            grams = np.sort(many[end - n : end - size + 1])
+            grams = grams[np.append(True, grams[1:] != grams[:-1])]
+        sets.append(grams.view(np.int64))
+    return counts, sets
+
+
+def _runs(sorted_values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])) if len(sorted_values) else np.zeros(0, np.int64)
+
+
+def _owners(s: np.ndarray, k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct shingles, with the smallest and the largest text that has each, and the size of such a text's set."""
+    order = np.argsort(s)
+    s, k, n = s[order], k[order], n[order]
+    at = _runs(s)
+    return s[at], np.minimum.reduceat(k, at), np.maximum.reduceat(k, at), n[at]
+
+
+def _summed(k: np.ndarray, own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(k)
+    k, own, n = k[order], own[order], n[order]
+    at = _runs(k)
+    return k[at], np.add.reduceat(own, at), n[at]
 
 
 def _alone(texts: DataFrame, threshold: float, size: int, min_tokens: int) -> DataFrame:
     """Hashes k of texts that can only be similar to exact copies of themselves.
 
-    A set with a partner has at most (1 - threshold) of its shingles for itself, so no more than that in a part of the hash space either."""
+    A set with a partner has at most (1 - threshold) of its shingles for itself, so no more than that in a part of the hash space either.
+    Shingles meet in buckets of their hashes, then the texts' own ones are counted in buckets of texts."""
+    shingle, text = {"s": "bigint", "k": "bigint", "n": "int"}, {"k": "bigint", "own": "int", "n": "int"}
 
-    def run(batches):
-        hashes, seen = WordHashes(), set()
+    def parts(batches):
+        seen = set()
         for batch in batches:
             if len(seen) > SEEN:
                 seen.clear()
-            for low in range(0, batch.num_rows, 256):  # what is emitted at a time stays small
-                keys, sizes, own = [], [], []
+            for low in range(0, batch.num_rows, 256):
+                new = {}
                 for k, text in zip(batch.column(0).slice(low, 256).to_pylist(), batch.column(1).slice(low, 256).to_pylist()):
-                    if k in seen:
-                        continue
-                    seen.add(k)
-                    n_words, grams = shingle_set(text, size, hashes)
+                    if k not in seen:
+                        seen.add(k)
+                        new[k] = text
+                for k, n_words, grams in zip(new, *shingle_sets(list(new.values()), size)):
                     if n_words >= min_tokens:
-                        own.append(grams[grams & 7 < PART])
-                        keys.append(np.full(len(own[-1]), k))
-                        sizes.append(np.full(len(own[-1]), len(grams), np.int32))
-                if own:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, sizes, own)], names=["k", "n", "s"])
+                        own = grams[grams & 7 < PART]
+                        yield own, np.full(len(own), k), np.full(len(own), len(grams), np.int32)
 
-    part = texts.select("k", "text").mapInArrow(lean(run), "k long, n int, s long")
-    once = part.groupBy("s").agg(F.min("k").alias("k"), F.max("k").alias("other"), F.max("n").alias("n")).where("k = other")
-    return once.groupBy("k").agg(F.count("*").alias("own"), F.max("n").alias("n")).where(F.col("own") > F.col("n") - F.ceil(F.col("n") * threshold - 1e-9)).select("k")
+    def spread(batches):
+        for s, low, high, n in (_owners(*x) for x in gathered(parts(batches))):
+            times = 1 + (low != high)  # of a shingle that several texts have, two go on
+            k, s = np.repeat(low, times), np.repeat(s, times)
+            k[np.cumsum(times) - 1] = high
+            yield s, s, k, np.repeat(n, times)
+
+    def owned(batches):
+        def counts():
+            for _, low, high, n in (_owners(*x) for x in in_buckets(batches, shingle)):
+                mine = low == high
+                yield low[mine], np.ones(mine.sum(), np.int32), n[mine]
+
+        for k, own, n in (_summed(*x) for x in gathered(counts())):
+            yield mixed(k.view(np.uint64)), k, own.astype(np.int32), n
+
+    def told(batches):
+        for k, own, n in (_summed(*x) for x in in_buckets(batches, text)):
+            yield pa.RecordBatch.from_arrays([pa.array(k[own > n - np.ceil(n * threshold - 1e-9)])], names=["k"])
+
+    dealt = by_bucket(bucket_lists(texts.select("k", "text"), spread, shingle))
+    return by_bucket(bucket_lists(dealt, owned, text)).mapInArrow(lean(told), "k long")
 
 
 def _keyed_sets(texts: DataFrame, size: int, id_type: str) -> DataFrame:
     """(id, n_words, key, set) of columns id, text: equal sets have equal keys, and a task gives each set once (null again)."""
 
     def run(batches):
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(low, 256), []
                 if len(seen) > SEEN:
                     seen.clear()
-                for text in part.column(1).to_pylist():
-                    n_words, grams = shingle_set(text, size, hashes)
+                for n_words, grams in zip(*shingle_sets(part.column(1).to_pylist(), size)):
                     key = hashlib.sha256(grams.tobytes()).hexdigest()
                     rows.append((n_words, key, None if key in seen else grams))
                     seen.add(key)
@@ -122,15 +163,40 @@ def overlaps(sets: np.ndarray, a: np.ndarray, b: np.ndarray, slice_size: int = 8
     return both
 
 
-def prefixes(sets: DataFrame, keys: list[str], threshold: float, within: list[str] = ()) -> DataFrame:
-    """(keys, s): of each set (columns keys, set) its rarest members, so many that two sets at the threshold share one; members that no other set has fill them first.
+def prefixes(sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(key, s): of each set (columns key, a long without repeats, and set, not null) its rarest members, so many that two sets at the threshold share one; members that no other set has fill them first.
 
-    ``within`` are those of the keys inside which sets are compared."""
-    spread = sets.select(*keys, F.size("set").alias("size"), F.explode("set").alias("s"))
-    shared = spread.groupBy(*within, "s").agg(F.count("*").alias("df")).where("df > 1")
-    own = spread.join(shared, [*within, "s"]).groupBy(*keys, "size").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("common"))
-    room = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1 - (F.col("size") - F.size("common"))
-    return own.where(room > 0).select(*keys, F.explode(F.slice("common", F.lit(1), room.cast("int"))).alias("c")).select(*keys, F.col("c.s").alias("s"))
+    Members meet in buckets of their hashes, where those of one set are left out, then in buckets of their sets."""
+    member, common = {"s": "bigint", "k": "bigint", "n": "int"}, {"s": "bigint", "k": "bigint", "n": "int", "df": "int"}
+
+    def parts(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                k, s = (c.slice(low, 256) for c in batch.columns)
+                n = s.value_lengths().to_numpy()
+                yield mixed(s.flatten().to_numpy().view(np.uint64)), s.flatten().to_numpy(), np.repeat(k.to_numpy(), n), np.repeat(n, n)
+
+    def shared(batches):
+        for s, k, n in in_buckets(batches, member):
+            order = np.argsort(s)
+            s, k, n = s[order], k[order], n[order]
+            df = np.diff(np.append(_runs(s), len(s)))
+            df = np.repeat(df, df).astype(np.int32)
+            keep = df > 1
+            yield mixed(k[keep].view(np.uint64)), s[keep], k[keep], n[keep], df[keep]
+
+    def first(batches):
+        for s, k, n, df in in_buckets(batches, common):
+            order = np.lexsort((s, df, k))
+            s, k, n = s[order], k[order], n[order]
+            at = _runs(k)
+            several = np.diff(np.append(at, len(k)))
+            room = n[at] - np.ceil(n[at] * threshold - 1e-9) + 1 - (n[at] - several)
+            keep = np.arange(len(k)) - np.repeat(at, several) < np.repeat(room, several)
+            yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(s[keep])], names=[key, "s"])
+
+    dealt = by_bucket(bucket_lists(sets.select(key, "set"), lambda batches: gathered(parts(batches)), member))
+    return by_bucket(bucket_lists(dealt, lambda batches: gathered(shared(batches)), common)).mapInArrow(lean(first), f"{key} long, s long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, min_tokens: int = MIN_TOKENS, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,7 +222,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     both = sets.where(comparable).select("key", "set", F.lit(1).cast("long").alias("n")).unionByName(hot_sets.where(comparable).select("key", "set", F.col("id.n").alias("n")))
     classes = written(both.groupBy("key").agg(F.any_value("set", True).alias("set"), F.sum("n").alias("n")).withColumn("cls", F.monotonically_increasing_id()), "classes")
 
-    prefix = prefixes(classes.select("cls", "set"), ["cls"], threshold)
+    prefix = written(prefixes(classes.select("cls", "set"), "cls", threshold), "prefixes")
     hubs = prefix.groupBy("s").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1")
     clusters = connected_components(prefix.join(hubs, "s").select(F.col("cls").alias("a"), F.col("hub").alias("b")))
     members = written(classes.select("cls", "n", "set").join(clusters.select(F.col("id").alias("cls"), F.col("component").alias("cluster")), "cls"), "members")

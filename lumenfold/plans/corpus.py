@@ -252,7 +252,10 @@ def near_duplicate_components(spark, d):
 
     docs = t(spark, d, "documents")
     found = near_duplicates(docs, min_tokens=1).withColumnRenamed("id", "doc_id")
-    return found.join(tokenize_stats(spark, d).groupBy("doc_id").agg(F.max("comparable").alias("comparable")), "doc_id", "left")
+    # A beginning has no more words than the text, so only texts whose beginning has too few are read whole.
+    enough = lambda text: F.size(X.tokens(text)) >= 40
+    comparable = F.when(enough(F.substring("text", 1, 400)), True).otherwise(enough(F.col("text")))
+    return found.join(docs.select("doc_id", comparable.alias("comparable")).groupBy("doc_id").agg(F.max("comparable").alias("comparable")), "doc_id", "left")
 
 
 _SHINGLES = "w AS (SELECT doc_id, sha256(text) AS h, " + _TOKENS + """ AS w FROM documents),

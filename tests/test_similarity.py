@@ -84,3 +84,61 @@ def test_short_copies_are_linked_by_the_query(spark, tmp_path):
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["near_duplicate_components"](spark, str(tmp_path)).select("doc_id", "n_links", "group_id", "comparable").collect()
     assert sorted(map(tuple, got)) == [(0, 1, 0, False), (1, 1, 0, False), (2, 1, 2, False), (3, 1, 2, False), (4, 0, 4, False), (5, 0, 5, False), (6, 0, 6, False)]
+
+
+def test_words_of_texts_are_hashed_as_the_pattern_finds_them(monkeypatch):
+    import itertools
+
+    from lumenfold.operators import words
+
+    texts = ["", "...", "one two_three", "ONE".lower() + " é文字 𝒜𝒜x ²", "a" * 9000 + " " + "a" * 8999 + "b", " ab ba aab", "İx ς".lower()]
+    want = [re.findall(r"[^\W_]+", t) for t in texts]
+    for at_a_time in (1 << 20, 3):
+        monkeypatch.setattr(words, "_LETTERS", at_a_time)
+        hashes, counts = words.text_hashes(texts)
+        assert counts.tolist() == [len(w) for w in want]
+        told = {}
+        for word, h in zip(itertools.chain(*want), hashes.tolist(), strict=True):
+            assert told.setdefault(word, h) == h
+        assert len(set(told.values())) == len(told)
+    assert [len(x) for x in words.text_hashes([])] == [0, 0]
+
+
+def test_rarest_members_are_chosen_once_and_shingles_travel_in_lists(spark, monkeypatch):
+    made, before = [], similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df, what: made.append((what, df)) or before(df, what))
+    rng = random.Random(9)
+    base = [[f"{rng.choice(WORDS)}{rng.randrange(90)}" for _ in range(60)] for _ in range(5)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:-1], "changed"]) for b in base]
+    rows = list(enumerate(texts))
+    got = sorted(tuple(r) for r in similarity.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("id", "n_links", "group_id").collect())
+    assert got == brute(rows, 0.8)
+    frames = dict(made)
+    assert "prefixes" in frames  # both of its uses read the table
+    plans = [frames[what]._jdf.queryExecution().executedPlan().toString() for what in ("alone", "prefixes")]
+    assert all(p.count("hashpartitioning(bucket") == 2 and "hashpartitioning(s" not in p for p in plans)
+
+
+def test_prefixes_are_the_rarest_members(spark):
+    rng = random.Random(4)
+    sets = [rng.sample(range(-40, 40), rng.randrange(1, 30)) for _ in range(60)]
+    df = {s: sum(s in x for x in sets) for s in range(-40, 40)}
+    want = set()
+    for k, x in enumerate(sets):
+        common = sorted((df[s], s) for s in x if df[s] > 1)
+        room = similarity.threshold_prefix(len(x)) - (len(x) - len(common))
+        want |= {(k, s) for _, s in common[: max(0, room)]}
+    frame = spark.createDataFrame(list(enumerate(sets)), "row long, set array<long>").repartition(3)
+    got = [tuple(r) for r in similarity.prefixes(frame, "row", 0.8).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_enough_words_are_told_by_the_beginning_or_the_whole(spark, tmp_path):
+    from lumenfold.plans.registry import QUERIES
+
+    texts = ["a " * 39, "a " * 40, "b" * 500 + " c" * 39, "b" * 500 + " c" * 38, " " * 450 + "d " * 40, "e " * 39 + " " * 400, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    query = QUERIES["near_duplicate_components"](spark, str(tmp_path))
+    got = {r["doc_id"]: r["comparable"] for r in query.collect()}
+    assert [got[i] for i in range(len(texts))] == [False, True, True, False, True, False, False]
+    assert "substring" in query._jdf.queryExecution().optimizedPlan().toString()
