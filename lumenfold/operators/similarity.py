@@ -25,6 +25,8 @@ SHINGLE, THRESHOLD, MIN_TOKENS = 5, 0.8, 40
 PART = 3
 #: Texts and sets that a task remembers having given.
 SEEN = 1 << 18
+#: Words of 64 bits (as a power of two) of the table that tells which texts may be among given ones.
+MASK_BITS = 17
 
 
 def shingles(words: Column, k: int = SHINGLE) -> Column:
@@ -124,6 +126,13 @@ def _alone(texts: DataFrame, threshold: float, size: int, min_tokens: int) -> Da
     return by_bucket(bucket_lists(dealt, owned, text)).mapInArrow(lean(told), "k long")
 
 
+def _likely(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Those of ``texts`` whose k may be among ``keys``: a bit table of at most 1 MB is broadcast, so that few others are dealt by key. An exact join decides."""
+    word, bit = F.shiftrightunsigned("k", 6).bitwiseAND(F.lit((1 << MASK_BITS) - 1)), F.col("k").bitwiseAND(F.lit(63)).cast("int")
+    table = keys.groupBy(word.alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(k & 63 AS int)))").alias("_bits"))
+    return texts.join(F.broadcast(table), (word == F.col("_word")) & (F.getbit("_bits", bit) == 1), "left_semi")
+
+
 def _keyed_sets(texts: DataFrame, size: int, id_type: str) -> DataFrame:
     """(id, n_words, key, set) of columns id, text: equal sets have equal keys, and a task gives each set once (null again)."""
 
@@ -214,7 +223,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     copies = cold.select("id", "k", copy_key.alias("key")).join(rest, "k", "left_anti").select("id", "key")
     one = texts.join(F.broadcast(hot.where("not alone").select("k", "n")), "k").groupBy("k").agg(F.any_value("text").alias("text"), F.max("n").alias("n"))
     hot_sets = written(_keyed_sets(one.select(F.struct("k", "n").alias("id"), "text"), k, "struct<k:bigint,n:bigint>"), "hot-sets")
-    sets = written(_keyed_sets(cold.join(rest, "k", "left_semi"), k, docs.schema[id_col].dataType.simpleString()), "sets")
+    sets = written(_keyed_sets(_likely(cold, rest).join(rest, "k", "left_semi"), k, docs.schema[id_col].dataType.simpleString()), "sets")
     comparable = (F.col("n_words") >= min_tokens) & (F.col("n_words") > 0)
     hot_known = hot_sets.select("id.k", F.when(comparable, F.col("key")).alias("key"))
     hot_rows = texts.select("id", "k", copy_key.alias("copy")).join(F.broadcast(hot.select("k", "alone")), "k").join(F.broadcast(hot_known), "k", "left").select("id", F.when(F.col("alone"), F.col("copy")).otherwise(F.col("key")).alias("key"))

@@ -117,6 +117,16 @@ def test_rarest_members_are_chosen_once_and_shingles_travel_in_lists(spark, monk
     assert "prefixes" in frames  # both of its uses read the table
     plans = [frames[what]._jdf.queryExecution().executedPlan().toString() for what in ("alone", "prefixes")]
     assert all(p.count("hashpartitioning(bucket") == 2 and "hashpartitioning(s" not in p for p in plans)
+    assert "getbit" in frames["sets"]._jdf.queryExecution().optimizedPlan().toString()  # texts that are alone aren't dealt by key
+
+
+def test_texts_that_may_be_among_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    texts = spark.range(-5000, 5000).select("id", F.xxhash64("id").alias("k"))
+    keys = texts.where("id % 50 = 0").select("k")
+    got = {r["id"] for r in similarity._likely(texts, keys).select("id").collect()}
+    assert got >= set(range(-5000, 5000, 50)) and len(got) < 250
 
 
 def test_prefixes_are_the_rarest_members(spark):
