@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lumenfold.operators.groups import lean, shared_dir, written
 
-__all__ = ["LOWER", "LOWER_ALNUM", "held_out", "map_batches", "shared_dir", "table", "text_bytes", "written"]
+__all__ = ["LOWER", "LOWER_ALNUM", "bytes_of", "held_out", "map_batches", "shared_dir", "table", "text_bytes", "with_text", "written"]
 
 #: bytes.translate table that lower-cases A-Z and leaves every other byte alone.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -27,6 +28,18 @@ def text_bytes(column: str = "text") -> Column:
     return F.col(column).cast("binary")
 
 
+def with_text(docs: DataFrame, keep: list[str], text_col: str = "text") -> tuple[list, int]:
+    """The columns of ``keep`` and the text, and the text's place among them: one that is kept anyway does not come twice. To be read by bytes_of."""
+    if text_col in keep and docs.select(text_col).schema[0].dataType == StringType():
+        return [*keep], keep.index(text_col)
+    return [*keep, text_bytes(text_col).alias("_text_bytes")], len(keep)
+
+
+def bytes_of(texts: pa.Array) -> list[bytes | None]:
+    """Strings' UTF-8 bytes, without decoding."""
+    return texts.cast(pa.binary()).to_pylist()
+
+
 def held_out(id_column: str, folds: int, fold: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % folds == fold
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import LOWER_ALNUM, map_batches, text_bytes, written
+from lumenfold.llm.common import LOWER_ALNUM, bytes_of, map_batches, with_text, written
 from lumenfold.llm.fmindex import FMIndex
 
 WINDOW = 13
@@ -22,6 +22,8 @@ WINDOW = 13
 BLOCK_WORDS = 500_000
 #: Words of the documents of one shard.
 SHARD_WORDS = 2_000_000
+#: Texts that are cut into words at a time.
+TAKEN = 256
 #: Bytes of the benchmark that are broadcast at a time; a larger one is searched part after part.
 PART_BYTES = 4 << 20
 #: Words of an item that stay together; a longer item is cut into overlapping pieces.
@@ -67,60 +69,68 @@ def benchmark_blocks(items: list[tuple], window: int = WINDOW, block_words: int
     return blocks
 
 
-def search(block: Block, docs: list[list[bytes]]) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray]:
-    """Spans (document, begins, ends) of all occurrences, merged; and the distinct (document, item) pairs."""
-    lengths = np.array([len(w) for w in docs])
-    begins = np.cumsum(lengths) - lengths
-    get = block.vocabulary.get
-    ids = np.array([get(x, 0) for w in docs for x in w], np.int64)
-    nothing = [], np.zeros((0, 2), np.int64)
-    if not len(ids):
-        return nothing
+#: Runs of vocabulary words: document, first word and words of each, and the symbols of all, laid end to end.
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def runs_of(block: Block, docs: list[list[bytes]], first: int = 0) -> Runs:
+    """Those that a window fits into, of documents numbered from ``first``."""
+    lengths = np.fromiter(map(len, docs), np.int64, len(docs))
+    ends, get = np.cumsum(lengths), block.vocabulary.get
+    begins = ends - lengths
+    ids = np.fromiter((get(x, 0) for w in docs for x in w), np.int32, int(lengths.sum()))
     edge = np.zeros(len(ids) + 1, bool)
     edge[begins[lengths > 0]] = edge[-1] = True
     out = ids == 0
-    edge[:-1] |= out | np.concatenate([[True], out[:-1]])
+    edge[:-1] |= out
+    edge[1:] |= out
     cut = np.flatnonzero(edge)
     runs = np.stack([cut[:-1], cut[1:]], 1)
     runs = runs[(runs[:, 1] - runs[:, 0] >= block.shortest) & ~out[runs[:, 0]]]
-    if not len(runs):
+    size, doc = runs[:, 1] - runs[:, 0], np.searchsorted(ends, runs[:, 0], "right")
+    inside = np.arange(size.sum()) + np.repeat(runs[:, 0] - np.cumsum(size) + size, size)
+    return doc + first, runs[:, 0] - begins[doc], size, ids[inside]
+
+
+def occurrences(block: Block, held: list[Runs]) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """Spans (document, begin, end) of all occurrences in the runs, merged; and the distinct (document, item) pairs."""
+    nothing = [], np.zeros((0, 2), np.int64)
+    if not held:
+        return nothing
+    doc, begin, size, symbols = (np.concatenate(c) for c in zip(*held))
+    if not len(doc):
         return nothing
-    size = runs[:, 1] - runs[:, 0]
-    first = np.cumsum(size + 1) - size - 1  # where each run begins in the index's text
-    where = np.full(int((size + 1).sum()), -1, np.int64)
-    inside = np.ones(len(where), bool)
+    first = np.cumsum(size + 1) - size - 1  # where each run begins in the index's text; a mark follows each
+    inside = np.ones(len(symbols) + len(doc), bool)
     inside[first + size] = False
-    where[inside] = np.repeat(runs[:, 0] - first, size) + np.flatnonzero(inside)
-    text = np.where(inside, ids[where], 1)
+    text = np.ones(len(inside), np.int32)
+    text[inside] = symbols
     index = FMIndex(text, len(block.vocabulary) + 2)
-    change, pairs = np.zeros(len(ids) + 1, np.int64), []
-    doc_of = np.repeat(np.arange(len(docs)), lengths)
+    change, pairs = np.zeros(len(text) + 1, np.int32), []
     for n, windows in block.windows.items():
         low, high = index.ranges(windows)
         count = high - low
         hit = np.repeat(np.arange(len(windows)), count)
         rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[hit]
-        at = where[index.locate(rows)]
+        at = index.locate(rows)
         np.add.at(change, at, 1)
         np.add.at(change, at + n, -1)
         pointer, owners = block.owners[n]
-        both = np.unique(np.stack([doc_of[at], hit], 1), axis=0)
+        both = np.unique(np.stack([doc[np.searchsorted(first, at, "right") - 1], hit], 1), axis=0)
         number = pointer[both[:, 1] + 1] - pointer[both[:, 1]]
         item = owners[np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number) + np.repeat(pointer[both[:, 1]], number)] if len(both) else np.zeros(0, np.int64)
         pairs.append(np.stack([np.repeat(both[:, 0], number), item], 1))
-    covered = np.concatenate([[0], (np.cumsum(change[:-1]) > 0).astype(np.int8)])
-    covered = np.append(covered, 0)
-    spans = []
-    step = np.diff(covered)
+    # No occurrence holds a mark, so a span lies in one run.
+    step = np.diff((np.cumsum(change, dtype=np.int32) > 0).astype(np.int8), prepend=0)
     up, down = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    # A span that runs over a document's end is two spans.
-    for a, b in zip(up.tolist(), down.tolist()):
-        while a < b:
-            d = int(doc_of[a])
-            to = min(b, int(begins[d] + lengths[d]))
-            spans.append((d, a - int(begins[d]), to - int(begins[d])))
-            a = to
-    return spans, np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+    run = np.searchsorted(first, up, "right") - 1
+    shift = begin[run] - first[run]
+    return list(zip(doc[run].tolist(), (up + shift).tolist(), (down + shift).tolist())), np.unique(np.concatenate(pairs), axis=0)
+
+
+def search(block: Block, docs: list[list[bytes]]) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """As occurrences, of the documents' words."""
+    return occurrences(block, [runs_of(block, docs)])
 
 
 def pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int, piece_words: int) -> DataFrame:
@@ -145,36 +155,42 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
 
-def _searched(held: DataFrame, blocks: list, names: list[str]) -> DataFrame:
-    """``held`` (any columns, then _t, _words, _spans, _items) with what one part of the benchmark adds to the last three."""
+def _searched(held: DataFrame, blocks: list, names: list[str], text_at: int, keep: int) -> DataFrame:
+    """``held`` (any columns, then _words, _spans, _items; the text at ``text_at``) with what one part of the benchmark adds to the last three.
+
+    Only the first ``keep`` of the other columns are given on. Of the words only runs are held, as symbols."""
 
     def make():
-        def shard(split: list[list[bytes]], spans: list[list[tuple[int, int]]], items: list[set[str]]) -> list[tuple]:
-            for block in blocks:
-                some, pairs = search(block.value, split)
+        def shard(counts: list[int], runs: list[list[Runs]], spans: list[list[tuple[int, int]]], items: list[set[str]]) -> list[tuple]:
+            for block, own in zip(blocks, runs):
+                some, pairs = occurrences(block.value, own)
                 for d, a, b in some:
                     spans[d].append((a, b))
                 for d, k in pairs.tolist():
                     items[d].add(names[k])
-            return [(len(w), [{"begin": a, "end": b} for a, b in merged(s)], sorted(i)) for w, s, i in zip(split, spans, items)]
+            return [(n, [{"begin": a, "end": b} for a, b in merged(s)], sorted(i)) for n, s, i in zip(counts, spans, items)]
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, before, known = batch.column("_t"), batch.column("_spans"), batch.column("_items")
-            rows, split, spans, items, size = [], [], [], [], 0
-            for at in range(batch.num_rows):
-                split.append(words_of(texts[at].as_py()))
-                spans.append([(x["begin"], x["end"]) for x in before[at].as_py()])
-                items.append(set(known[at].as_py()))
-                size += len(split[-1])
-                if size >= SHARD_WORDS or at == batch.num_rows - 1:
-                    rows += shard(split, spans, items)
-                    split, spans, items, size = [], [], [], 0
+            rows, counts, runs, spans, items, size = [], [], [[] for _ in blocks], [], [], 0
+            for low in range(0, batch.num_rows, TAKEN):
+                texts, before, known = (batch.column(i).slice(low, TAKEN) for i in (text_at, batch.num_columns - 2, batch.num_columns - 1))
+                split = [words_of(t) for t in bytes_of(texts)]
+                for block, own in zip(blocks, runs):
+                    own.append(runs_of(block.value, split, len(counts)))
+                counts += map(len, split)
+                spans += [[(x["begin"], x["end"]) for x in s] for s in before.to_pylist()]
+                items += map(set, known.to_pylist())
+                size += sum(map(len, split))
+                if size >= SHARD_WORDS or low + TAKEN >= batch.num_rows:
+                    rows += shard(counts, runs, spans, items)
+                    counts, runs, spans, items, size = [], [[] for _ in blocks], [], [], 0
             found = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), _SPANS, pa.list_(pa.string())))]
-            return pa.RecordBatch.from_arrays([*batch.columns[:-3], *found], names=batch.schema.names)
+            return pa.RecordBatch.from_arrays([*batch.columns[:keep], *found], names=[*batch.schema.names[:keep], *batch.schema.names[-3:]])
 
         return one
 
-    return map_batches(held, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema))
+    fields = held.schema.fields
+    return map_batches(held, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*fields[:keep], *fields[-3:]]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, share: int = 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_bytes: int = PART_BYTES, piece_words: int = PIECE_WORDS) -> DataFrame:
@@ -195,13 +211,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window
     if parts > 1:
         wanted = written(wanted, "benchmark")
     nothing = F.array().cast("array<struct<begin:int,end:int>>").alias("_spans"), F.array().cast("array<string>").alias("_items")
-    held = docs.select(*keep, text_bytes(text_col).alias("_t"), F.lit(0).cast("long").alias("_words"), *nothing)
+    sent, text_at = with_text(docs, keep, text_col)
+    held = docs.select(*sent, F.lit(0).cast("long").alias("_words"), *nothing)
     for part in range(parts):
         own = wanted.where(F.pmod(F.xxhash64("item", "t"), F.lit(parts)) == part) if parts > 1 else wanted
         items = [(r["item"], r["t"].encode()) for r in own.orderBy("item", "t").collect()]
         blocks = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(items, window)]
-        held = _searched(held, blocks, [k for k, _ in items])
-        if part < parts - 1:
+        last = part == parts - 1
+        held = _searched(held, blocks, [k for k, _ in items], text_at, len(keep) if last else len(sent))
+        if not last:
             held = written(held, "contamination")
             for block in blocks:
                 block.destroy()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import LOWER, map_batches, text_bytes
+from lumenfold.llm.common import LOWER, bytes_of, map_batches, text_bytes, with_text
 
 #: Hashed trigrams; a model has this many counts a language.
 BUCKETS = 1 << 16
@@ -126,6 +126,7 @@ def predict(docs: DataFrame, languages: list[str], model: np.ndarray, keep: list
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
     names = np.array(languages, object)
+    sent, place = with_text(docs, keep, text_col)
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("mixture", pa.list_(pa.struct([("language", pa.string()), ("share", pa.float64())])))])
 
     def make():
@@ -152,12 +153,12 @@ def predict(docs: DataFrame, languages: list[str], model: np.ndarray, keep: list
         index["n"] = 0
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, out = batch.column(batch.num_columns - 1), []
+            texts, out = batch.column(place), []
             for at in range(0, batch.num_rows, 64):
                 if index["n"] > CACHED_WORDS:
                     index.clear()
                     index["n"] = 0
-                split = [(t or b"").translate(LOWER).split() for t in texts.slice(at, 64).to_pylist()]
+                split = [(t or b"").translate(LOWER).split() for t in bytes_of(texts.slice(at, 64))]
                 missing = list(dict.fromkeys(w for words in split for w in words if w not in index))
                 if missing and len(names):
                     learn(missing)
@@ -178,4 +179,4 @@ def predict(docs: DataFrame, languages: list[str], model: np.ndarray, keep: list
 
     kept = docs.select(*keep)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return map_batches(docs.select(*keep, text_bytes(text_col).alias("_text_bytes")), make, f"{columns}, lang_pred string, score double, mixture array<struct<language:string,share:double>>")
+    return map_batches(docs.select(*sent), make, f"{columns}, lang_pred string, score double, mixture array<struct<language:string,share:double>>")

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.groups import lean
 
 END_ID = 2
 #: Words that a task remembers the ids of.
@@ -265,7 +266,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
         packer.finish()
         yield from _batches(packer.take())
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), PIECES)
 
 
 def pack_conversations(turns: DataFrame, tokenizer_path: str, limits: Limits = Limits(), id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -287,4 +288,4 @@ def pack_conversations(turns: DataFrame, tokenizer_path: str, limits: Limits = L
         packer.finish()
         yield from _batches(packer.take())
 
-    return gathered.mapInArrow(run, PIECES)
+    return gathered.mapInArrow(lean(run), PIECES)

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import map_batches, text_bytes, written
+from lumenfold.llm.common import bytes_of, map_batches, text_bytes, with_text, written
 from lumenfold.llm.components import map_groups
 from lumenfold.operators.groups import lean
 from lumenfold.operators.words import WordHashes, sequence_hashes
@@ -392,17 +392,19 @@ def without_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, id_c
     all ids (below 2^62), in the order of their hashes; so no key gathers them. Texts of fewer than ``length`` words stay. An empty table gives no rows."""
     key = F.xxhash64(text_col)
     place = F.coalesce(F.col(id_col).cast("long"), key.bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
-    rows = docs.select(*keep, place.alias("_doc"), key.alias("_key"), text_bytes(text_col).alias("_text_bytes"))
-    spans = _spans(rows.select(F.col("_doc").alias("doc_id"), F.col("_key").alias("key"), F.col("_text_bytes").alias("text")), length)
+    sent, text_at = with_text(docs, keep, text_col)
+    rows = docs.select(*sent, place.alias("_doc"), key.alias("_key"))
+    spans = _spans(docs.select(place.alias("doc_id"), key.alias("key"), text_bytes(text_col).alias("text")), length)
     own = spans.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("_spans"))
-    joined = rows.join(own, ["_doc", "_key"], "left").select(*keep, "_text_bytes", "_spans")
+    joined = rows.join(own, ["_doc", "_key"], "left").select(*rows.columns[: len(sent)], "_spans")
+    spans_at = len(sent)
     span_type = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, found, out = batch.column(len(keep)), batch.column(len(keep) + 1), []
-            for i in range(batch.num_rows):
-                text, spans = texts[i].as_py(), found[i].as_py() or []
+            found, out = batch.column(spans_at), []
+            for i, text in enumerate(bytes_of(batch.column(text_at))):
+                spans = found[i].as_py() or []
                 words, merged, kept, at = (text or b"").split(), [], [], 0
                 for s in spans:
                     if merged and s["begin"] <= merged[-1]["end"]:

@@ -5,7 +5,7 @@ import re
 import numpy as np
 from tests.llm.helpers import WORDS, documents, frame, sentence
 
-from lumenfold.llm import decontaminate, fmindex
+from lumenfold.llm import decontaminate, fmindex, langid
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -73,3 +73,46 @@ def test_fm_index():
         for p, a, b in zip(patterns, low, high):
             want = [i for i in range(len(text) - n + 1) if (text[i : i + n] == p).all()]
             assert sorted(index.locate(np.arange(a, b))) == want
+
+
+def test_the_index_is_small_and_whole():
+    """A wavelet level is a bit and a share of a count for each word, with ranks at every place as counted."""
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 5000, 200_000)
+    wavelet = fmindex.Wavelet(values, 5000)
+    assert sum(x.nbytes for level in wavelet.levels for x in level) < len(values) * wavelet.bits
+    places = np.concatenate([[0, 1, 63, 64, 65, 127, 128, 199_999], rng.integers(0, 200_000, 200)])
+    symbol, rank = wavelet.access_rank(places)
+    assert (symbol == values[places]).all()
+    for value in values[:5].tolist():
+        ends = np.append(places, len(values))
+        want = [int((values[:i] == value).sum()) for i in ends.tolist()]
+        start = wavelet.rank(np.array([value]), np.array([0]))
+        assert (wavelet.rank(np.full(len(ends), value), ends) - start == want).all()
+
+
+def test_a_kept_text_goes_to_the_workers_once(spark):
+    docs, bench = frame(spark, documents()), spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    frames = [decontaminate.clean(docs, bench), langid.predict(docs, ["en"], np.zeros((langid.BUCKETS, 1), np.float32), ["doc_id", "text"])]
+    for df in frames:
+        assert "as binary" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spans_of_neighbouring_and_long_runs():
+    """Runs that end at documents' ends, slices of many texts, and a word outside the vocabulary between two hits."""
+    rng = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(6)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(n)).encode()) for k, n in enumerate((1, 2, 5, 13, 20, 40))]
+    docs = [decontaminate.words_of(x) for x in (b"", *(t for _, t in items), b" ".join(t for _, t in items), items[3][1] + b" else " + items[3][1], b"else")]
+    docs += [[rng.choice([*vocabulary, "else"]).encode() for _ in range(rng.randrange(60))] for _ in range(40)]
+    (block,) = decontaminate.benchmark_blocks(items)
+    spans, pairs = decontaminate.search(block, docs)
+    parts = [decontaminate.runs_of(block, docs[i : i + 7], i) for i in range(0, len(docs), 7)]
+    sliced = decontaminate.occurrences(block, parts)
+    assert sliced[0] == spans and (sliced[1] == pairs).all()
+    hits = {}
+    for d, a, b in spans:
+        hits.setdefault(d, set()).update(range(a, b))
+    want = brute([(d, b" ".join(w).decode()) for d, w in enumerate(docs)], [(k, t.decode()) for k, t in items])
+    assert [(d, len(hits.get(d, ()))) for d in range(len(docs))] == [(r[0], r[2]) for r in want]
+    assert [int((pairs[:, 0] == d).sum()) for d in range(len(docs))] == [r[3] for r in want]
