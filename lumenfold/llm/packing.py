@@ -12,12 +12,14 @@ Each task packs its own rows with a pool of bounded size: there is no shuffle, a
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +29,12 @@ from lumenfold.operators.groups import lean
 END_ID = 2
 #: Words that a task remembers the ids of.
 CACHED_WORDS = 800_000
-#: Characters of texts that are encoded together (a longer text by itself), and texts that are taken from a batch at a time.
-AT_ONCE, TAKEN = 1 << 20, 256
-_PUNCTUATION = ".,;:!?"
+#: Bytes of texts that are encoded together (a longer text by itself).
+AT_ONCE = 1 << 22
+#: Conversations that are encoded together.
+TAKEN = 256
+#: Words that may be letters and marks; the apostrophe is no such mark, as some endings begin with it.
+_LETTERS_MARKS = r"^(?P<letters>[^\x00-@\[-`{-\x7f]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
 
 @dataclass(frozen=True)
@@ -46,81 +51,105 @@ class Limits:
 class WordTokenizer:
     """Ids of whole texts by a `tokenizers` vocabulary that never joins across spaces, with a cache of words.
 
-    Words of letters only (with at most one closing mark) are one pre-token each: they are lower-cased, encoded many at a time with the
-    vocabulary's own model, and the ids are cut after each word-end token. If the cuts don't match the words, and for
-    all other words, each word goes through the whole tokenizer by itself."""
+    Arrow cuts texts at spaces and keeps each distinct word once. A word is letters and then marks, two pre-tokens at
+    most, or something else. Letters are lower-cased, encoded many at a time with the vocabulary's own model, and the
+    ids are cut after each word-end token. If the cuts don't match the words, each goes through the whole tokenizer by
+    itself, as marks and all other words do."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.model, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.model.encode_special_tokens = self.plain.encode_special_tokens = True
-        # Lower-case composed letters need no normalisation, and no splitting but at spaces.
-        self.plain.normalizer = normalizers.Sequence([])
+        self.model = Tokenizer.from_file(path)
+        self.model.encode_special_tokens = True
+        # Lower-case composed letters need no normalisation, and no splitting but at spaces; ASCII ones are their own byte-level form.
+        self.ascii, self.plain = Tokenizer(self.model.model), Tokenizer(self.model.model)
+        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.marks = {m: self._bytes(self.model.encode(m, add_special_tokens=False).ids) for m in _PUNCTUATION}
-        self.known: dict[str, bytes] = {"": b""}
+        self._forget()
 
-    @staticmethod
-    def _bytes(ids: Iterable[int]) -> bytes:
-        return np.asarray(ids, "<u4").tobytes()
+    def _forget(self) -> None:
+        #: Ids of letters (None: these must be encoded with what follows), and of marks and whole words.
+        self.letters: dict[str, bytes | None] = {}
+        self.whole: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def _composed(word: str) -> bool:
         """Whether lower-casing gives letters that need no normalisation, whatever stands next to them."""
-        return "\u03a3" not in word and is_normalized("NFC", word) and (low := word.lower()).isalpha() and is_normalized("NFC", low)
-
-    def _learn(self, words: Iterable[str]) -> None:
-        known, simple, other = self.known, [], []
-        plain: dict[str, None] = {}
-        for w in words:
-            if w.islower() and w.isascii() and w.isalpha():
-                plain[w] = None
-                continue
-            core, mark = (w, "") if w[-1] not in self.marks else (w[:-1], w[-1])
-            if core.isalpha() and (core.isascii() or self._composed(core)):
-                core = core.lower()
-                if core not in known:
-                    plain[core] = None
-                simple.append((w, core, mark))
-            else:
-                other.append(w)
-        if plain:
-            ids = np.asarray(self.plain.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(plain):
-                data, at = ids.tobytes(), 0
-                for w, to in zip(plain, (cuts * 4).tolist()):
-                    known[w] = data[at:to]
-                    at = to
-            else:
-                other += plain
-        for w, x in zip(other, self.model.encode_batch_fast(other, add_special_tokens=False) if other else ()):
-            known[w] = self._bytes(x.ids)
-        for w, core, mark in simple:
-            known[w] = known[core] + self.marks[mark] if mark else known[core]
+        return "\u03a3" not in word and word.isalpha() and is_normalized("NFC", word) and (low := word.lower()).isalpha() and is_normalized("NFC", low)
+
+    def _encode_plain(self, tokenizer, words: list[str]) -> None:
+        if not words:
+            return
+        ids = np.asarray(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(words):
+            data, at = ids.tobytes(), 0
+            for w, to in zip(words, (cuts * 4).tolist()):
+                self.letters[w] = data[at:to]
+                at = to
+        else:
+            self._encode_whole(words, self.letters)
+
+    def _encode_whole(self, words: list[str], into: dict[str, bytes]) -> None:
+        for w, x in zip(words, self.model.encode_batch_fast(words, add_special_tokens=False)):
+            into[w] = np.asarray(x.ids, "<u4").tobytes()
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Of words whose A-Z are lower-cased, of ASCII letters and anything beyond ASCII."""
+        lower = {w: w.lower() if self._composed(w) else None for w in words if not w.isascii()}
+        self._encode_plain(self.ascii, [w for w in words if w.isascii()])
+        self._encode_plain(self.plain, list({low: None for low in lower.values() if low and low not in self.letters}))
+        for w, low in lower.items():
+            self.letters[w] = low and self.letters[low]
+
+    def _learn_whole(self, words: list[str]) -> None:
+        self._encode_whole(words, self.whole)
+
+    @staticmethod
+    def _look_up(words: pa.Array, known: dict, learn: Callable[[list[str]], None]) -> pa.Array:
+        coded = words.dictionary_encode()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if missing := [w for w in keys if w not in known]:
+            learn(missing)
+        return pa.array([known[w] for w in keys], pa.large_binary()).take(coded.indices)
+
+    def _of_words(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words."""
+        parts = pc.extract_regex(words, _LETTERS_MARKS)
+        ids = self._look_up(pc.ascii_lower(pc.struct_field(parts, "letters")), self.letters, self._learn_letters)
+        marks = pc.struct_field(parts, "marks")
+        if ids.null_count:
+            rest = ids.is_null()
+            ids = pc.replace_with_mask(ids, rest, self._look_up(words.filter(rest), self.whole, self._learn_whole))
+            marks = pc.if_else(rest, "", marks)
+        return pc.binary_join_element_wise(ids, self._look_up(marks, self.whole, self._learn_whole), pa.scalar(b"", pa.large_binary()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out, at = [], 0
+        return list(self.encoded(pa.array(texts, pa.large_string())))
+
+    def encoded(self, texts: pa.Array) -> Iterator[bytes]:
+        """As ``encode``, of an Arrow column (null: no ids)."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        sizes, at = np.cumsum(pc.binary_length(texts).to_numpy()), 0
         while at < len(texts):
-            if len(self.known) > CACHED_WORDS:
-                self.known = {"": b""}
-            to, room = at + 1, AT_ONCE - len(texts[at])
-            while to < len(texts) and (room := room - len(texts[to])) >= 0:
-                to += 1
-            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at:to]]
+            if len(self.letters) + len(self.whole) > CACHED_WORDS:
+                self._forget()
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + AT_ONCE, "right")))
+            part = texts.slice(at, to - at)
+            for space in "\n\t\r":
+                part = pc.replace_substring(part, space, " ")
+            split = pc.split_pattern(part, " ")
+            coded = split.flatten().dictionary_encode()
+            ids = self._of_words(coded.dictionary).take(coded.indices)
+            ends = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist()
+            data = memoryview(ids.buffers()[2] or b"")
+            yield from (data[low:high].tobytes() for low, high in zip(ends, ends[1:]))
             at = to
-            missing = set().union(*split).difference(self.known)
-            if missing:
-                self._learn(missing)
-            get = self.known.__getitem__
-            out += [b"".join(map(get, words)) for words in split]
-        return out
 
 
 class Packer:
@@ -173,12 +202,12 @@ class Packer:
 
     def _pack(self, keep: int) -> None:
         pool, sizes = self.pending, self._sizes(self.pending)
-        shares, free = sizes / self.most, np.ones(len(pool), bool)
+        shares, columns, free = sizes / self.most, sizes.T.copy(), np.ones(len(pool), bool)
         left = len(pool)
         while left > keep and sizes[free, 0].sum() >= self.limits.tokens:
             room, chosen = self.most.copy(), []
             while True:
-                fits = free & (sizes <= room).all(1)
+                fits = free & (columns <= room[:, None]).all(0)
                 if not fits.any():
                     break
                 i = int(np.argmax(np.where(fits, shares @ (room / self.most), -1)))
@@ -191,7 +220,7 @@ class Packer:
                 head, tail = self._cut(pool[i], gap)
                 chosen.append(head)
                 pool[i] = tail
-                sizes[i] = self._sizes([tail])[0]
+                columns[:, i] = sizes[i] = self._sizes([tail])[0]
                 shares[i] = sizes[i] / self.most
             self._lay(chosen)
         self.pending = [p for p, f in zip(pool, free) if f]
@@ -256,11 +285,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
         tokens, packer = WordTokenizer(tokenizer_path), Packer(limits, TaskContext.get().partitionId() << 32)
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), TAKEN):
-                part = [t or "" for t in texts.slice(at, TAKEN).to_pylist()]
-                for doc, x in zip(ids[at : at + TAKEN], tokens.encode(part)):
-                    packer.add(doc, x + end)
+            for doc, x in zip(batch.column(0).to_pylist(), tokens.encoded(batch.column(1))):
+                packer.add(doc, x + end)
                 if len(packer.rows) >= 1024:
                     yield from _batches(packer.take())
         packer.finish()
@@ -280,11 +306,14 @@ def pack_conversations(turns: DataFrame, tokenizer_path: str, limits: Limits = L
         tokens, packer = WordTokenizer(tokenizer_path), Packer(limits, TaskContext.get().partitionId() << 32)
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = [x + end for x in tokens.encode([t["x"] for t in row["turns"]])]
-                mask = np.concatenate([np.full(len(x) // 4, t["r"] == "assistant") for x, t in zip(ids, row["turns"])])
-                packer.add(row["doc_id"], b"".join(ids), mask)
-            yield from _batches(packer.take())
+            for at in range(0, batch.num_rows, TAKEN):
+                rows = batch.slice(at, TAKEN).to_pylist()
+                found = iter(tokens.encode([t["x"] for row in rows for t in row["turns"]]))
+                for row in rows:
+                    ids = [x + end for x in islice(found, len(row["turns"]))]
+                    mask = np.concatenate([np.full(len(x) // 4, t["r"] == "assistant") for x, t in zip(ids, row["turns"])])
+                    packer.add(row["doc_id"], b"".join(ids), mask)
+                yield from _batches(packer.take())
         packer.finish()
         yield from _batches(packer.take())
 

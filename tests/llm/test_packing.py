@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tests.llm.helpers import documents, frame
 from tokenizers import Tokenizer
@@ -61,6 +62,45 @@ def test_words_and_whole_texts_agree():
     assert packing.WordTokenizer(PATH).encode(texts) == want
 
 
+class Counted:
+    """A tokenizer that counts the strings it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.n = inner, 0
+
+    def encode_batch_fast(self, words, **options):
+        self.n += len(words)
+        return self.inner.encode_batch_fast(words, **options)
+
+
+def whole_tokenizer():
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    return lambda texts: [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_letters_before_marks_are_not_encoded_word_by_word():
+    letters = [a + b + c for a in "abcDEFé" for b in "ghijKLñ" for c in "mnopQRß"]
+    texts = [" ".join(w + mark for w in letters) for mark in ("", ",", "!!", ".%%%", "$$$")]
+    tokens = packing.WordTokenizer(PATH)
+    tokens.model = Counted(tokens.model)
+    assert tokens.encode(texts) == whole_tokenizer()(texts)
+    assert tokens.model.n < 20
+
+
+def test_letters_beyond_ascii_and_marks_agree():
+    texts = [f"a{chr(c)}b, {chr(c)}!? {chr(c)}\u0301. ({chr(c)}) '{chr(c)}'s" for c in [*range(128, 0x3200), 0x212A, 0x2126, 0xAC00, 0xF900, *range(0xFB00, 0xFB50), 0x1D400, 0x1F600, 0x2EBF0]]
+    assert packing.WordTokenizer(PATH).encode(texts) == whole_tokenizer()(texts)
+
+
+def test_texts_in_blocks_agree(monkeypatch):
+    monkeypatch.setattr(packing, "AT_ONCE", 300)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 40)
+    texts = [d[1] for d in documents()]
+    found = packing.WordTokenizer(PATH).encoded(pa.array(["cut off", *texts]).slice(1))
+    assert list(found) == whole_tokenizer()([t or "" for t in texts])
+
+
 def test_conversations_bear_loss_on_the_assistant_only(spark):
     turns = [(1, 0, "user", "a b"), (1, 1, "assistant", "c d e"), (2, 0, None, None), (3, 0, "assistant", "x " * 50)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
